@@ -1,10 +1,12 @@
 """The queries of this subpackage, and the SQL of those that SQL can express."""
 
-from . import exact, packing, sharding
+from . import exact, packing, sharding, substrings, suffixes
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
+    "op5_suffix_dedup": suffixes.op5_suffix_dedup,
+    "op6_substring_dedup": substrings.op6_substring_dedup,
     "op8_exact_dedup": exact.op8_exact_dedup,
     "op10_sharding": sharding.op10_sharding,
 }
-ORACLES = {"op8_exact_dedup": exact.OP8_SQL}
+ORACLES = {"op5_suffix_dedup": suffixes.OP5_SQL, "op6_substring_dedup": substrings.OP6_SQL, "op8_exact_dedup": exact.OP8_SQL}
