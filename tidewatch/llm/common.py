@@ -37,6 +37,6 @@ def text_bytes(docs: DataFrame, column: str = "text") -> int:
     return docs.agg(F.coalesce(F.sum(F.octet_length(column)), F.lit(0)).alias("n")).first()["n"]
 
 
-def bits_for(n: float, least: int = 4, most: int = 22) -> int:
-    """The smallest b with 2**b >= n, within limits."""
+def bits_for(n: float, least: int = 6, most: int = 22) -> int:
+    """The smallest b with 2**b >= n, within limits; 64 buckets at least keep a small input's cores busy."""
     return min(most, max(least, (max(1, int(n)) - 1).bit_length()))
