@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,3 +41,23 @@ def text_bytes(docs: DataFrame, column: str = "text") -> int:
 def bits_for(n: float, least: int = 6, most: int = 22) -> int:
     """The smallest b with 2**b >= n, within limits; 64 buckets at least keep a small input's cores busy."""
     return min(most, max(least, (max(1, int(n)) - 1).bit_length()))
+
+
+#: bits of one bitmap that bitmap_construct_agg makes
+BITMAP = 32768
+
+
+def slot_table(slots: DataFrame, bits: int) -> np.ndarray:
+    """A mask of 2**bits slots, set where the one column of slots (0 to 2**bits - 1) has them. Spark builds the bitmaps; what
+    reaches the driver is 2**bits / 8 bytes at most, whatever the input. Made to skip rows early: a slot may be set by
+    another value too, so whoever reads it must still join on the value."""
+    slot = F.col(slots.columns[0])
+    found = slots.groupBy(F.floor(slot / BITMAP).cast("int").alias("block")).agg(F.bitmap_construct_agg((slot % BITMAP).cast("long")).alias("map"))
+    out = np.zeros((max(1, (1 << bits) // BITMAP), BITMAP), bool)
+    for row in found.toLocalIterator():
+        out[row["block"]] = np.unpackbits(np.frombuffer(row["map"], np.uint8), bitorder="little")
+    return out.reshape(-1)[: 1 << bits]
+
+
+def id_slot(column: str, bits: int):
+    return F.shiftrightunsigned(F.xxhash64(column), 64 - bits)
