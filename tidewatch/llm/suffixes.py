@@ -15,6 +15,8 @@ from .hashing import BASE, U, chunks, mix, powers, span_hashes
 from .substrings import _ENTRY, ENTRY, arrow_rows, by_owner, entries, first_owner, known_ids, read_entries, runs, truncated
 
 LENGTH, GRAM, BUCKET_BYTES, HOT, HOT_BITS = 50, 16, 12_000_000, 256, 20
+#: corpus bytes for each bucket of segments: suffix sorting takes some 40 bytes of memory for each byte of a segment
+SORT_BYTES = 3_000_000
 SEGMENT = "bucket int, doc_id long, docs binary, starts binary, lengths binary, bytes binary"
 _SEGMENT = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("docs", pa.binary()), ("starts", pa.binary()), ("lengths", pa.binary()), ("bytes", pa.binary())])
 REPEAT = "doc_id long, starts binary, counts binary"
@@ -303,11 +305,12 @@ def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRA
     that very many chunks have are dealt by their own hash.
     """
     docs = docs.select("doc_id", "text")
-    bits = bits_for(text_bytes(docs) / BUCKET_BYTES)
+    size = text_bytes(docs)
+    bits, sort_bits = bits_for(size / BUCKET_BYTES), bits_for(size / SORT_BYTES, 8)
     found = stash(shared_anchors(docs, length, gram, bits), "anchors")
     hot = hot_slots(found)
     mine = found.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.collect_list("hashes").alias("hashes"))
-    repeats = segments(docs.join(mine, "doc_id"), length, gram, bits, bits, hot).groupBy("bucket").applyInArrow(sort_bucket(length), REPEAT)
+    repeats = segments(docs.join(mine, "doc_id"), length, gram, sort_bits, bits, hot).groupBy("bucket").applyInArrow(sort_bucket(length), REPEAT)
     repeats = repeats.groupBy("doc_id").agg(F.collect_list(F.struct("starts", "counts")).alias("repeats"))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
