@@ -1,9 +1,10 @@
 """The queries of this subpackage, and the SQL of those that SQL can express."""
 
-from . import exact, jaccard, packing, sharding, substrings, suffixes
+from . import decontaminate, exact, jaccard, packing, sharding, substrings, suffixes
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
+    "op2_decontamination": decontaminate.op2_decontamination,
     "op3_jaccard_join": jaccard.op3_jaccard_join,
     "op5_suffix_dedup": suffixes.op5_suffix_dedup,
     "op6_substring_dedup": substrings.op6_substring_dedup,
