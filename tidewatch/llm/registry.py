@@ -1,6 +1,6 @@
 """The queries of this subpackage, and the SQL of those that SQL can express."""
 
-from . import decontaminate, exact, jaccard, packing, sharding, substrings, suffixes
+from . import decontaminate, exact, jaccard, packing, privacy, sharding, substrings, suffixes
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -9,6 +9,7 @@ QUERIES = {
     "op5_suffix_dedup": suffixes.op5_suffix_dedup,
     "op6_substring_dedup": substrings.op6_substring_dedup,
     "op8_exact_dedup": exact.op8_exact_dedup,
+    "op9_pii": privacy.op9_pii,
     "op10_sharding": sharding.op10_sharding,
 }
 ORACLES = {"op3_jaccard_join": jaccard.OP3_SQL, "op5_suffix_dedup": suffixes.OP5_SQL, "op6_substring_dedup": substrings.OP6_SQL, "op8_exact_dedup": exact.OP8_SQL}
