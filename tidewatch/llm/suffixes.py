@@ -15,10 +15,10 @@ from .hashing import BASE, U, chunks, mix, powers, span_hashes
 from .substrings import _ENTRY, ENTRY, arrow_rows, by_owner, entries, first_owner, known_ids, read_entries, runs, truncated
 
 LENGTH, GRAM, BUCKET_BYTES, HOT, HOT_BITS = 50, 16, 12_000_000, 256, 20
-#: corpus bytes for each bucket of segments: suffix sorting takes some 40 bytes of memory for each byte of a segment
-SORT_BYTES = 3_000_000
-SEGMENT = "bucket int, doc_id long, docs binary, starts binary, lengths binary, bytes binary"
-_SEGMENT = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("docs", pa.binary()), ("starts", pa.binary()), ("lengths", pa.binary()), ("bytes", pa.binary())])
+#: bytes of segments that are sorted at once: sorting takes some 200 bytes of memory for each
+SORT_BYTES = 800_000
+SEGMENT = "bucket int, doc_id long, docs binary, starts binary, lengths binary, parts binary, bytes binary"
+_SEGMENT = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("docs", pa.binary()), ("starts", pa.binary()), ("lengths", pa.binary()), ("parts", pa.binary()), ("bytes", pa.binary())])
 REPEAT = "doc_id long, starts binary, counts binary"
 _REPEAT = pa.schema([("doc_id", pa.int64()), ("starts", pa.binary()), ("counts", pa.binary())])
 
@@ -218,8 +218,8 @@ def segments(docs: DataFrame, length: int, gram: int, bits: int, seen_bits: int,
             who, s, c = own[again][o], inside[again][o], (last - first + 1)[again][o]
             at, ends = runs(who)
             for a, b in zip(at.tolist(), ends[1:].tolist()):
-                out.append((int(who[a]) % (1 << bits), int(who[a]), None, s[a:b].astype("<i4").tobytes(), c[a:b].astype("<i4").tobytes(), None))
-            bucket = (route >> U(64 - bits)).astype(np.int64)
+                out.append((int(who[a]) % (1 << bits), int(who[a]), None, s[a:b].astype("<i4").tobytes(), c[a:b].astype("<i4").tobytes(), None, None))
+            bucket, part = (route >> U(64 - bits)).astype(np.int64), ((route >> U(64 - bits - 8)) & U(255)).astype(np.uint8)
             new = np.flatnonzero(~again)
             new = new[np.lexsort((own[new], bucket[new]))]
             at, ends = runs(bucket[new])
@@ -227,15 +227,48 @@ def segments(docs: DataFrame, length: int, gram: int, bits: int, seen_bits: int,
                 k = new[a:b]
                 size = end[k] - first[k]
                 take = np.repeat(first[k] - np.cumsum(size) + size, size) + np.arange(size.sum())
-                out.append((int(bucket[k[0]]), None, np.diff(own[k], prepend=0).tobytes(), inside[k].astype("<i4").tobytes(), size.astype("<i4").tobytes(), raw[take].tobytes()))
+                out.append((int(bucket[k[0]]), None, np.diff(own[k], prepend=0).tobytes(), inside[k].astype("<i4").tobytes(), size.astype("<i4").tobytes(), part[k].tobytes(), raw[take].tobytes()))
             if out:
                 yield arrow_rows(out, _SEGMENT)
 
     return docs.mapInArrow(emit, SEGMENT)
 
 
+def repeated_starts(own: np.ndarray, start: np.ndarray, size: np.ndarray, data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """owner and place of each string of `length` bytes in these segments that a smaller owner has too."""
+    begin = np.cumsum(size + 1) - size - 1  # each segment is followed by a zero byte
+    text = np.zeros(int((size + 1).sum()), np.uint8)
+    text[np.arange(len(data)) + np.repeat(np.arange(len(size)), size)] = data
+    n = size - length + 1
+    candidate = np.zeros(len(text), bool)
+    candidate[np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum())] = True
+    # a suffix that is larger than its successor is induced from it, so successors are wanted up to a smaller one
+    after = np.r_[text[1:], np.uint8(0)]
+    differs = text != after
+    differs[-1:] = True
+    here = np.arange(len(text), dtype=np.int32)
+    change = np.minimum.accumulate(np.where(differs, here, np.int32(len(text)))[::-1])[::-1]
+    smaller = (text < after)[change]
+    stop = np.minimum.accumulate(np.where(smaller, here, np.int32(len(text)))[::-1])[::-1]
+    reach = np.zeros(len(text) + 1, np.int32)
+    final = begin + n - 1
+    reach[final] += 1
+    np.add.at(reach, np.minimum(stop[final], len(text) - 1) + 1, -1)
+    wanted = candidate | (np.cumsum(reach)[:-1] > 0)
+    order = suffix_order(text, wanted)
+    order = order[candidate[order]]
+    shared = common_prefixes(text, order, length) >= length
+    segment = np.searchsorted(begin, order, "right") - 1
+    who = own[segment]
+    new = np.flatnonzero(~shared)
+    least = np.repeat(np.minimum.reduceat(who, new), np.diff(np.r_[new, len(who)]))
+    again = who > least
+    return who[again], (start[segment] + order - begin[segment])[again]
+
+
 def sort_bucket(length: int):
-    """The task of one bucket: sort the suffixes of its segments, and return the starts that a smaller document has too."""
+    """The task of one bucket: sort the suffixes of its segments, and return the starts that a smaller document has too.
+    Strings of different parts of a bucket have different anchors, so parts are sorted a few at a time."""
 
     def settle(key: tuple, group: pa.Table) -> pa.Table:
         settled, rest = group.filter(group.column("doc_id").is_valid()), group.filter(group.column("doc_id").is_null())
@@ -246,35 +279,16 @@ def sort_bucket(length: int):
         start = np.frombuffer(b"".join(rest.column("starts").to_pylist()), "<i4").astype(np.int64)
         size = np.frombuffer(b"".join(rest.column("lengths").to_pylist()), "<i4").astype(np.int64)
         data = np.frombuffer(b"".join(rest.column("bytes").to_pylist()), np.uint8)
-        # each segment is followed by a zero byte
-        begin = np.cumsum(size + 1) - size - 1
-        text = np.zeros(int((size + 1).sum()), np.uint8)
-        text[np.arange(len(data)) + np.repeat(np.arange(len(size)), size)] = data
-        n = size - length + 1
-        candidate = np.zeros(len(text), bool)
-        candidate[np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum())] = True
-        # a suffix that is larger than its successor is induced from it, so successors are wanted up to a smaller one
-        after = np.r_[text[1:], np.uint8(0)]
-        differs = text != after
-        differs[-1:] = True
-        change = np.minimum.accumulate(np.where(differs, np.arange(len(text)), len(text))[::-1])[::-1]
-        smaller = (text < after)[change]
-        stop = np.minimum.accumulate(np.where(smaller, np.arange(len(text)), len(text))[::-1])[::-1]
-        reach = np.zeros(len(text) + 1, np.int32)
-        final = begin + n - 1
-        reach[final] += 1
-        np.add.at(reach, np.minimum(stop[final], len(text) - 1) + 1, -1)
-        wanted = candidate | (np.cumsum(reach)[:-1] > 0)
-        order = suffix_order(text, wanted)
-        order = order[candidate[order]]
-        shared = common_prefixes(text, order, length) >= length
-        segment = np.searchsorted(begin, order, "right") - 1
-        who = own[segment]
-        new = np.flatnonzero(~shared)
-        least = np.repeat(np.minimum.reduceat(who, new), np.diff(np.r_[new, len(who)]))
-        again = who > least
-        where = (start[segment] + order - begin[segment])[again]
-        who = who[again]
+        part = np.frombuffer(b"".join(rest.column("parts").to_pylist()), np.uint8)
+        at = np.cumsum(size) - size
+        order = np.argsort(part, kind="stable")
+        total = np.bincount(part, weights=size, minlength=256)
+        lots = np.floor(np.cumsum(total) / SORT_BYTES)[part[order]]
+        out = []
+        for k in np.split(order, np.flatnonzero(np.diff(lots)) + 1):
+            take = np.repeat(at[k] - np.cumsum(size[k]) + size[k], size[k]) + np.arange(size[k].sum())
+            out.append(repeated_starts(own[k], start[k], size[k], data[take], length))
+        who, where = np.concatenate([x for x, _ in out]), np.concatenate([x for _, x in out])
         by = np.lexsort((where, who))
         who, where = who[by], where[by]
         if not len(who):
@@ -305,12 +319,11 @@ def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRA
     that very many chunks have are dealt by their own hash.
     """
     docs = docs.select("doc_id", "text")
-    size = text_bytes(docs)
-    bits, sort_bits = bits_for(size / BUCKET_BYTES), bits_for(size / SORT_BYTES, 8)
+    bits = bits_for(text_bytes(docs) / BUCKET_BYTES)
     found = stash(shared_anchors(docs, length, gram, bits), "anchors")
     hot = hot_slots(found)
     mine = found.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.collect_list("hashes").alias("hashes"))
-    repeats = segments(docs.join(mine, "doc_id"), length, gram, sort_bits, bits, hot).groupBy("bucket").applyInArrow(sort_bucket(length), REPEAT)
+    repeats = segments(docs.join(mine, "doc_id"), length, gram, bits, bits, hot).groupBy("bucket").applyInArrow(sort_bucket(length), REPEAT)
     repeats = repeats.groupBy("doc_id").agg(F.collect_list(F.struct("starts", "counts")).alias("repeats"))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
