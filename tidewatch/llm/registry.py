@@ -1,13 +1,15 @@
 """The queries of this subpackage, and the SQL of those that SQL can express."""
 
-from . import decontaminate, exact, jaccard, packing, privacy, sharding, substrings, suffixes
+from . import decontaminate, exact, jaccard, language, packing, pages, privacy, sharding, substrings, suffixes
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op2_decontamination": decontaminate.op2_decontamination,
     "op3_jaccard_join": jaccard.op3_jaccard_join,
+    "op4_language_id": language.op4_language_id,
     "op5_suffix_dedup": suffixes.op5_suffix_dedup,
     "op6_substring_dedup": substrings.op6_substring_dedup,
+    "op7_html_extraction": pages.op7_html_extraction,
     "op8_exact_dedup": exact.op8_exact_dedup,
     "op9_pii": privacy.op9_pii,
     "op10_sharding": sharding.op10_sharding,
