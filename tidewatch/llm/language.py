@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -12,9 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .hashing import mix
 
-#: documents that the model is fitted on, at most; hashed features; sweeps over the sample
-SAMPLE, FEATURES, SWEEPS, RATE = 600, 1 << 16, 4, 0.5
+#: documents that the model is fitted on, at most; hashed features; sweeps over the sample; words whose scores a task remembers
+SAMPLE, FEATURE_BITS, SWEEPS, RATE, REMEMBERED = 400, 16, 3, 0.5, 300_000
 UNKNOWN = "und"
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -23,13 +23,26 @@ def words_of(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
 
-def features(word: str, lexicon: dict[str, int]) -> list[int]:
-    """Slots of a word's affixes, character n-grams and its entry in the lexicon."""
-    w = f"<{word}>"
-    names = [f"p{w[:k]}" for k in (2, 3, 4)] + [f"s{w[-k:]}" for k in (2, 3, 4)] + [f"2{w[i : i + 2]}" for i in range(len(w) - 1)] + [f"3{w[i : i + 3]}" for i in range(len(w) - 2)]
-    if word in lexicon:
-        names.append(f"l{lexicon[word]}")
-    return [crc32(n.encode()) % FEATURES for n in names]
+def features(words: list[str], lexicon: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(index of the word, slot) of every feature of these words: prefixes and suffixes of two to four characters, all
+    character pairs and triples, and the entry in the lexicon. Word ends count as characters."""
+    n = len(words)
+    c = np.frombuffer("".join(f"<{w}>" for w in words).encode("utf-32-le"), "<u4").astype(np.uint64)
+    size = np.fromiter(map(len, words), np.int64, n) + 2
+    end = np.cumsum(size)
+    start, owner = end - size, np.repeat(np.arange(n), size)
+    pad = np.r_[c, np.zeros(3, np.uint64)]
+    a, b, d, e = (np.uint64(x) for x in (0x9E3779B1, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5, 0xC2B2AE3D27D4EB4F))
+    two = pad[:-3] * a + pad[1:-2] * b
+    three = two + pad[2:-1] * d
+    pairs, triples = np.flatnonzero(np.arange(len(c)) + 1 < end[owner]), np.flatnonzero(np.arange(len(c)) + 2 < end[owner])
+    each = np.arange(n)
+    found = [(owner[pairs], two[pairs]), (owner[triples], three[triples]), (each, two[start]), (each, three[start]), (each, three[start] + pad[np.minimum(start + 3, end - 1)] * e)]
+    found += [(each, two[end - 2]), (each, three[end - 3]), (each, three[np.maximum(end - 4, start)] + pad[end - 1] * e)]
+    known = np.array([i for i, w in enumerate(words) if w in lexicon], np.int64)
+    found.append((known, np.array([lexicon[words[i]] for i in known], np.uint64)))
+    slots = [(mix(h + np.uint64(k << 56)) >> np.uint64(64 - FEATURE_BITS)).astype(np.int64) for k, (_, h) in enumerate(found)]
+    return np.concatenate([w for w, _ in found]), np.concatenate(slots)
 
 
 class Crf:
@@ -38,18 +51,23 @@ class Crf:
     def __init__(self, labels: list[str], lexicon: dict[str, int]):
         n = len(labels)
         self.labels, self.lexicon = labels, lexicon
-        self.weights, self.moves, self.first = np.zeros((FEATURES, n)), np.zeros((n, n)), np.zeros(n)
-        self.scores: dict[str, np.ndarray] = {}
-
-    def emission(self, words: list[str]) -> np.ndarray:
-        """A score for each word and label; words are scored once."""
-        known = self.scores
-        if len(known) > 200_000:
-            known.clear()
-        for w in words:
-            if w not in known:
-                known[w] = self.weights[features(w, self.lexicon)].sum(0)
-        return np.array([known[w] for w in words]).reshape(len(words), -1)
+        self.weights, self.moves, self.first = np.zeros((1 << FEATURE_BITS, n)), np.zeros((n, n)), np.zeros(n)
+        self.row: dict[str, int] = {}
+        self.table = np.zeros((0, n))
+
+    def scores(self, owner: np.ndarray, slot: np.ndarray, n: int) -> np.ndarray:
+        return np.stack([np.bincount(owner, self.weights[slot, c], n) for c in range(len(self.labels))], axis=1)
+
+    def emissions(self, texts: list[list[str]]) -> list[np.ndarray]:
+        """A score for each word of each text and each label. A word is scored once while it is remembered."""
+        if len(self.row) > REMEMBERED:
+            self.row, self.table = {}, self.table[:0]
+        fresh = list(dict.fromkeys(w for t in texts for w in t if w not in self.row))
+        if fresh:
+            self.table = np.concatenate([self.table, self.scores(*features(fresh, self.lexicon), len(fresh))])
+            self.row.update(zip(fresh, range(len(self.row), len(self.row) + len(fresh))))
+        get = self.row.__getitem__
+        return [self.table[np.fromiter(map(get, t), np.int64, len(t))] for t in texts]
 
     def marginals(self, texts: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
         """Forward-backward over many texts side by side: each word's probability of each label, and the expected number of
@@ -86,22 +104,23 @@ class Crf:
 
     def fit(self, texts: list[list[str]], labels: list[np.ndarray], sweeps: int = SWEEPS, rate: float = RATE, batch: int = 32) -> Crf:
         """Gradient ascent on the likelihood of the label sequences, with a step of its own for each weight (AdaGrad)."""
-        n, slots = len(self.labels), {w: np.array(features(w, self.lexicon)) for w in {w for t in texts for w in t}}
+        n, words = len(self.labels), list(dict.fromkeys(w for t in texts for w in t))
+        number = {w: i for i, w in enumerate(words)}
+        owner, slot = features(words, self.lexicon)
+        ids = [np.array([number[w] for w in t], np.int64) for t in texts]
         square, square_moves = np.full_like(self.weights, 1e-6), np.full_like(self.moves, 1e-6)
-        order = np.random.default_rng(7)
+        draw = np.random.default_rng(7)
         for _ in range(sweeps):
-            at = order.permutation(len(texts))
+            at = draw.permutation(len(texts))
             for lo in range(0, len(at), batch):
-                some = [i for i in at[lo : lo + batch] if texts[i]]
-                p, moved = self.marginals([np.array([self.weights[slots[w]].sum(0) for w in texts[i]]) for i in some])
-                grad, grad_moves = np.zeros_like(self.weights), -moved
+                some = [i for i in at[lo : lo + batch] if len(ids[i])]
+                score = self.scores(owner, slot, len(words))
+                p, moved = self.marginals([score[ids[i]] for i in some])
+                miss, grad_moves = np.zeros((len(words), n)), -moved
                 for i, q in zip(some, p):
-                    miss = np.eye(n)[labels[i]] - q
-                    flat = np.concatenate([slots[w] for w in texts[i]])
-                    rep = np.repeat(miss, [len(slots[w]) for w in texts[i]], axis=0)
-                    for c in range(n):
-                        grad[:, c] += np.bincount(flat, rep[:, c], FEATURES)
+                    np.add.at(miss, ids[i], np.eye(n)[labels[i]] - q)
                     np.add.at(grad_moves, (labels[i][:-1], labels[i][1:]), 1)
+                grad = np.stack([np.bincount(slot, miss[owner, c], len(self.weights)) for c in range(n)], axis=1)
                 for value, g, s in ((self.weights, grad, square), (self.moves, grad_moves, square_moves)):
                     g /= max(1, len(some))
                     s += g * g
@@ -161,7 +180,7 @@ def identify(docs: DataFrame, model: Crf) -> DataFrame:
                     end += 1
                 rows = batch.iloc[order[begin:end]]
                 begin = end
-                probabilities, _ = crf.marginals([crf.emission(words_of(t)) for t in rows["text"]])
+                probabilities, _ = crf.marginals(crf.emissions([words_of(t) for t in rows["text"]]))
                 out = []
                 for p in probabilities:
                     if not len(p):
