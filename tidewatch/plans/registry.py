@@ -1,5 +1,114 @@
-"""Registered queries and their SQL."""
+"""Registered queries over the given tables, and their SQL.
+
+The tables hold no alerts, so intervals are derived from events (25 regions by user, value in minutes), and long daily
+series from orders by region of the customer.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import features, intervals, metrics, quality, timeseries
+from ..sources import cleaning
+from . import dashboard
+from .oracles import ORACLES  # noqa: F401
 
-QUERIES: dict = {}
-ORACLES: dict = {}
 FLAGSHIP = "minutes_by_region_day"
+
+
+def alerts(spark: SparkSession, sf: str) -> DataFrame:
+    seconds = F.round(F.col("value") * 60).cast("bigint")
+    start = F.date_trunc("SECOND", "ts").cast("timestamp_ntz")
+    rows = spark.read.parquet(f"{sf}/events.parquet").select(F.col("event_id").alias("alert_id"), F.concat(F.lit("R"), F.lpad((F.col("user_id") % 25).cast("string"), 2, "0")).alias("region"), start.alias("started_at_utc"), seconds.alias("duration_seconds"), "event_type")
+    return rows.filter("duration_seconds > 0").withColumn("finished_at_utc", F.timestamp_add("SECOND", F.col("duration_seconds"), F.col("started_at_utc")))
+
+
+def records(spark: SparkSession, sf: str) -> DataFrame:
+    return intervals.local_records(alerts(spark, sf))
+
+
+def hours(spark: SparkSession, sf: str) -> DataFrame:
+    return features.region_hour(records(spark, sf))
+
+
+def days(spark: SparkSession, sf: str) -> DataFrame:
+    return features.region_day(records(spark, sf), hours(spark, sf))
+
+
+def day_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    return metrics.region_day_metrics(days(spark, sf))
+
+
+def national(spark: SparkSession, sf: str) -> DataFrame:
+    return features.national_day(hours(spark, sf), days(spark, sf))
+
+
+def series(spark: SparkSession, sf: str) -> DataFrame:
+    t = lambda n: spark.read.parquet(f"{sf}/{n}.parquet")
+    places = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "r_name")
+    daily = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(places, F.col("c_nationkey") == F.col("n_nationkey")).groupBy("r_name", F.to_date("o_orderdate").alias("date")).count()
+    ends = daily.agg(F.min("date").alias("a"), F.max("date").alias("b"))
+    grid = ends.filter("a IS NOT NULL").select(F.explode(F.sequence("a", "b")).alias("date")).crossJoin(F.broadcast(t("region").select("r_name")))
+    minutes = F.least(F.lit(1440.0), 120.0 * F.coalesce("count", F.lit(0)))
+    full = grid.join(daily, ["r_name", "date"], "left").select(F.col("r_name").alias("region_name"), "date", minutes.alias("alert_minutes_total"))
+    return full.withColumn("alert_burden_index", F.col("alert_minutes_total") / 1440)
+
+
+def clean_rows(spark: SparkSession, sf: str) -> DataFrame:
+    rows = alerts(spark, sf).select("region", "event_type", "started_at_utc", "finished_at_utc")
+    part = lambda df, source: df.select(F.lit(source).alias("source_file"), F.lit(source).alias("source"), F.lit(source).alias("source_scope"), "region", F.col("region").alias("oblast"), *[F.lit(None).cast("string").alias(c) for c in ("raion", "hromada")], F.col("event_type").alias("alert_level"), "started_at_utc", "finished_at_utc", F.lit(None).cast("boolean").alias("volunteer_naive"))
+    off = part(rows.filter("event_type <> 'view' AND started_at_utc >= TIMESTAMP_NTZ '2024-01-10 00:00:00'"), "official")
+    return cleaning.combine(off, part(rows.filter("event_type = 'view'"), "volunteer"))
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    """Doubles to six places, shares of a day to nine: in whole seconds those may end in a five at the seventh."""
+    return df.select(*[F.round(c, 9 if c in ("share_day_under_alert", "alert_free_window_share") else 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+def _clean(spark, sf):
+    numbered = cleaning.number(clean_rows(spark, sf))
+    return numbered.select("alert_id", "source", "region", "alert_level", "started_at_utc", "finished_at_utc", "started_date_utc", "duration_seconds", F.round("duration_minutes", 6).alias("duration_minutes"), "duration_quality")
+
+
+def _by_day(spark, sf):
+    parts = intervals.minutes_by_hour(intervals.merged_by_day(records(spark, sf)))
+    return parts.groupBy(F.col("region").alias("region_name"), F.to_date("datetime_hour").alias("date")).agg(F.round(F.sum("minutes"), 6).alias("alert_minutes"))
+
+
+def _filtered(spark, sf):
+    return dashboard.filter_region_day(days(spark, sf), ["R01", "R07"], "2024-01-05", "2024-01-20").select("region_name", "date", "alert_minutes_total")
+
+
+QUERIES = {
+    "minutes_by_region_day": _by_day,
+    "merged_intervals": lambda s, d: intervals.merged(records(s, d)),
+    "observed_range": lambda s, d: features.observed_range(records(s, d)),
+    "region_hour_features": lambda s, d: _rounded(hours(s, d)),
+    "daily_alert_stats": lambda s, d: _rounded(intervals.daily_stats(records(s, d))),
+    "longest_free_window": lambda s, d: _rounded(intervals.day_gaps(intervals.merged_by_day(records(s, d)))),
+    "region_day_features": lambda s, d: _rounded(days(s, d)),
+    "national_day_features": lambda s, d: _rounded(national(s, d)),
+    "region_day_metrics": lambda s, d: _rounded(day_metrics(s, d)),
+    "daily_inequality": lambda s, d: _rounded(metrics.daily_inequality(metrics.indices(days(s, d)))),
+    "region_summary": lambda s, d: _rounded(metrics.region_summary(day_metrics(s, d))),
+    "national_summary": lambda s, d: _rounded(metrics.national_summary(national(s, d), day_metrics(s, d))),
+    "clean_intervals": _clean,
+    "clean_summary": lambda s, d: cleaning.summarize(clean_rows(s, d)),
+    "rolling_series": lambda s, d: _rounded(timeseries.rolling(series(s, d))),
+    "rolling_parameter": lambda s, d: _rounded(timeseries.add_rolling(series(s, d), "alert_minutes_total", 5)),
+    "period_comparison": lambda s, d: _rounded(timeseries.periods(series(s, d))),
+    "change_points": lambda s, d: timeseries.change_points(series(s, d)),
+    "timeseries_summary": lambda s, d: _rounded(timeseries.summary(series(s, d))),
+    "stability_ranking": lambda s, d: dashboard.stability_ranking(timeseries.summary(series(s, d)), "volatility"),
+    "shift_dates": lambda s, d: dashboard.shift_dates(timeseries.change_points(series(s, d))),
+    "filter_region_day": lambda s, d: _rounded(_filtered(s, d)),
+    "ranking_top10": lambda s, d: _rounded(dashboard.top(metrics.region_summary(day_metrics(s, d)), "mean_alert_burden_index").select("region_name", "mean_alert_burden_index")),
+    "overview_cards": lambda s, d: _rounded(dashboard.overview(day_metrics(s, d))),
+    "inequality_series": lambda s, d: _rounded(dashboard.inequality_series(day_metrics(s, d), "2024-01-05", "2024-01-20")),
+    "category_counts": lambda s, d: quality.value_counts(day_metrics(s, d), "alert_burden_category"),
+    "feature_ranges": lambda s, d: _rounded(quality.range_checks(days(s, d), quality.FEATURE_RANGES)),
+    "metric_ranges": lambda s, d: _rounded(quality.range_checks(day_metrics(s, d), quality.METRIC_RANGES)),
+    "profile_alerts": lambda s, d: quality.profile(alerts(s, d)),
+}
