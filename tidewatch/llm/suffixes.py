@@ -30,13 +30,8 @@ def suffix_order(text: np.ndarray, wanted: np.ndarray, depth: int = 56) -> np.nd
     First stage: suffixes smaller than their successor are sorted directly. Second stage: one scan over the buckets of
     first bytes induces all the others, each from its successor's place.
     """
-    n = len(text)
-    after = np.r_[text[1:], np.uint8(0)]
-    differs = text != after
-    differs[-1:] = True
-    last = np.where(differs, np.arange(n), n)
-    last = np.minimum.accumulate(last[::-1])[::-1]
-    smaller = (text < after)[last]
+    text, wanted = np.r_[text, np.uint8(0)], np.r_[wanted, True]  # the end counts as a zero byte, smaller than what follows
+    smaller = smaller_than_next(text)
     small = np.flatnonzero(wanted & smaller)
     if len(small):
         words = eight_bytes(np.r_[text, np.zeros(depth + 8, np.uint8)])
@@ -68,7 +63,19 @@ def suffix_order(text: np.ndarray, wanted: np.ndarray, depth: int = 56) -> np.nd
             done, block = head[c], order[done : head[c]]
             induce(block)
         induce(order[first_small[c] : begin[c + 1]])
-    return order
+    return order[order < len(text) - 1]
+
+
+def smaller_than_next(text: np.ndarray) -> np.ndarray:
+    """Whether the suffix at each position is smaller than its successor; the last one counts as smaller."""
+    n = len(text)
+    after = np.r_[text[1:], np.uint8(255)]
+    differs = text != after
+    differs[-1:] = True
+    last = np.where(differs, np.arange(n, dtype=np.int32), np.int32(n))
+    out = (text < after)[np.minimum.accumulate(last[::-1])[::-1]]
+    out[-1:] = True
+    return out
 
 
 def eight_bytes(text: np.ndarray) -> np.ndarray:
@@ -243,12 +250,8 @@ def repeated_starts(own: np.ndarray, start: np.ndarray, size: np.ndarray, data:
     candidate = np.zeros(len(text), bool)
     candidate[np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum())] = True
     # a suffix that is larger than its successor is induced from it, so successors are wanted up to a smaller one
-    after = np.r_[text[1:], np.uint8(0)]
-    differs = text != after
-    differs[-1:] = True
     here = np.arange(len(text), dtype=np.int32)
-    change = np.minimum.accumulate(np.where(differs, here, np.int32(len(text)))[::-1])[::-1]
-    smaller = (text < after)[change]
+    smaller = smaller_than_next(text)
     stop = np.minimum.accumulate(np.where(smaller, here, np.int32(len(text)))[::-1])[::-1]
     reach = np.zeros(len(text) + 1, np.int32)
     final = begin + n - 1
@@ -307,7 +310,8 @@ def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRA
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 [, kept_bytes].
 
     A byte goes when it is covered by a string of `length` bytes that also starts in a document with a smaller doc_id;
-    strings are judged on the input and do not cross documents. Equal doc_ids are not smaller than each other. A null text
+    strings are judged on the input and do not cross documents. Equal doc_ids are not smaller than each other; a repeated
+    doc_id must repeat its text, as starts are told by doc_id. A null text
     counts as empty; texts shorter than `length` lose nothing; a row with a null doc_id is returned as it is and takes no
     part. An empty table gives an empty result; other columns are ignored.
 
