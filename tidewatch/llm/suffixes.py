@@ -10,11 +10,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bits_for, stash, table, text_bytes
+from .common import bits_for, id_slot, slot_table, stash, table, text_bytes
 from .hashing import BASE, U, chunks, mix, powers, span_hashes
 from .substrings import _ENTRY, ENTRY, arrow_rows, by_owner, entries, first_owner, known_ids, read_entries, runs, truncated
 
-LENGTH, GRAM, BUCKET_BYTES, HOT, HOT_BITS = 50, 16, 12_000_000, 256, 20
+LENGTH, GRAM, BUCKET_BYTES, HOT, HOT_BITS, ID_BITS = 50, 24, 12_000_000, 256, 20, 24
 #: bytes of segments that are sorted at once: sorting takes some 200 bytes of memory for each
 SORT_BYTES = 800_000
 SEGMENT = "bucket int, doc_id long, docs binary, starts binary, lengths binary, parts binary, bytes binary"
@@ -327,7 +327,16 @@ def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRA
     found = stash(shared_anchors(docs, length, gram, bits), "anchors")
     hot = hot_slots(found)
     mine = found.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.collect_list("hashes").alias("hashes"))
-    repeats = segments(docs.join(mine, "doc_id"), length, gram, bits, bits, hot).groupBy("bucket").applyInArrow(sort_bucket(length), REPEAT)
+    marks = docs.sparkSession.sparkContext.broadcast(np.packbits(slot_table(mine.select(id_slot("doc_id", ID_BITS)), ID_BITS)))
+
+    def skim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mask = np.unpackbits(marks.value).astype(bool)
+        for batch in batches:
+            yield batch.filter(pa.array(mask[np.asarray(batch.column("slot"))])).select(["doc_id", "text"])
+
+    # texts without shared anchors stay where they are; the join decides exactly
+    some = docs.filter("doc_id IS NOT NULL").withColumn("slot", id_slot("doc_id", ID_BITS)).mapInArrow(skim, "doc_id long, text string")
+    repeats = segments(some.join(mine, "doc_id"), length, gram, bits, bits, hot).groupBy("bucket").applyInArrow(sort_bucket(length), REPEAT)
     repeats = repeats.groupBy("doc_id").agg(F.collect_list(F.struct("starts", "counts")).alias("repeats"))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
