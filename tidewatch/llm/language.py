@@ -151,8 +151,9 @@ def train(labelled: list[tuple[str, str]]) -> Crf:
 def training_rows(docs: DataFrame, sample: int = SAMPLE) -> list[tuple[str, str]]:
     """A bounded sample of whole labelled texts by a hash of doc_id, from the documents that are not held out."""
     some = docs.filter("text IS NOT NULL AND lang IS NOT NULL AND doc_id IS NOT NULL").filter(~held_out()).filter(F.length("text").between(200, 20_000))
-    rows = some.select("text", "lang", F.xxhash64("doc_id").alias("h"), "doc_id").orderBy("h", "doc_id").limit(sample).collect()
-    return [(r["text"], r["lang"]) for r in rows]
+    ids = [r["doc_id"] for r in some.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()]
+    rows = some.filter(F.col("doc_id").isin(ids)).select("doc_id", "text", "lang").collect()
+    return [(r["text"], r["lang"]) for r in sorted(rows, key=lambda r: r["doc_id"])[:sample]]
 
 
 def held_out():
