@@ -16,6 +16,10 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
+#: removes a query's shuffle files when it ends
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def scratch(spark: SparkSession) -> str:
     """The shared folder that the cluster names; one of our own only where it names none."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -26,10 +30,16 @@ def scratch(spark: SparkSession) -> str:
 
 
 def stash(df: DataFrame, label: str = "t") -> DataFrame:
-    """df written to the shared folder and read again, which cuts its lineage."""
+    """df written to the shared folder and read again, which cuts its lineage. The shuffle files of the write go with it: what
+    follows reads the written table alone, so they would only fill the executors' disks."""
     spark = df.sparkSession
     path = f"{scratch(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
