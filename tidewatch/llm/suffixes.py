@@ -16,7 +16,7 @@ from .substrings import _ENTRY, ENTRY, arrow_rows, by_owner, entries, first_owne
 
 LENGTH, GRAM, BUCKET_BYTES, HOT, HOT_BITS, ID_BITS = 50, 24, 12_000_000, 256, 20, 24
 #: bytes of segments that are sorted at once: sorting takes some 200 bytes of memory for each
-SORT_BYTES = 800_000
+SORT_BYTES = 400_000
 SEGMENT = "bucket int, doc_id long, docs binary, starts binary, lengths binary, parts binary, bytes binary"
 _SEGMENT = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("docs", pa.binary()), ("starts", pa.binary()), ("lengths", pa.binary()), ("parts", pa.binary()), ("bytes", pa.binary())])
 REPEAT = "doc_id long, starts binary, counts binary"
