@@ -18,6 +18,8 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 #: removes a query's shuffle files when it ends
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: rows of one Arrow batch on the way to Python
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def scratch(spark: SparkSession) -> str:
@@ -29,17 +31,21 @@ def scratch(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def stash(df: DataFrame, label: str = "t") -> DataFrame:
+def stash(df: DataFrame, label: str = "t", batch_rows: int | None = None) -> DataFrame:
     """df written to the shared folder and read again, which cuts its lineage. The shuffle files of the write go with it: what
-    follows reads the written table alone, so they would only fill the executors' disks."""
+    follows reads the written table alone, so they would only fill the executors' disks. batch_rows: rows that are sent to
+    Python at once, for steps whose texts would make large batches."""
     spark = df.sparkSession
     path = f"{scratch(spark)}/{label}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
+    ours = {CLEANUP: "true"} | ({BATCH: str(batch_rows)} if batch_rows else {})
+    before = {CLEANUP: spark.conf.get(CLEANUP, "false"), BATCH: spark.conf.get(BATCH)}
+    for name, value in ours.items():
+        spark.conf.set(name, value)
     try:
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        spark.conf.set(CLEANUP, before)
+        for name in ours:
+            spark.conf.set(name, before[name])
     return spark.read.schema(df.schema).parquet(path)
 
 

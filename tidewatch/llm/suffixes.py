@@ -17,6 +17,8 @@ from .substrings import _ENTRY, ENTRY, arrow_rows, by_owner, entries, first_owne
 LENGTH, GRAM, BUCKET_BYTES, HOT, HOT_BITS, ID_BITS = 50, 24, 12_000_000, 256, 20, 24
 #: bytes of segments that are sorted at once: sorting takes some 200 bytes of memory for each
 SORT_BYTES = 400_000
+#: texts that are sent to Python at once
+BATCH_ROWS = 1000
 SEGMENT = "bucket int, doc_id long, docs binary, starts binary, lengths binary, parts binary, bytes binary"
 _SEGMENT = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("docs", pa.binary()), ("starts", pa.binary()), ("lengths", pa.binary()), ("parts", pa.binary()), ("bytes", pa.binary())])
 REPEAT = "doc_id long, starts binary, counts binary"
@@ -324,7 +326,7 @@ def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRA
     """
     docs = docs.select("doc_id", "text")
     bits = bits_for(text_bytes(docs) / BUCKET_BYTES)
-    found = stash(shared_anchors(docs, length, gram, bits), "anchors")
+    found = stash(shared_anchors(docs, length, gram, bits), "anchors", BATCH_ROWS)
     hot = hot_slots(found)
     mine = found.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.collect_list("hashes").alias("hashes"))
     marks = docs.sparkSession.sparkContext.broadcast(np.packbits(slot_table(mine.select(id_slot("doc_id", ID_BITS)), ID_BITS)))
@@ -337,7 +339,7 @@ def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRA
     # texts without shared anchors stay where they are; the join decides exactly
     some = docs.filter("doc_id IS NOT NULL").withColumn("slot", id_slot("doc_id", ID_BITS)).mapInArrow(skim, "doc_id long, text string")
     repeats = segments(some.join(mine, "doc_id"), length, gram, bits, bits, hot).groupBy("bucket").applyInArrow(sort_bucket(length), REPEAT)
-    repeats = repeats.groupBy("doc_id").agg(F.collect_list(F.struct("starts", "counts")).alias("repeats"))
+    repeats = stash(repeats, "repeats", BATCH_ROWS).groupBy("doc_id").agg(F.collect_list(F.struct("starts", "counts")).alias("repeats"))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, raw, offsets in chunks(batches):
