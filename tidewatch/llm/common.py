@@ -59,6 +59,12 @@ def bits_for(n: float, least: int = 6, most: int = 22) -> int:
     return min(most, max(least, (max(1, int(n)) - 1).bit_length()))
 
 
+def by_bucket(rows: DataFrame, bits: int, most: int = 8192):
+    """rows grouped by bucket, with two tasks a bucket (so that few tasks get several) up to `most` or the session's number."""
+    usual = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(max(usual, min(2 << bits, most)), "bucket").groupBy("bucket")
+
+
 #: bits of one bitmap that bitmap_construct_agg makes
 BITMAP = 32768
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bits_for, id_slot, slot_table, stash, table, text_bytes
+from .common import bits_for, by_bucket, id_slot, slot_table, stash, table, text_bytes
 from .hashing import BASE, U, chunks, mix, powers, span_hashes
 from .substrings import _ENTRY, ENTRY, arrow_rows, by_owner, entries, first_owner, known_ids, read_entries, runs, truncated
 
@@ -179,7 +179,7 @@ def shared_anchors(docs: DataFrame, length: int, gram: int, bits: int) -> DataFr
         late = pa.Table.from_batches([arrow_rows(found, reply)] if found else [], reply)
         return pa.concat_tables([settled.select(["doc_id", "hashes"]).cast(reply), late])
 
-    return docs.mapInArrow(find, ENTRY).groupBy("bucket").applyInArrow(settle, "doc_id long, hashes binary")
+    return by_bucket(docs.mapInArrow(find, ENTRY), bits).applyInArrow(settle, "doc_id long, hashes binary")
 
 
 def hot_slots(found: DataFrame) -> np.ndarray:
@@ -283,7 +283,7 @@ def sort_bucket(length: int):
         own = np.concatenate([np.cumsum(np.frombuffer(b, np.int64)) for b in rest.column("docs").to_pylist()])
         start = np.frombuffer(b"".join(rest.column("starts").to_pylist()), "<i4").astype(np.int64)
         size = np.frombuffer(b"".join(rest.column("lengths").to_pylist()), "<i4").astype(np.int64)
-        data = np.frombuffer(b"".join(rest.column("bytes").to_pylist()), np.uint8)
+        data = np.concatenate([np.frombuffer(b.as_buffer(), np.uint8) for b in rest.column("bytes")])
         part = np.frombuffer(b"".join(rest.column("parts").to_pylist()), np.uint8)
         at = np.cumsum(size) - size
         order = np.argsort(part, kind="stable")
@@ -338,7 +338,7 @@ def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRA
 
     # texts without shared anchors stay where they are; the join decides exactly
     some = docs.filter("doc_id IS NOT NULL").withColumn("slot", id_slot("doc_id", ID_BITS)).mapInArrow(skim, "doc_id long, text string")
-    repeats = segments(some.join(mine, "doc_id"), length, gram, bits, bits, hot).groupBy("bucket").applyInArrow(sort_bucket(length), REPEAT)
+    repeats = by_bucket(segments(some.join(mine, "doc_id"), length, gram, bits, bits, hot), bits).applyInArrow(sort_bucket(length), REPEAT)
     repeats = stash(repeats, "repeats", BATCH_ROWS).groupBy("doc_id").agg(F.collect_list(F.struct("starts", "counts")).alias("repeats"))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
