@@ -142,7 +142,7 @@ class Anchors:
         ends[:-1] &= ~valid[1:] | begins[1:]
         self.first, self.last = np.flatnonzero(begins), np.flatnonzero(ends)
         self.at = at[self.first]
-        self.hash = h[self.at]
+        self.hash = mix(h[self.at])  # the smallest hashes lie close to zero; mixed again they fill all buckets alike
         self.doc = np.searchsorted(offsets, self.first, "right") - 1
 
 
