@@ -104,6 +104,19 @@ def test_jaccard(docs, none):
     assert jaccard.near_duplicates(none).count() == 0
 
 
+def test_jaccard_alone_group(spark, monkeypatch):
+    """Members that link with each other, not with the first of their group, which alone has its prefix shingles."""
+    head = "one two three four five"
+    texts = [head + " " + " ".join(f"a{i}" for i in range(11))] + [head + " " + " ".join(f"b{i}" for i in range(10)) + end for end in (" x", " y")]
+    raw = np.frombuffer(head.encode(), np.uint8)
+    rare = jaccard.shingle_sets(raw, np.array([0, len(raw)]), 4)[0] >> np.uint64(64 - jaccard.COUNT_BITS)
+    counts = np.ones(1 << jaccard.COUNT_BITS, np.int64)
+    counts[rare.astype(np.int64)] = 0
+    monkeypatch.setattr(jaccard, "shingle_counts", lambda docs, k: counts)
+    got = jaccard.near_duplicates(spark.createDataFrame(list(enumerate(texts, 1)), "doc_id long, text string"), 4, 85)
+    assert {r["doc_id"]: r["component_id"] for r in got.collect()} == {1: 1, 2: 2, 3: 2}
+
+
 def test_links(spark):
     df = spark.createDataFrame([(i, i + 1) for i in range(1, 20)] + [(40, 30), (30, 50), (7, 7)], "a long, b long")
     assert {r["node"]: r["component"] for r in links.components(df).collect()} == {i: 1 for i in range(1, 21)} | {30: 30, 40: 30, 50: 30}

@@ -183,7 +183,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     so thousands of copies cost no pairs). Groups that share a prefix shingle are candidates: first each group with the
     first of its size class at each shingle, and each member with its group's first. What these verified links join is one
     component. Then, wherever a prefix shingle still holds several components, every pair across components whose sizes
-    allow a link is verified too. Bitmaps rule out most pairs before whole sets are sent. A pair inside a component needs no test, as it can't change the result; no other pair
+    allow a link is verified too; a group of three members or more keeps its rarest shingle for that even where no other
+    group has it, as two of them may link with each other and not with its first. Bitmaps rule out most pairs before whole sets are sent. A pair inside a component needs no test, as it can't change the result; no other pair
     is left out. Sets are compared whole, by 64-bit hashes of their shingles.
     """
     docs = docs.select("doc_id", "text")
@@ -198,11 +199,13 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
 
     leaders = group.filter("member = grp").select(F.col("grp").alias("doc_id"))
     postings = sets.select("doc_id", "n_shingles", "prefix").join(leaders, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    postings = postings.select(F.explode("prefix").alias("token"), F.col("n_shingles").alias("n"), F.col("doc_id").alias("grp"))
+    several = group.groupBy("grp").count().filter("count > 2").select("grp", F.lit(True).alias("several"))
+    postings = postings.join(several, postings["doc_id"] == several["grp"], "left").withColumn("rarest", F.when(F.col("several"), F.col("prefix")[0]))
+    postings = postings.select(F.explode("prefix").alias("token"), F.col("n_shingles").alias("n"), F.col("doc_id").alias("grp"), "rarest")
     # at each shingle, sizes are dealt into classes; groups of one class link to its first, so that copies share few partners
     level = F.floor(F.log(F.col("n")) / F.log(F.lit(100 / percent))).cast("int")
     at, within = Window.partitionBy("token"), Window.partitionBy("token", "level")
-    postings = postings.withColumns({"level": level, "of": F.count(F.lit(1)).over(at)}).filter("of > 1")
+    postings = postings.withColumns({"level": level, "of": F.count(F.lit(1)).over(at)}).filter("of > 1 OR token = rarest")
     postings = stash(postings.select("token", "n", "grp", F.min("grp").over(within).alias("first")), "postings")
     near = postings.filter("first <> grp").select(F.least("first", "grp").alias("a"), F.greatest("first", "grp").alias("b"))
     inside = group.filter("member <> grp").select(F.col("grp").alias("a"), F.col("member").alias("b"))
