@@ -227,6 +227,20 @@ def test_privacy(spark):
     assert text.startswith("Mr. ") and len(set(got[6]["text"].split())) == 10 and not set(got[6]["text"].split()) & set(rows[6][1].split())
 
 
+def test_privacy_full_pools(spark):
+    """More entities than the plain surrogates of their form, and secrets without a Latin letter or digit."""
+    names = ["Б" + a + b for a in "абвгдежзиклмно" for b in "абвгдежзиклмн"]
+    secrets = ["****", "{}", "....", "пароль", "AKIA", "foo@bar", *"0123456789"]
+    mails = [f"{c}@q.org" for c in "abcdefghijklmnopqrstuvwxyz_"]
+    phones = ["+123 45 67 89", "(619) 555-0053"]
+    rows = list(enumerate([f"г-н {n} идёт" for n in names] + [f"password: {x}" for x in secrets] + mails + phones))
+    got = sorted(privacy.replace_private(spark.createDataFrame(rows, "doc_id long, text string")).collect(), key=lambda r: r["doc_id"])
+    made = [r["text"].removeprefix("г-н ").removeprefix("password: ").removesuffix(" идёт") for r in got]
+    assert all(r["n_entities"] == 1 for r in got) and len(set(made)) == len(rows) and not set(made) & {*names, *secrets, *mails, *phones}
+    assert all(re.fullmatch("[А-Я][а-я]+", m) for m in made[: len(names)]) and all(m.endswith("@q.org") for m in made[-29:-2])
+    assert not any(c in "пароль@*{}" for m in (made[len(names)], made[len(names) + 1]) for c in m) and made[-2].startswith("+123 ")
+
+
 def test_sharding(spark):
     names = [f"s{i}" for i in range(7)]
     table = sharding.lookup_table(names, 1009)

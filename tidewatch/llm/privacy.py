@@ -50,7 +50,7 @@ PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
 
 def kind_of(value: Column, name_title: Column) -> Column:
     """The type of a found entity. Lookbehinds see nothing in the value alone, so secrets and names are told by the rest."""
-    shape = {"email": r"^[^@\s]+@[^@\s]+$", "ip": r"^\d{1,3}(\.\d{1,3}){3}$", "ssn": r"^\d{3}-\d{2}-\d{4}$", "card": r"^(\d{4}[ -]?){3}\d{4}$|^\d{13,19}$", "phone": r"^\+?[\d() .-]+$", "iban": r"^[A-Z]{2}\d{2}( ?[A-Z0-9]{4}){3,7}( ?[A-Z0-9]{1,4})?$"}
+    shape = {"email": rf"^(?:{KINDS['email']})$", "ip": r"^\d{1,3}(\.\d{1,3}){3}$", "ssn": r"^\d{3}-\d{2}-\d{4}$", "card": r"^(\d{4}[ -]?){3}\d{4}$|^\d{13,19}$", "phone": rf"^(?:{KINDS['phone']})$", "iban": r"^[A-Z]{2}\d{2}( ?[A-Z0-9]{4}){3,7}( ?[A-Z0-9]{1,4})?$"}
     out = F.when(name_title.isNotNull(), name_title)
     for kind, pattern in shape.items():
         out = out.when(value.rlike(pattern), F.lit(kind))
@@ -80,6 +80,35 @@ def _shaped(value: Column, digest: Column, fixed: Column) -> Column:
     return F.aggregate(F.split(value, ""), start, step)["s"]
 
 
+#: small letters of a script that others are replaced by, and consonants and vowels of the syllables that lengthen a surrogate
+SMALL = {"latin": "abcdefghijklmnopqrstuvwxyz", "cyrillic": "абвгдежзийклмнопрстуфхцчшщъыьэюя"}
+SYLLABLES = {"latin": ("bdfghklmnprst", "aeiou"), "cyrillic": ("бвгдзклмнпрст", "аеиоу")}
+#: attempts before surrogates grow, and syllables that are added at most
+PLAIN, LONGEST = 4, 12
+
+
+def _filled(value: Column, digest: Column) -> Column:
+    """value with every letter and digit of any script replaced: Cyrillic letters by Cyrillic ones, other letters by Latin ones,
+    capitals by capitals. A value without letters and digits becomes as many small letters."""
+
+    def step(acc: Column, c: Column) -> Column:
+        b = _byte(digest, acc["n"])
+        pick = lambda script: F.substring(F.lit(SMALL[script]), b % len(SMALL[script]) + 1, F.lit(1))
+        letter = F.when(c.rlike(r"\p{IsCyrillic}"), pick("cyrillic")).otherwise(pick("latin"))
+        new = F.when(c.rlike(r"\p{N}"), (b % 10).cast("string")).when(c.rlike(r"\p{Lu}"), F.upper(letter)).when(c.rlike(r"\p{L}"), letter).otherwise(c)
+        return F.struct((acc["n"] + F.when(c.rlike(r"[\p{L}\p{N}]"), 1).otherwise(0)).alias("n"), F.concat(acc["s"], new).alias("s"))
+
+    bare = F.when(value.rlike(r"[\p{L}\p{N}]"), value).otherwise(F.regexp_replace(value, "(?s).", "x"))
+    return F.aggregate(F.split(bare, ""), F.struct(F.lit(0).alias("n"), F.lit("").alias("s")), step)["s"]
+
+
+def _growth(digest: Column, attempt: Column, script: str) -> Column:
+    """Nothing for the first attempts, then keyed syllables, one more at each attempt: each makes room for 65 times as many."""
+    one = lambda letters, i: F.substring(F.lit(letters), _byte(digest, i) % len(letters) + 1, F.lit(1))
+    each = F.transform(F.sequence(F.lit(0), F.least(attempt - PLAIN, F.lit(LONGEST - 1))), lambda i: F.concat(one(SYLLABLES[script][0], i * 2 + 20), one(SYLLABLES[script][1], i * 2 + 21)))
+    return F.when(attempt < PLAIN, "").otherwise(F.array_join(each, ""))
+
+
 def _luhn(digits: Column) -> Column:
     """The digit that makes these digits pass the check that card numbers pass."""
     each = F.transform(F.split(F.reverse(digits), ""), lambda d, i: F.when(i % 2 == 0, (d.cast("int") * 2) % 10 + F.floor(d.cast("int") / 5)).otherwise(d.cast("int")).cast("int"))
@@ -99,17 +128,24 @@ def surrogate(kind: Column, value: Column, attempt: Column, key: str) -> Column:
     octets = F.concat_ws(".", *[(F.lit(1) + _byte(digest, 2 * i) * 7 % 223 + _byte(digest, 2 * i + 1) % 31).cast("string") for i in range(4)])
     bare = F.regexp_replace(value, "[^0-9]", "")
     head = F.substring(_shaped(bare, digest, F.lit(1)), F.lit(1), F.length(bare) - 1)
-    out = F.when(kind == "email", F.concat(_shaped(local, digest, F.lit(0)), F.lit("@"), domain))
+    out = F.when(kind == "email", F.concat(F.when(local.rlike("[0-9a-z]"), _shaped(local, digest, F.lit(0))).otherwise(_filled(local, digest)), _growth(digest, attempt, "latin"), F.lit("@"), domain))
     out = out.when(kind == "ip", octets).when(kind == "card", _spread(F.concat(head, _luhn(head)), value))
     country = F.when(value.startswith("+"), F.length(F.regexp_extract(value, r"^\+(\d{1,3})", 1))).otherwise(F.lit(0))
-    out = out.when(kind == "phone", _shaped(value, digest, country)).when(kind == "iban", _shaped(value, digest, F.lit(2)))
-    out = out.when(value.startswith("AKIA"), _shaped(value, digest, F.lit(4)))
+    # a short number with a country has room for some digits more in its pattern
+    more = F.when((attempt >= PLAIN) & value.startswith("+") & (F.length(bare) < 11), F.concat(*[(_byte(digest, 40 + i) % 10).cast("string") for i in range(4)])).otherwise("")
+    out = out.when(kind == "phone", F.concat(_shaped(value, digest, country), more)).when(kind == "iban", _shaped(value, digest, F.lit(2)))
+    out = out.when(value.rlike("^AKIA[A-Z0-9]{16}$"), _shaped(value, digest, F.lit(4)))
     for script, gender in TITLES:
         family = FAMILY[script] if script == "latin" else FAMILY[script][gender]
         pick = lambda names, i: F.element_at(F.array(*map(F.lit, names)), F.pmod(F.conv(F.substring(digest, 1 + 12 * i, 12), 16, 10).cast("long"), F.lit(len(names))).cast("int") + 1)
         name = F.when(value.contains(" "), F.concat(pick(GIVEN[script, gender], 0), F.lit(" "), pick(family, 1), F.when(attempt > 2, F.concat(F.lit("-"), pick(family, 2))).otherwise(F.lit("")))).otherwise(F.concat(pick(family, 1), F.lower(F.when(attempt > 0, pick(family, 2)).otherwise(F.lit("")))))
-        out = out.when(kind == f"name_{script}_{gender}", name)
-    return out.otherwise(_shaped(value, digest, F.lit(0)))
+        ending = {"m": "ов", "f": "ова"}[gender] if script == "cyrillic" else ""
+        grown = F.when(attempt < PLAIN, "").otherwise(F.concat(_growth(digest, attempt, script), F.lit(ending)))
+        out = out.when(kind == f"name_{script}_{gender}", F.concat(name, grown))
+    plain = (kind == "ssn") | value.rlike("^[!-~]*[0-9A-Za-z][!-~]*$")
+    shaped = F.when(plain, _shaped(value, digest, F.lit(0))).otherwise(_filled(value, digest))
+    grown = F.when(value.rlike(r"\p{IsCyrillic}"), _growth(digest, attempt, "cyrillic")).otherwise(_growth(digest, attempt, "latin"))
+    return out.otherwise(F.when(kind == "ssn", shaped).otherwise(F.concat(shaped, grown)))
 
 
 def mentions(docs: DataFrame) -> DataFrame:
@@ -148,7 +184,9 @@ def replace_private(docs: DataFrame, key: str = "a secret of the operator") -> D
     Emails, phone numbers, addresses of hosts, card, bank and social security numbers, passwords and keys, and names after
     a title are found by their form. One entity has one surrogate in all documents, different entities have different
     ones, and no surrogate is an entity of the corpus. Surrogates keep letters as letters and digits as digits, a card's
-    check digit, an email's domain, a phone's country, and a name's gender and script. Null and empty texts and texts
+    check digit, an email's domain, a phone's country, and a name's gender and script. After some attempts emails, names,
+    secrets and short phone numbers grow, so that there are surrogates for any number of entities; a secret without letters
+    and digits becomes letters. Null and empty texts and texts
     without entities come back unchanged, as do repeated rows, each of them. A null doc_id is allowed. An empty table gives
     an empty result; other columns are ignored. An entity with a third of all mentions is safe: only the few entities
     that needed another attempt are joined, the surrogate itself is computed at each mention.
