@@ -189,6 +189,13 @@ def test_language(spark):
     assert sum(r["lang_pred"] == r["lang"] for r in held) >= 0.95 * len(held) and all(0 <= r["score"] <= 1 for r in rows)
 
 
+def test_training_rows(spark):
+    """Languages with short texts or few texts are learned beside a large one."""
+    rows = [(i, "many words of one language " * 20, "en") for i in range(300)] + [(1000 + i, "kurzer Satz", "de") for i in range(8)] + [(2000 + i, "длинный текст " * 3000, "ru") for i in range(4)]
+    got = language.training_rows(spark.createDataFrame(rows + [(None, "123", "xx")], "doc_id long, text string, lang string"), 20)
+    assert len(got) == 20 and {lang for _, lang in got} == {"en", "de", "ru"} and max(len(t) for t, _ in got) == language.LONGEST
+
+
 def test_forward_backward():
     rng = np.random.default_rng(1)
     crf = language.Crf(["a", "b", "c"], {})

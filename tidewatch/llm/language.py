@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table
@@ -15,6 +15,8 @@ from .hashing import mix
 
 #: documents that the model is fitted on, at most; hashed features; sweeps over the sample; words whose scores a task remembers
 SAMPLE, FEATURE_BITS, SWEEPS, RATE, REMEMBERED = 400, 16, 3, 0.5, 300_000
+#: characters of a text that the model is fitted on, at most
+LONGEST = 20_000
 UNKNOWN = "und"
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -149,11 +151,19 @@ def train(labelled: list[tuple[str, str]]) -> Crf:
 
 
 def training_rows(docs: DataFrame, sample: int = SAMPLE) -> list[tuple[str, str]]:
-    """A bounded sample of whole labelled texts by a hash of doc_id, from the documents that are not held out."""
-    some = docs.filter("text IS NOT NULL AND lang IS NOT NULL AND doc_id IS NOT NULL").filter(~held_out()).filter(F.length("text").between(200, 20_000))
-    ids = [r["doc_id"] for r in some.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()]
-    rows = some.filter(F.col("doc_id").isin(ids)).select("doc_id", "text", "lang").collect()
-    return [(r["text"], r["lang"]) for r in sorted(rows, key=lambda r: r["doc_id"])[:sample]]
+    """A bounded sample of labelled texts, from the documents that are not held out: in turn one of each language, by a hash,
+    so that every language with such a text is learned. Texts of 200 characters come first, shorter ones where a language
+    lacks them. A text without letters teaches nothing; of a long one the first LONGEST characters are used. There are
+    `sample` rows, or one for each language if there are more languages."""
+    some = docs.filter("text IS NOT NULL AND lang IS NOT NULL").filter(~held_out()).filter(F.col("text").rlike(r"\p{L}"))
+    some = some.withColumn("key", F.xxhash64("doc_id", F.xxhash64("text")))
+    turn = Window.partitionBy("lang").orderBy("short", F.xxhash64("doc_id"), "key")
+    keys = some.select("lang", "key", "doc_id", (F.length("text") < 200).alias("short")).withColumn("turn", F.row_number().over(turn)).filter(F.col("turn") <= sample)
+    first = keys.orderBy("turn", F.xxhash64("doc_id"), "key", "lang").select("key", "lang")
+    most = max(sample, keys.filter("turn = 1").count())
+    chosen = {(r["key"], r["lang"]) for r in first.limit(most).collect()}
+    rows = some.filter(F.col("key").isin([k for k, _ in chosen])).select("key", F.substring("text", 1, LONGEST).alias("text"), "lang").dropDuplicates(["key", "lang"]).collect()
+    return [(r["text"], r["lang"]) for r in sorted(rows, key=lambda r: (r["key"], r["lang"])) if (r["key"], r["lang"]) in chosen]
 
 
 def held_out():
