@@ -196,6 +196,17 @@ def test_training_rows(spark):
     assert len(got) == 20 and {lang for _, lang in got} == {"en", "de", "ru"} and max(len(t) for t, _ in got) == language.LONGEST
 
 
+def test_switched_text_stays(spark, monkeypatch):
+    """A text in four languages, each word certain, is kept, with a null doc_id too; one of words that no label fits is not."""
+    crf = language.Crf(["a", "b", "c", "d"], {})
+    crf.table = np.vstack([40 * np.eye(4), np.zeros((1, 4))])
+    crf.row = {"aa": 0, "bb": 1, "cc": 2, "dd": 3, "zz": 4}
+    monkeypatch.setattr(language, "learned", lambda docs: crf)
+    rows = [(1, "aa bb cc dd"), (None, "dd cc bb aa"), (2, "zz zz"), (3, "12"), (4, None), (2, "aa")]
+    got = language.drop_unidentified(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([rows[0], rows[1], rows[5]], key=str)
+
+
 def test_forward_backward():
     rng = np.random.default_rng(1)
     crf = language.Crf(["a", "b", "c"], {})

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -210,10 +211,32 @@ def learned(docs: DataFrame, sample: int = SAMPLE) -> Crf:
     return train(rows) if rows else Crf([UNKNOWN], {})
 
 
+def certain(crf: Crf, texts: list[str | None], least: float) -> np.ndarray:
+    """Whether each text has words and the mean of each word's largest probability is `least` at least."""
+    good = np.zeros(len(texts), bool)
+    order = np.argsort([len(t or "") for t in texts], kind="stable")
+    begin = 0
+    while begin < len(order):
+        end = begin + 1
+        while end < len(order) and end - begin < 512 and (end - begin + 1) * len(texts[order[end]] or "") < 1_500_000:
+            end += 1
+        at, begin = order[begin:end], end
+        probabilities, _ = crf.marginals(crf.emissions([words_of(texts[i]) for i in at]))
+        good[at] = [len(p) > 0 and crf.labels[int(p.mean(0).argmax())] != UNKNOWN and p.max(1).mean() >= least for p in probabilities]
+    return good
+
+
 def drop_unidentified(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """The documents, with their own columns, whose language is found with a score of `least` at least."""
-    found = identify(docs, learned(docs)).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_semi")
+    """The documents, with their own columns, whose words are told with certainty: the mean of each word's largest probability is
+    `least` at least, in however many languages the text is. Texts without letters go. Each row is decided by its own text,
+    whatever its doc_id."""
+    shared = docs.sparkSession.sparkContext.broadcast(learned(docs))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(certain(shared.value, batch.column("text").to_pylist(), least)))
+
+    return docs.mapInArrow(keep, docs.schema)
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
