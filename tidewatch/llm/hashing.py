@@ -105,17 +105,28 @@ class Words:
         return at, span_hashes(values, at, at + k, WINDOW_BASE)
 
 
-def by_document(start: np.ndarray, doc: np.ndarray, n_docs: int) -> np.ndarray:
-    """Bounds of each document's rows in an array that is sorted by document."""
-    return np.searchsorted(doc, np.arange(n_docs + 1))
+def pack(x: np.ndarray, width: int) -> bytes:
+    """The low `width` bytes of each value."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
 
 
-def pack56(x: np.ndarray) -> bytes:
-    """The low seven bytes of each value."""
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7]).tobytes()
+def unpack(b: bytes, width: int) -> np.ndarray:
+    wide = np.zeros((len(b) // width, 8), np.uint8)
+    wide[:, :width] = np.frombuffer(b, np.uint8).reshape(-1, width)
+    return wide.reshape(-1).view("<u8")
 
 
-def unpack56(b: bytes) -> np.ndarray:
-    wide = np.zeros((len(b) // 7, 8), np.uint8)
-    wide[:, :7] = np.frombuffer(b, np.uint8).reshape(-1, 7)
-    return wide.reshape(-1).view("<u8")
+def squeeze(*arrays: np.ndarray) -> bytes:
+    """The arrays in one compressed piece, byte planes apart, so that small numbers cost little."""
+    planes = [np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes() for a in arrays]
+    return pa.compress(b"".join(planes), codec="zstd", asbytes=True)
+
+
+def unsqueeze(data: bytes, shape: list[tuple[str, int]]) -> list[np.ndarray]:
+    """The arrays that squeeze() took, by type and length."""
+    sizes = [np.dtype(kind).itemsize * n for kind, n in shape]
+    raw, at, out = np.frombuffer(pa.decompress(data, decompressed_size=sum(sizes), codec="zstd", asbytes=True), np.uint8), 0, []
+    for (kind, n), size in zip(shape, sizes):
+        out.append(np.ascontiguousarray(raw[at : at + size].reshape(-1, n).T).reshape(-1).view(kind) if n else np.zeros(0, kind))
+        at += size
+    return out

@@ -11,10 +11,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bits_for, table, text_bytes
-from .hashing import CHUNK_BYTES, U, Words, chunks, pack56, unpack56
+from .common import bits_for, by_bucket, table, text_bytes
+from .hashing import U, Words, chunks, pack, unpack
 
-WINDOW, BUCKET_BYTES = 13, 12_000_000
+#: bytes of text for each bucket of hashes; hashes that a task holds before it sends them
+WINDOW, BUCKET_BYTES, HELD = 13, 4_000_000, 1_000_000
 ENTRY = "bucket int, doc_id long, docs binary, counts binary, hashes binary"
 REPLY = "doc_id long, hashes binary"
 _ENTRY = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("docs", pa.binary()), ("counts", pa.binary()), ("hashes", pa.binary())])
@@ -55,8 +56,8 @@ def known_ids(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return np.asarray(col.fill_null(0)), np.asarray(col.is_valid())
 
 
-def entries(hashes: np.ndarray, owners: np.ndarray, bits: int) -> list[tuple]:
-    """One row per bucket: which documents own how many of its hashes, and 56 bits of each hash below the bucket's own."""
+def entries(hashes: np.ndarray, owners: np.ndarray, bits: int, width: int = 7) -> list[tuple]:
+    """One row per bucket: which documents own how many of its hashes, and `width` bytes of each hash below the bucket's own."""
     order = np.lexsort((owners, hashes >> U(64 - bits)))
     h, o = hashes[order], owners[order]
     bucket = (h >> U(64 - bits)).astype(np.int64)
@@ -65,15 +66,15 @@ def entries(hashes: np.ndarray, owners: np.ndarray, bits: int) -> list[tuple]:
     for a, b in zip(at.tolist(), ends[1:].tolist()):
         own = o[a:b]
         d, stops = runs(own)
-        out.append((int(bucket[a]), None, np.diff(own[d], prepend=0).tobytes(), np.diff(stops).astype("<u4").tobytes(), pack56((h[a:b] << U(bits)) >> U(8))))
+        out.append((int(bucket[a]), None, np.diff(own[d], prepend=0).tobytes(), np.diff(stops).astype("<u4").tobytes(), pack((h[a:b] << U(bits)) >> U(64 - 8 * width), width)))
     return out
 
 
-def read_entries(bucket: int, bits: int, docs: list, counts: list, hashes: list) -> tuple[np.ndarray, np.ndarray]:
+def read_entries(bucket: int, bits: int, docs: list, counts: list, hashes: list, width: int = 7) -> tuple[np.ndarray, np.ndarray]:
     """The hashes and owners that entries() wrote, of all rows of a bucket."""
     owners = [np.repeat(np.cumsum(np.frombuffer(d, np.int64)), np.frombuffer(c, "<u4")) for d, c in zip(docs, counts)]
-    low = unpack56(b"".join(hashes))
-    h = ((low << U(8)) >> U(bits)) | (U(bucket) << U(64 - bits))
+    low = unpack(b"".join(hashes), width)
+    h = ((low << U(64 - 8 * width)) >> U(bits)) | (U(bucket) << U(64 - bits))
     return h, np.concatenate(owners) if owners else np.zeros(0, np.int64)
 
 
@@ -81,26 +82,26 @@ def arrow_rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
 
-def truncated(hashes: np.ndarray, bits: int) -> np.ndarray:
+def truncated(hashes: np.ndarray, bits: int, width: int = 7) -> np.ndarray:
     """Only the bits that entries() keeps."""
-    return hashes if bits >= 8 else (hashes >> U(8 - bits)) << U(8 - bits)
+    lost = max(0, 64 - 8 * width - bits)
+    return (hashes >> U(lost)) << U(lost)
 
 
 def repeated_windows(docs: DataFrame, window: int, bits: int) -> DataFrame:
     """doc_id and the hashes of those of its windows that also start in a document with a smaller doc_id.
 
-    A task counts its own chunk first: a hash that several of its documents share is settled there for all but the
-    smallest, so a chunk sends each hash once, with that document. A bucket of hashes therefore gets one entry per chunk
-    at most of even the commonest window, and the number of buckets grows with the input.
+    A task counts its own hashes first, HELD at a time: one that several of its documents share is settled there for all but
+    the smallest, and is sent once, with that document. A bucket of hashes therefore gets few entries of even the
+    commonest window, and the number of buckets grows with the input.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, raw, offsets in chunks(batches):
-            ids, known = known_ids(rows)
-            words = Words(raw, offsets)
-            at, h = words.windows(window)
-            has = known[words.doc[at]]
-            h, own = truncated(h[has], bits), ids[words.doc[at[has]]]
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def send() -> Iterator[pa.RecordBatch]:
+            h, own = map(np.concatenate, zip(*held))
+            held.clear()
             order, first, least, _ = first_owner(h, own)
             h, own = h[order], own[order]
             again = own > least
@@ -109,6 +110,17 @@ def repeated_windows(docs: DataFrame, window: int, bits: int) -> DataFrame:
             if out:
                 yield arrow_rows(out, _ENTRY)
 
+        for rows, raw, offsets in chunks(batches):
+            ids, known = known_ids(rows)
+            words = Words(raw, offsets)
+            at, h = words.windows(window)
+            has = known[words.doc[at]]
+            held.append((truncated(h[has], bits), ids[words.doc[at[has]]]))
+            if sum(len(x) for x, _ in held) >= HELD:
+                yield from send()
+        if held:
+            yield from send()
+
     def settle(key: tuple, group: pa.Table) -> pa.Table:
         settled, rest = group.filter(group.column("doc_id").is_valid()), group.filter(group.column("doc_id").is_null())
         h, own = read_entries(key[0].as_py(), bits, *(rest.column(c).to_pylist() for c in ("docs", "counts", "hashes")))
@@ -119,7 +131,7 @@ def repeated_windows(docs: DataFrame, window: int, bits: int) -> DataFrame:
         late = pa.Table.from_batches([arrow_rows(found, _REPLY)] if found else [], _REPLY)
         return pa.concat_tables([settled.select(["doc_id", "hashes"]).cast(_REPLY), late])
 
-    return docs.mapInArrow(count, ENTRY).groupBy("bucket").applyInArrow(settle, REPLY)
+    return by_bucket(docs.mapInArrow(count, ENTRY), bits).applyInArrow(settle, REPLY)
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = False) -> DataFrame:

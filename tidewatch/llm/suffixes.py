@@ -11,16 +11,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bits_for, by_bucket, id_slot, slot_table, stash, table, text_bytes
-from .hashing import BASE, U, chunks, mix, powers, span_hashes
+from .hashing import BASE, U, chunks, mix, powers, span_hashes, squeeze, unsqueeze
 from .substrings import _ENTRY, ENTRY, arrow_rows, by_owner, entries, first_owner, known_ids, read_entries, runs, truncated
 
-LENGTH, GRAM, BUCKET_BYTES, HOT, HOT_BITS, ID_BITS = 50, 24, 12_000_000, 256, 20, 24
+LENGTH, GRAM, BUCKET_BYTES, HOT, HOT_BITS, ID_BITS = 50, 24, 4_000_000, 256, 20, 24
 #: bytes of segments that are sorted at once: sorting takes some 200 bytes of memory for each
 SORT_BYTES = 400_000
-#: texts that are sent to Python at once
-BATCH_ROWS = 1000
-SEGMENT = "bucket int, doc_id long, docs binary, starts binary, lengths binary, parts binary, bytes binary"
-_SEGMENT = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("docs", pa.binary()), ("starts", pa.binary()), ("lengths", pa.binary()), ("parts", pa.binary()), ("bytes", pa.binary())])
+#: texts that are sent to Python at once; anchors and bytes of segments that a task holds before it sends them
+BATCH_ROWS, HELD_ANCHORS, HELD_BYTES = 1000, 1_000_000, 8_000_000
+#: bytes of an anchor's hash below its bucket that are sent; two anchors taken for one cost work only
+ANCHOR_BYTES = 5
+#: rows with a doc_id are settled: runs of `lengths` repeated starts. In the others `packed` has n segments with `size` bytes
+SEGMENT = "bucket int, doc_id long, starts binary, lengths binary, n int, size int, packed binary"
+_SEGMENT = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("starts", pa.binary()), ("lengths", pa.binary()), ("n", pa.int32()), ("size", pa.int32()), ("packed", pa.binary())])
 REPEAT = "doc_id long, starts binary, counts binary"
 _REPEAT = pa.schema([("doc_id", pa.int64()), ("starts", pa.binary()), ("counts", pa.binary())])
 
@@ -36,8 +39,7 @@ def suffix_order(text: np.ndarray, wanted: np.ndarray, depth: int = 56) -> np.nd
     smaller = smaller_than_next(text)
     small = np.flatnonzero(wanted & smaller)
     if len(small):
-        words = eight_bytes(np.r_[text, np.zeros(depth + 8, np.uint8)])
-        small = small[np.lexsort([words[small + 8 * j] for j in range(depth // 8 - 1, -1, -1)])]
+        small = direct_order(eight_bytes(np.r_[text, np.zeros(depth + 8, np.uint8)]), small, depth)
     larger = wanted & ~smaller
     n_larger, n_small = np.bincount(text[larger], minlength=256), np.bincount(text[small], minlength=256)
     begin = np.concatenate([[0], np.cumsum(n_larger + n_small)])
@@ -68,6 +70,23 @@ def suffix_order(text: np.ndarray, wanted: np.ndarray, depth: int = 56) -> np.nd
     return order[order < len(text) - 1]
 
 
+def direct_order(words: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
+    """The places `at` in the order of the `depth` bytes that follow: by the first eight, then the next eight where those tie."""
+    order = at[np.argsort(words[at], kind="stable")]
+    first = words[order]
+    new = np.r_[True, first[1:] != first[:-1]]
+    for j in range(8, depth, 8):
+        tied = np.flatnonzero(~new | np.r_[~new[1:], False])
+        if not len(tied):
+            break
+        group, places = np.cumsum(new)[tied], order[tied]
+        by = np.lexsort((words[places + j], group))
+        order[tied] = places[by]
+        w = words[places[by] + j]
+        new[tied[1:]] |= w[1:] != w[:-1]
+    return order
+
+
 def smaller_than_next(text: np.ndarray) -> np.ndarray:
     """Whether the suffix at each position is smaller than its successor; the last one counts as smaller."""
     n = len(text)
@@ -104,6 +123,19 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, most: int) -> np.ndarra
     return np.minimum(total, most)
 
 
+def repeats_before(words: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether each segment (of eight bytes at least) has the bytes of the segment before it. words: eight_bytes() of the text."""
+    same = np.zeros(len(start), bool)
+    same[1:] = size[1:] == size[:-1]
+    for j in range(0, int(size.max(initial=0)), 8):
+        k = np.flatnonzero(same)
+        if not len(k):
+            break
+        step = np.minimum(j, size[k] - 8)
+        same[k] = words[start[k] + step] == words[start[k - 1] + step]
+    return same
+
+
 class Anchors:
     """For every string of `length` bytes inside one document, the position of its smallest `gram`-byte hash. Equal
     strings have it at the same place, so they are found together; runs of strings with one anchor are kept as one."""
@@ -146,33 +178,49 @@ class Anchors:
         self.doc = np.searchsorted(offsets, self.first, "right") - 1
 
 
+def tags(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """What a document is told of its shared anchors: 32 bits of each, below the bucket's. An anchor that is taken for a shared
+    one has its strings sorted in vain, no more."""
+    return ((hashes << U(bits)) >> U(32)).astype("<u4")
+
+
 def shared_anchors(docs: DataFrame, length: int, gram: int, bits: int) -> DataFrame:
-    """doc_id and the anchors it has in common with another document (doc_id null: an anchor that very many chunks have)."""
+    """doc_id and the tags of the anchors it has in common with another document (doc_id null: the hashes of anchors that
+    very many tasks have)."""
+    reply = pa.schema([("doc_id", pa.int64()), ("hashes", pa.binary())])
+
+    def shares(h: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[tuple[int, bytes]]]:
+        """Hashes and owners in order, where each hash begins, how many rows have it, and the tags of each owner that shares."""
+        order, first, least, size = first_owner(h, own)
+        h, own = h[order], own[order]
+        most = np.repeat(own[np.r_[first[1:], len(own)] - 1], np.diff(np.r_[first, len(own)])) if len(own) else own
+        return h, own, first, size, by_owner(own[most > least], tags(h[most > least], bits))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def send() -> Iterator[pa.RecordBatch]:
+            h, own, first, _, found = shares(*map(np.concatenate, zip(*held)))
+            held.clear()
+            out = entries(h[first], own[first], bits, ANCHOR_BYTES)
+            out += [(doc % (1 << bits), doc, None, None, b) for doc, b in found]
+            if out:
+                yield arrow_rows(out, _ENTRY)
+
         for rows, raw, offsets in chunks(batches):
             ids, known = known_ids(rows)
             anchors = Anchors(raw, offsets, length, gram)
             has = known[anchors.doc]
-            h, own = truncated(anchors.hash[has], bits), ids[anchors.doc[has]]
-            order, first, least, _ = first_owner(h, own)
-            h, own = h[order], own[order]
-            most = np.repeat(own[np.r_[first[1:], len(own)] - 1], np.diff(np.r_[first, len(own)])) if len(own) else own
-            shared = most > least
-            out = entries(h[first], own[first], bits)
-            out += [(doc % (1 << bits), doc, None, None, b) for doc, b in by_owner(own[shared], h[shared])]
-            if out:
-                yield arrow_rows(out, _ENTRY)
+            held.append((truncated(anchors.hash[has], bits, ANCHOR_BYTES), ids[anchors.doc[has]]))
+            if sum(len(h) for h, _ in held) >= HELD_ANCHORS:
+                yield from send()
+        if held:
+            yield from send()
 
     def settle(key: tuple, group: pa.Table) -> pa.Table:
-        reply = pa.schema([("doc_id", pa.int64()), ("hashes", pa.binary())])
         settled, rest = group.filter(group.column("doc_id").is_valid()), group.filter(group.column("doc_id").is_null())
-        h, own = read_entries(key[0].as_py(), bits, *(rest.column(c).to_pylist() for c in ("docs", "counts", "hashes")))
-        order, first, least, size = first_owner(h, own)
-        h, own = h[order], own[order]
-        most = np.repeat(own[np.r_[first[1:], len(own)] - 1], np.diff(np.r_[first, len(own)])) if len(own) else own
-        shared = most > least
-        found = by_owner(own[shared], h[shared])
+        h, own = read_entries(key[0].as_py(), bits, *(rest.column(c).to_pylist() for c in ("docs", "counts", "hashes")), ANCHOR_BYTES)
+        h, own, _, size, found = shares(h, own)
         hot = np.unique(h[size >= HOT])
         if len(hot):
             found.append((None, hot.tobytes()))
@@ -197,17 +245,19 @@ def hot_slots(found: DataFrame) -> np.ndarray:
     return out
 
 
-def segments(docs: DataFrame, length: int, gram: int, bits: int, seen_bits: int, hot: np.ndarray) -> DataFrame:
+def segments(docs: DataFrame, length: int, gram: int, bits: int, hot: np.ndarray) -> DataFrame:
     """The strings around shared anchors, by bucket; rows with a doc_id are settled: starts there are repeats."""
     marks = docs.sparkSession.sparkContext.broadcast(hot)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple[np.ndarray, ...]]] = {}
+        waiting = 0
         for rows, raw, offsets in chunks(batches):
             ids, _ = known_ids(rows)
             lists = rows.column("hashes").to_pylist()
-            wanted = np.unique(np.frombuffer(b"".join(b for x in lists if x for b in x), U))
+            wanted = np.unique(np.frombuffer(b"".join(b for x in lists if x for b in x), "<u4"))
             anchors = Anchors(raw, offsets, length, gram)
-            mine = np.isin(truncated(anchors.hash, seen_bits), wanted)
+            mine = np.isin(tags(anchors.hash, bits), wanted)
             first, last, h, doc = anchors.first[mine], anchors.last[mine], anchors.hash[mine], anchors.doc[mine]
             very = marks.value[(h >> U(64 - HOT_BITS)).astype(np.int64)]
             if very.any():  # strings at hot anchors go one by one, dealt by their own hash
@@ -215,36 +265,82 @@ def segments(docs: DataFrame, length: int, gram: int, bits: int, seen_bits: int,
                 k = np.repeat(np.arange(len(n)), n)
                 step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 first, last, h, doc, very = first[k] + step, np.where(very[k], first[k] + step, last[k]), h[k], doc[k], very[k]
-            end = last + length
-            content = span_hashes(raw.astype(U) + U(1), first, end, BASE)
-            own = ids[doc]
-            order, group, least, _ = first_owner(content, own)
-            first, end, last, own, doc = first[order], end[order], last[order], own[order], doc[order]
-            route = np.where(very, content, h)[order]
-            inside = first - offsets[doc]
-            again, out = own > least, []
+            size, own = last + length - first, ids[doc]
+            content = span_hashes(raw.astype(U) + U(1), first, first + size, BASE)
+            order = np.lexsort((own, content))
+            first, size, own, doc = first[order], size[order], own[order], doc[order]
+            route, inside = np.where(very, content, h)[order], first - offsets[doc]
+            # equal segments of the chunk, told by their bytes: what is not of the first document is a repeat
+            new = np.flatnonzero(~repeats_before(eight_bytes(raw), first, size)) if len(raw) >= 8 else np.zeros(0, np.int64)
+            again = own > np.repeat(own[new], np.diff(np.r_[new, len(own)]))
             o = np.argsort(own[again], kind="stable")
-            who, s, c = own[again][o], inside[again][o], (last - first + 1)[again][o]
+            who, s, c = own[again][o], inside[again][o], (size - length + 1)[again][o]
             at, ends = runs(who)
-            for a, b in zip(at.tolist(), ends[1:].tolist()):
-                out.append((int(who[a]) % (1 << bits), int(who[a]), None, s[a:b].astype("<i4").tobytes(), c[a:b].astype("<i4").tobytes(), None, None))
+            out = [(int(who[a]) % (1 << bits), int(who[a]), s[a:b].astype("<i4").tobytes(), c[a:b].astype("<i4").tobytes(), None, None, None) for a, b in zip(at.tolist(), ends[1:].tolist())]
+            if out:
+                yield arrow_rows(out, _SEGMENT)
             bucket, part = (route >> U(64 - bits)).astype(np.int64), ((route >> U(64 - bits - 8)) & U(255)).astype(np.uint8)
             new = np.flatnonzero(~again)
-            new = new[np.lexsort((own[new], bucket[new]))]
+            new = new[np.lexsort((inside[new], own[new], bucket[new]))]
             at, ends = runs(bucket[new])
             for a, b in zip(at.tolist(), ends[1:].tolist()):
                 k = new[a:b]
-                size = end[k] - first[k]
-                take = np.repeat(first[k] - np.cumsum(size) + size, size) + np.arange(size.sum())
-                out.append((int(bucket[k[0]]), None, np.diff(own[k], prepend=0).tobytes(), inside[k].astype("<i4").tobytes(), size.astype("<i4").tobytes(), part[k].tobytes(), raw[take].tobytes()))
-            if out:
-                yield arrow_rows(out, _SEGMENT)
+                take = np.repeat(first[k] - np.cumsum(size[k]) + size[k], size[k]) + np.arange(size[k].sum())
+                held.setdefault(int(bucket[k[0]]), []).append((own[k], inside[k].astype("<i4"), size[k].astype("<i4"), part[k], raw[take]))
+            waiting += int(size[new].sum())
+            if waiting >= HELD_BYTES:
+                yield packed(held)
+                held, waiting = {}, 0
+        if held:
+            yield packed(held)
 
     return docs.mapInArrow(emit, SEGMENT)
 
 
+def packed(held: dict[int, list[tuple[np.ndarray, ...]]]) -> pa.RecordBatch:
+    """A row for each bucket with its segments: owners, starts, sizes, parts and bytes."""
+    out = []
+    for bucket, lots in held.items():
+        own, start, size, part, data = map(np.concatenate, zip(*lots))
+        out.append((bucket, None, None, None, len(own), len(data), squeeze(np.diff(own, prepend=0), start, size, part, data)))
+    return arrow_rows(out, _SEGMENT)
+
+
+def unpacked(rows: pa.Table) -> tuple[np.ndarray, ...]:
+    """Owners, starts, sizes, parts and bytes of all rows that packed() made of a bucket."""
+    columns = zip(*(rows.column(c).to_pylist() for c in ("n", "size", "packed")))
+    lots = [unsqueeze(b, [("<i8", n), ("<i4", n), ("<i4", n), ("u1", n), ("u1", size)]) for n, size, b in columns]
+    own = np.concatenate([np.cumsum(x[0]) for x in lots])
+    return own, *(np.concatenate([x[i] for x in lots]).astype(kind) for i, kind in ((1, np.int64), (2, np.int64), (3, np.uint8), (4, np.uint8)))
+
+
 def repeated_starts(own: np.ndarray, start: np.ndarray, size: np.ndarray, data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """owner and place of each string of `length` bytes in these segments that a smaller owner has too."""
+    """owner and place of each string of `length` bytes in these segments that a smaller owner has too. Segments of the same
+    bytes are sorted once, for the smallest owner: a larger one repeats all its strings, the same one repeats what the
+    first does."""
+    begin = np.cumsum(size) - size
+    order = np.lexsort((own, span_hashes(data.astype(U) + U(1), begin, begin + size, BASE)))
+    new = ~repeats_before(eight_bytes(data), begin[order], size[order])
+    first = order[new]
+    like = np.empty(len(order), np.int64)
+    like[order] = np.cumsum(new) - 1
+    take = np.repeat(begin[first] - np.cumsum(size[first]) + size[first], size[first]) + np.arange(size[first].sum())
+    segment, place = sorted_repeats(own[first], size[first], data[take], length)
+    larger, fellow = own > own[first][like], own == own[first][like]
+    # of segments like the first and of its owner: the first one's repeats
+    n_found = np.bincount(segment, minlength=len(first))
+    segment, place = segment[o := np.argsort(segment, kind="stable")], place[o]
+    k = np.flatnonzero(fellow)
+    n, base = n_found[like[k]], (np.cumsum(n_found) - n_found)[like[k]]
+    at = np.repeat(base - np.cumsum(n) + n, n) + np.arange(n.sum())
+    who, where = np.repeat(own[k], n), np.repeat(start[k], n) + place[at]
+    k = np.flatnonzero(larger)
+    n = size[k] - length + 1
+    return np.r_[who, np.repeat(own[k], n)], np.r_[where, np.repeat(start[k] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+
+
+def sorted_repeats(own: np.ndarray, size: np.ndarray, data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Segment and place in it of each string of `length` bytes that a segment of a smaller owner has too."""
     begin = np.cumsum(size + 1) - size - 1  # each segment is followed by a zero byte
     text = np.zeros(int((size + 1).sum()), np.uint8)
     text[np.arange(len(data)) + np.repeat(np.arange(len(size)), size)] = data
@@ -260,7 +356,7 @@ def repeated_starts(own: np.ndarray, start: np.ndarray, size: np.ndarray, data:
     reach[final] += 1
     np.add.at(reach, np.minimum(stop[final], len(text) - 1) + 1, -1)
     wanted = candidate | (np.cumsum(reach)[:-1] > 0)
-    order = suffix_order(text, wanted)
+    order = suffix_order(text, wanted, -(-length // 8) * 8)
     order = order[candidate[order]]
     shared = common_prefixes(text, order, length) >= length
     segment = np.searchsorted(begin, order, "right") - 1
@@ -268,7 +364,7 @@ def repeated_starts(own: np.ndarray, start: np.ndarray, size: np.ndarray, data:
     new = np.flatnonzero(~shared)
     least = np.repeat(np.minimum.reduceat(who, new), np.diff(np.r_[new, len(who)]))
     again = who > least
-    return who[again], (start[segment] + order - begin[segment])[again]
+    return segment[again], (order - begin[segment])[again]
 
 
 def sort_bucket(length: int):
@@ -280,11 +376,7 @@ def sort_bucket(length: int):
         done = settled.select(["doc_id", "starts", "lengths"]).rename_columns(["doc_id", "starts", "counts"]).cast(_REPEAT)
         if not len(rest):
             return done
-        own = np.concatenate([np.cumsum(np.frombuffer(b, np.int64)) for b in rest.column("docs").to_pylist()])
-        start = np.frombuffer(b"".join(rest.column("starts").to_pylist()), "<i4").astype(np.int64)
-        size = np.frombuffer(b"".join(rest.column("lengths").to_pylist()), "<i4").astype(np.int64)
-        data = np.concatenate([np.frombuffer(b.as_buffer(), np.uint8) for b in rest.column("bytes")])
-        part = np.frombuffer(b"".join(rest.column("parts").to_pylist()), np.uint8)
+        own, start, size, part, data = unpacked(rest)
         at = np.cumsum(size) - size
         order = np.argsort(part, kind="stable")
         total = np.bincount(part, weights=size, minlength=256)
@@ -321,9 +413,11 @@ def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRA
     each string of `length` bytes is filed under its anchor, the smallest hash of its `gram`-byte substrings, and only
     strings whose anchor occurs in two documents go on. Those are dealt into buckets by anchor, and in each bucket the
     suffixes are sorted in two stages; strings that share `length` bytes with a neighbour are decided there, exactly.
-    Buckets grow in number with the input; copies inside a chunk are settled before the shuffle, and strings at an anchor
-    that very many chunks have are dealt by their own hash.
+    Buckets grow in number with the input; equal segments of a chunk, told by their bytes, are settled before the shuffle, and
+    strings at an anchor that very many tasks have are dealt by their own hash.
     """
+    if not 8 <= gram <= length:
+        raise ValueError("needs 8 <= gram <= length")
     docs = docs.select("doc_id", "text")
     bits = bits_for(text_bytes(docs) / BUCKET_BYTES)
     found = stash(shared_anchors(docs, length, gram, bits), "anchors", BATCH_ROWS)
@@ -338,7 +432,7 @@ def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRA
 
     # texts without shared anchors stay where they are; the join decides exactly
     some = docs.filter("doc_id IS NOT NULL").withColumn("slot", id_slot("doc_id", ID_BITS)).mapInArrow(skim, "doc_id long, text string")
-    repeats = by_bucket(segments(some.join(mine, "doc_id"), length, gram, bits, bits, hot), bits).applyInArrow(sort_bucket(length), REPEAT)
+    repeats = by_bucket(segments(some.join(mine, "doc_id"), length, gram, bits, hot), bits).applyInArrow(sort_bucket(length), REPEAT)
     repeats = stash(repeats, "repeats", BATCH_ROWS).groupBy("doc_id").agg(F.collect_list(F.struct("starts", "counts")).alias("repeats"))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
