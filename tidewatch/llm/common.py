@@ -49,6 +49,15 @@ def stash(df: DataFrame, label: str = "t", batch_rows: int | None = None) -> Dat
     return spark.read.schema(df.schema).parquet(path)
 
 
+def with_row(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs, written out, with a column that numbers its rows, and that column's name: what is decided about a row is decided
+    about it alone, whatever its doc_id. Written first, because a row that is read again may get another number."""
+    row = "_row"
+    while row in docs.columns:
+        row += "_"
+    return stash(docs.withColumn(row, F.monotonically_increasing_id()), "rows"), row
+
+
 def text_bytes(docs: DataFrame, column: str = "text") -> int:
     """UTF-8 bytes of a text column, over all rows."""
     return docs.agg(F.coalesce(F.sum(F.octet_length(column)), F.lit(0)).alias("n")).first()["n"]
