@@ -7,7 +7,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +15,7 @@ from .common import table
 
 WINDOW, DOCS_PER_GROUP, END_ID = 1024, 20_000, 0
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+PIECES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 _encoders: dict[str, object] = {}
@@ -47,7 +47,7 @@ def cut(docs: DataFrame, window: int = WINDOW, vocabulary: str | None = None) ->
                     part = ids[start : start + window]
                     rows.append((doc_id, start, len(part), zlib.crc32(part.tobytes()), len(ids)))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=PIECES)
 
     return docs.select("doc_id", "text").mapInArrow(pieces, PIECE)
 
@@ -107,21 +107,23 @@ def best_fit_decreasing(lengths: np.ndarray, window: int = WINDOW) -> tuple[np.n
 def pack(docs: DataFrame, window: int = WINDOW, docs_per_group: int = DOCS_PER_GROUP, vocabulary: str | None = None) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    Documents are dealt by a hash of doc_id into groups of about `docs_per_group`, each of which is packed on its own, so
+    Pieces are dealt by a hash into groups of about `docs_per_group` documents' size, each of which is packed on its own, so
     no group grows with the input. A sequence is never longer than `window` and has no gaps; only its end is padding. A
     null or empty text is the end id alone. A repeated row is packed as often as it occurs; rows with a null doc_id are
-    packed too, with a null doc_id. An empty table gives no pieces; other columns are ignored.
+    packed too, with a null doc_id, and fill no group of their own. An empty table gives no pieces; other columns are
+    ignored.
     """
     groups = max(1, -(-docs.count() // docs_per_group))
     bits = 40
 
-    def fill(key: tuple, pieces: pd.DataFrame) -> pd.DataFrame:
-        pieces = pieces.sort_values(["doc_id", "start"], kind="stable", ignore_index=True)
+    def fill(key: tuple, pieces: pa.Table) -> pa.Table:
+        pieces = pieces.sort_by([(c, "ascending") for c in ("doc_id", "start", "ids_crc32")])
         sequence, offset = best_fit_decreasing(pieces["length"].to_numpy(), window)
-        return pieces.drop(columns="_group").assign(sequence_id=(int(key[0]) << bits) + sequence, offset=offset)
+        placed = pieces.select(PIECES).append_column("sequence_id", pa.array((key[0].as_py() << bits) + sequence))
+        return placed.append_column("offset", pa.array(offset))
 
-    grouped = cut(docs, window, vocabulary).withColumn("_group", F.pmod(F.xxhash64("doc_id"), F.lit(groups)))
-    return grouped.groupBy("_group").applyInPandas(fill, PACKED)
+    grouped = cut(docs, window, vocabulary).withColumn("_group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)))
+    return grouped.groupBy("_group").applyInArrow(fill, PACKED)
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
