@@ -6,7 +6,6 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -23,7 +22,12 @@ WORD = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str | None) -> list[str]:
-    return WORD.findall(text.lower()) if text else []
+    """The runs of letters of a text in small letters. What `re` takes for word characters holds numbers such as ½ and Ⅷ too;
+    they part words."""
+    words = WORD.findall(text.lower()) if text else []
+    if "".join(words).isalpha():
+        return words
+    return [w for x in words for w in "".join(c if c.isalpha() else " " for c in x).split()]
 
 
 def features(words: list[str], lexicon: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -111,7 +115,7 @@ class Crf:
         number = {w: i for i, w in enumerate(words)}
         owner, slot = features(words, self.lexicon)
         ids = [np.array([number[w] for w in t], np.int64) for t in texts]
-        square, square_moves = np.full_like(self.weights, 1e-6), np.full_like(self.moves, 1e-6)
+        square, square_moves, square_first = (np.full_like(x, 1e-6) for x in (self.weights, self.moves, self.first))
         draw = np.random.default_rng(7)
         for _ in range(sweeps):
             at = draw.permutation(len(texts))
@@ -119,12 +123,13 @@ class Crf:
                 some = [i for i in at[lo : lo + batch] if len(ids[i])]
                 score = self.scores(owner, slot, len(words))
                 p, moved = self.marginals([score[ids[i]] for i in some])
-                miss, grad_moves = np.zeros((len(words), n)), -moved
+                miss, grad_moves, grad_first = np.zeros((len(words), n)), -moved, np.zeros(n)
                 for i, q in zip(some, p):
                     np.add.at(miss, ids[i], np.eye(n)[labels[i]] - q)
+                    grad_first += np.eye(n)[labels[i][0]] - q[0]
                     np.add.at(grad_moves, (labels[i][:-1], labels[i][1:]), 1)
                 grad = np.stack([np.bincount(slot, miss[owner, c], len(self.weights)) for c in range(n)], axis=1)
-                for value, g, s in ((self.weights, grad, square), (self.moves, grad_moves, square_moves)):
+                for value, g, s in ((self.weights, grad, square), (self.moves, grad_moves, square_moves), (self.first, grad_first, square_first)):
                     g /= max(1, len(some))
                     s += g * g
                     value += rate * 0.2 * g / np.sqrt(s)
@@ -176,23 +181,15 @@ def identify(docs: DataFrame, model: Crf) -> DataFrame:
 
     Every word of the whole text gets a probability of each language; the text's language is the one with the largest sum,
     and score its share. A null or empty text, or one without a letter, is `und` with score 0. Repeated rows are each
-    labelled, null doc_ids allowed. An empty table gives an empty result; only the text is looked at.
+    labelled, null doc_ids allowed. An empty table gives an empty result; only the text is looked at. A model that has
+    learned no language says `und` with score 0.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        crf = shared.value
+    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size = batch["text"].map(lambda t: len(t) if t else 0).to_numpy()
-            order = np.argsort(size, kind="stable")
-            begin = 0
-            while begin < len(order):
-                end = begin + 1
-                while end < len(order) and end - begin < 512 and (end - begin + 1) * size[order[end]] < 1_500_000:
-                    end += 1
-                rows = batch.iloc[order[begin:end]]
-                begin = end
-                probabilities, _ = crf.marginals(crf.emissions([words_of(t) for t in rows["text"]]))
+            crf, texts = shared.value, batch.column("text").to_pylist()
+            for at, probabilities in by_size(crf, texts):
                 out = []
                 for p in probabilities:
                     if not len(p):
@@ -200,10 +197,26 @@ def identify(docs: DataFrame, model: Crf) -> DataFrame:
                         continue
                     mean, best = p.mean(0), p.argmax(1)
                     top = int(mean.argmax())
-                    out.append((crf.labels[top], float(min(1.0, mean[top])), len(p), int((best[1:] != best[:-1]).sum())))
-                yield pd.DataFrame(out, columns=["lang_pred", "score", "n_words", "n_switches"]).assign(doc_id=rows["doc_id"].array)[["doc_id", "lang_pred", "score", "n_words", "n_switches"]]
+                    sure = float(min(1.0, mean[top])) if crf.labels[top] != UNKNOWN else 0.0
+                    out.append((crf.labels[top], sure, len(p), int((best[1:] != best[:-1]).sum())))
+                kinds = [pa.string(), pa.float64(), pa.int64(), pa.int64()]
+                columns = [pa.array(c, kind) for c, kind in zip(zip(*out), kinds)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(at)), *columns], ["doc_id", "lang_pred", "score", "n_words", "n_switches"])
 
-    return docs.select("doc_id", "text").mapInPandas(label, "doc_id long, lang_pred string, score double, n_words long, n_switches long")
+    return docs.select("doc_id", "text").mapInArrow(label, "doc_id long, lang_pred string, score double, n_words long, n_switches long")
+
+
+def by_size(crf: Crf, texts: list[str | None]) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """Places of texts of like length, and each one's probabilities: a bounded number of words at a time, or one text."""
+    size = np.array([len(t or "") for t in texts], np.int64)
+    order = np.argsort(size, kind="stable")
+    begin = 0
+    while begin < len(order):
+        end = begin + 1
+        while end < len(order) and end - begin < 512 and (end - begin + 1) * size[order[end]] < 1_500_000:
+            end += 1
+        yield order[begin:end], crf.marginals(crf.emissions([words_of(texts[i]) for i in order[begin:end]]))[0]
+        begin = end
 
 
 def learned(docs: DataFrame, sample: int = SAMPLE) -> Crf:
@@ -212,17 +225,11 @@ def learned(docs: DataFrame, sample: int = SAMPLE) -> Crf:
 
 
 def certain(crf: Crf, texts: list[str | None], least: float) -> np.ndarray:
-    """Whether each text has words and the mean of each word's largest probability is `least` at least."""
+    """Whether each text has words and the mean of each word's largest probability is `least` at least. A model that has learned
+    no language rejects no text with words."""
     good = np.zeros(len(texts), bool)
-    order = np.argsort([len(t or "") for t in texts], kind="stable")
-    begin = 0
-    while begin < len(order):
-        end = begin + 1
-        while end < len(order) and end - begin < 512 and (end - begin + 1) * len(texts[order[end]] or "") < 1_500_000:
-            end += 1
-        at, begin = order[begin:end], end
-        probabilities, _ = crf.marginals(crf.emissions([words_of(texts[i]) for i in at]))
-        good[at] = [len(p) > 0 and crf.labels[int(p.mean(0).argmax())] != UNKNOWN and p.max(1).mean() >= least for p in probabilities]
+    for at, probabilities in by_size(crf, texts):
+        good[at] = [len(p) > 0 and (crf.labels == [UNKNOWN] or p.max(1).mean() >= least) for p in probabilities]
     return good
 
 
