@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slot_table, stash, table
+from .common import slot_table, stash, table, with_row
 from .hashing import BASE, LOWER, WINDOW_BASE, U, Words, chunks, span_hashes
 
 WINDOW, SHORTEST, COVERAGE, SLOT_BITS, BROADCAST_ROWS = 8, 5, 0.5, 22, 200_000
@@ -137,8 +137,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, sh
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents, with their own columns, that contain no benchmark item."""
-    return docs.join(contaminated(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti")
+    """The rows with their own columns that contain no benchmark item, each row by its own text, whatever its doc_id."""
+    rows, row = with_row(docs)
+    found = contaminated(rows.select(F.col(row).alias("doc_id"), "text"), benchmark)
+    return rows.join(found.select(F.col("doc_id").alias(row)).distinct(), row, "left_anti").drop(row)
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
