@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import id_slot, slot_table, stash, table
+from .common import id_slot, slot_table, stash, table, with_row
 from .hashing import LOWER, WINDOW_BASE, U, Words, chunks, mix, span_hashes
 from .links import components
 
@@ -20,8 +20,8 @@ COUNT_BITS, COUNT_BLOCK = 18, 1024
 ID_BITS = 24
 #: a set's shingles are counted in so many parts of the hash range; the counts bound how much two sets differ
 PART_BITS = 8
-#: rows of one key are reduced in so many leaves before they meet
-LEAVES = 256
+#: rows of one key are reduced in so many leaves before they meet; members of a shingle that one task compares with the rest
+LEAVES, SALT_ROWS = 256, 64
 SET = "doc_id long, n_shingles long, sum_digest long, xor_digest long, prefix_digest long, sketch binary, parts array<tinyint>, prefix array<long>"
 
 
@@ -204,9 +204,12 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     postings = postings.select(F.explode("prefix").alias("token"), F.col("n_shingles").alias("n"), F.col("doc_id").alias("grp"), "rarest")
     # at each shingle, sizes are dealt into classes; groups of one class link to its first, so that copies share few partners
     level = F.floor(F.log(F.col("n")) / F.log(F.lit(100 / percent))).cast("int")
-    at, within = Window.partitionBy("token"), Window.partitionBy("token", "level")
-    postings = postings.withColumns({"level": level, "of": F.count(F.lit(1)).over(at)}).filter("of > 1 OR token = rarest")
-    postings = stash(postings.select("token", "n", "grp", F.min("grp").over(within).alias("first")), "postings")
+    postings = stash(postings.withColumn("level", level), "postings")
+    # summed before they meet, so a hot shingle is a row for each class and task here; the join below can be split
+    classes = postings.groupBy("token", "level").agg(F.min("grp").alias("first"), F.count(F.lit(1)).alias("in_class"))
+    classes = classes.withColumn("of", F.sum("in_class").over(Window.partitionBy("token")))
+    postings = postings.join(classes, ["token", "level"]).filter("of > 1 OR token = rarest")
+    postings = stash(postings.select("token", "n", "grp", "first"), "postings")
     near = postings.filter("first <> grp").select(F.least("first", "grp").alias("a"), F.greatest("first", "grp").alias("b"))
     inside = group.filter("member <> grp").select(F.col("grp").alias("a"), F.col("member").alias("b"))
     label = stash(components(verified(near.union(inside).distinct(), docs, sets, words, percent)), "labels")
@@ -219,12 +222,15 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     shares = sets.filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("member"), "parts").dropDuplicates(["member"])
     members = named.join(open_groups.select("grp").distinct(), "grp", "left_semi").join(shares, "member")
     expanded = stash(open_groups.join(members, "grp").select("token", "member", F.col("n_shingles").alias("n"), "component", "parts"), "open")
-    usual = expanded.groupBy("token", "component").count().groupBy("token").agg(F.max_by("component", F.struct("count", "component")).alias("usual"))
-    odd = expanded.join(usual, "token").filter("component <> usual").drop("usual")
-    x, y = odd.alias("x"), expanded.alias("y")
+    usual = expanded.groupBy("token", "component").count().groupBy("token").agg(F.max_by("component", F.struct("count", "component")).alias("usual"), (F.sum("count") - F.max("count")).alias("n_odd"))
+    # the odd members of a shingle are dealt into salts, and meet all its members in each
+    usual = stash(usual.filter("n_odd > 0").withColumn("salts", F.ceil(F.col("n_odd") / SALT_ROWS).cast("int")), "usual")
+    odd = expanded.join(usual, "token").filter("component <> usual").withColumn("salt", F.pmod(F.xxhash64("member"), F.col("salts")).cast("int"))
+    every = expanded.join(usual.select("token", "salts"), "token").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    x, y = odd.alias("x"), every.alias("y")
     sizes = f"x.component <> y.component AND 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"
     apart = "aggregate(zip_with(x.parts, y.parts, (p, q) -> abs(cast(p AS int) - q)), 0, (s, d) -> s + d)"
-    across = x.join(y, F.expr(f"x.token = y.token AND {sizes} AND {percent} * (x.n + y.n + {apart}) <= 100 * (x.n + y.n - {apart})"))
+    across = x.join(y, F.expr(f"x.token = y.token AND x.salt = y.salt AND {sizes} AND {percent} * (x.n + y.n + {apart}) <= 100 * (x.n + y.n - {apart})"))
     across = across.select(F.least("x.member", "y.member").alias("a"), F.greatest("x.member", "y.member").alias("b")).distinct()
     second = verified(across, docs, sets, words, percent)
 
@@ -240,9 +246,21 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
 
 
 def drop_near(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The documents with their own columns, one (the smallest doc_id) of each component."""
-    kept = near_duplicates(docs, words, percent).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    """The rows with their own columns, one (the smallest doc_id, null ones last) of each component of rows; each row is a
+    document of its own, so of rows that repeat a doc_id and a text one stays, and rows with a null doc_id take part. Rows
+    without words link with nothing and stay. An empty table gives an empty one."""
+    rows, row = with_row(docs)
+    ids = rows.select(F.col(row).alias("doc_id"), F.col("doc_id").alias("id"))
+    near = near_duplicates(rows.select(F.col(row).alias("doc_id"), "text"), words, percent).filter("n_shingles > 0").select("doc_id", "component_id")
+    near = stash(near, "near")
+    several = near.filter("doc_id <> component_id").select(F.col("component_id").alias("root")).distinct()
+    named = near.join(several, near["component_id"] == several["root"], "left_semi").join(ids, "doc_id")
+    rank = F.struct(F.col("id").isNull().alias("none"), "id", "doc_id")
+    # first by leaf, so that a component with a third of all rows is a few rows where it meets
+    first = named.withColumn("leaf", leaf("doc_id")).groupBy("leaf", "component_id").agg(F.min(rank).alias("best")).groupBy("component_id").agg(F.min("best").alias("best"))
+    kept = first.select("component_id", F.col("best.doc_id").alias("kept"))
+    gone = named.join(kept, "component_id").filter("doc_id <> kept").select(F.col("doc_id").alias(row))
+    return rows.join(gone, row, "left_anti").drop(row)
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
