@@ -1,3 +1,4 @@
+import hashlib
 from datetime import datetime as D
 
 import numpy as np
@@ -5,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.functions import scalars
-from tidewatch.operators import features, intervals, metrics, timeseries
+from tidewatch.operators import features, intervals, metrics, quality, timeseries
+from tidewatch.plans import dashboard
 from tidewatch.sources import cleaning, files
 
 
@@ -25,14 +27,15 @@ def test_bounds(spark):
     """Two overlapping intervals over midnight, and a region with a working day; Kyiv is two hours ahead."""
     a = alerts(spark, [("K", D(2022, 1, 2, 22), D(2022, 1, 3, 21)), ("K", D(2022, 1, 3, 20), D(2022, 1, 3, 23)), ("L", D(2022, 1, 3, 7), D(2022, 1, 3, 16)), ("L", D(2022, 1, 3, 7), D(2022, 1, 3, 7))])
     rec = intervals.local_records(a)
-    hours = features.region_hour(rec)
+    merged, regions = intervals.merged_by_day(rec), features.spans(rec)
+    hours = features.region_hour(merged, regions)
     assert hours.count() == 96
-    rows = {(r["region_name"], r["date"].day): r for r in features.region_day(rec, hours).collect()}
+    rows = {(r["region_name"], r["date"].day): r for r in features.region_day(rec, merged, hours).collect()}
     k = rows["K", 3]
     assert [k[c] for c in ("alert_minutes_total", "alert_minutes_night", "alert_minutes_workday", "raw_alert_record_count", "merged_alert_episode_count", "max_alert_duration", "longest_alert_free_window_minutes")] == [1440, 540, 540, 2, 1, 1380, 0]
     assert k["last_alert_time"] == D(2022, 1, 4) and rows["K", 4]["alert_minutes_total"] == 60 and rows["L", 3]["longest_alert_free_window_minutes"] == 540
     assert rows["L", 4]["max_alert_duration"] is None and rows["L", 4]["longest_alert_free_window_minutes"] == 1440
-    nat = {r["date"].day: r for r in features.national_day(hours, features.region_day(rec, hours)).collect()}
+    nat = {r["date"].day: r for r in features.national_day(hours, features.region_day(rec, merged, hours)).collect()}
     assert nat[3]["max_regions_simultaneously_alerted"] == 2 and nat[4]["national_alert_burden_index"] == pytest.approx(60 / 1980)
 
 
@@ -50,8 +53,9 @@ def test_touching_intervals_merge(spark):
 
 def test_empty(spark):
     rec = intervals.local_records(alerts(spark, []))
-    hours = features.region_hour(rec)
-    assert hours.count() == 0 and metrics.region_day_metrics(features.region_day(rec, hours)).count() == 0
+    merged, regions = intervals.merged_by_day(rec), features.spans(rec)
+    hours = features.region_hour(merged, regions)
+    assert hours.count() == 0 and metrics.region_day_metrics(features.region_day(rec, merged, hours)).count() == 0
 
 
 def test_inequality(spark):
@@ -93,7 +97,58 @@ def test_files(spark, tmp_path):
     (tmp_path / ".hidden").mkdir()
     (tmp_path / ".hidden" / "b.csv").write_text("x\n1\n")
     (tmp_path / "c.txt").write_text("no")
-    assert [p.name for p in files.list_raw_files(tmp_path)] == ["a.csv"]
+    assert [r["path"].rsplit("/", 1)[1] for r in files.raw_files(spark, str(tmp_path)).collect()] == ["a.csv"]
     assert files.inspect_dataset(spark, tmp_path).first()["rows"] == 1
     with pytest.raises(ValueError, match="Unsupported file type"):
         files.load_any_file(spark, tmp_path / "c.txt")
+
+
+def test_files_are_published_and_found(spark, tmp_path):
+    df = spark.createDataFrame([("Kyiv", 3)], "region string, alerts long")
+    at = str(tmp_path / "table")
+    files.publish(df, at)
+    files.publish(df.union(df), at)
+    assert spark.read.parquet(at).count() == 2 and [p.name for p in tmp_path.iterdir()] == ["table"]
+    assert files.load_tables(spark, str(tmp_path), ["none"], []) is None
+    files.publish(df, f"{at}.parquet")
+    got = files.load_tables(spark, str(tmp_path), ["table"], ["none"])
+    assert got["none"] is None and got["table"].count() == 1
+    (tmp_path / "a.csv").write_text("x\n1\n")
+    kept = files.build_manifest(spark, str(tmp_path), ["a.csv", "b.csv"], {"archive": "old", "files": {}})
+    assert kept == {"archive": "old", "files": {"a.csv": {"exists": True, "size_bytes": 4}, "b.csv": {"exists": False, "size_bytes": None}}}
+    files.write_manifest(spark, f"{tmp_path}/m.json", kept)
+    assert files.read_manifest(spark, f"{tmp_path}/m.json") == kept and files.read_manifest(spark, f"{tmp_path}/none.json") == {}
+    assert files.missing_files(spark, str(tmp_path), ["a.csv", "b.csv"]) == ["b.csv"]
+    files.write_inventory(files.inspect_dataset(spark, str(tmp_path)), f"{tmp_path}/inventory")
+    assert spark.read.option("header", True).csv(f"{tmp_path}/inventory").filter("path like '%a.csv'").first()["rows"] == "1"
+    digest = files.file_digests(spark, f"{tmp_path}/a.csv").first()["sha256"]
+    assert digest == hashlib.sha256(b"x\n1\n").hexdigest()
+
+
+def test_checks(spark, tmp_path):
+    inf = float("inf")
+    df = spark.createDataFrame([(0.5, "low"), (None, None), (1.5, "odd")], "x double, label string")
+    checks = quality.range_checks(df, {"x": (0.0, 1.0)})
+    assert [r["passed"] for r in checks.collect()] == [False]
+    with pytest.raises(ValueError, match="validation failed: x"):
+        quality.publish_checked(df, f"{tmp_path}/t", checks)
+    assert not (tmp_path / "t").exists()
+    good = df.filter("x < 1")
+    quality.publish_checked(good, f"{tmp_path}/t", quality.range_checks(good, {"x": (0.0, 1.0)}))
+    assert spark.read.parquet(f"{tmp_path}/t").count() == 1
+    assert not quality.labels_are_valid(df, "label", {"low"}) and quality.labels_are_valid(df, "label", {"low", "odd"}) and not quality.labels_are_valid(df, "none", {"low"})
+    assert not quality.has_infinite(df) and quality.has_infinite(spark.createDataFrame([(-inf,)], "x double")) and not quality.has_infinite(df.select("label"))
+    times = spark.range(1).select(F.current_timestamp().alias("a"), F.current_timestamp().cast("timestamp_ntz").alias("b"))
+    assert quality.has_zone(times, "a") and not quality.has_zone(times, "b")
+    with pytest.raises(ValueError, match="missing columns: finished_at_utc"):
+        intervals.local_records(spark.createDataFrame([], "region string, started_at_utc timestamp_ntz"))
+
+
+def test_public_words(spark):
+    rows = spark.createDataFrame([(None, None, None), ("worsening", "strong shift", 90.0), ("odd", "odd", -30.0), ("stable", "possible shift", 120000.0)], "trend string, shift string, m double")
+    c = F.col
+    got = rows.select(dashboard.public_trend(c("trend")), dashboard.public_shift(c("shift")), dashboard.hours_text(c("m")), dashboard.hours_per_day(c("m"), True), dashboard.decimal_text(c("m")))
+    assert [tuple(r) for r in got.collect()] == [
+        ("not available", "not available", "n/a", "n/a", "n/a"), ("historically increased", "repeated statistical shifts", "2 h", "+1.5 h/day", "90.000"),
+        ("mixed historical pattern", "possible statistical shift", "-0 h", "-0.5 h/day", "-30.000"), ("historically stable", "possible statistical shift", "2,000 h", "+2,000.0 h/day", "120,000.000"),
+    ]

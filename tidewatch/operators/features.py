@@ -9,22 +9,29 @@ from ..functions.scalars import is_night, is_work
 from . import intervals as I
 
 
-def observed_range(records: DataFrame) -> DataFrame:
+def spans(records: DataFrame) -> DataFrame:
+    """The first start and the last instant of each region: a row for each region, from one pass."""
     last = F.timestamp_add("MICROSECOND", F.lit(-1), F.col("e"))
-    return records.agg(F.to_date(F.min("s")).alias("first_date"), F.to_date(F.max(last)).alias("last_date"))
+    return records.groupBy("region").agg(F.min("s").alias("first_start"), F.max(last).alias("last_instant"))
 
 
-def region_ids(records: DataFrame) -> DataFrame:
+def observed_range(regions: DataFrame) -> DataFrame:
+    """First and last date of the rows of spans()."""
+    return regions.agg(F.to_date(F.min("first_start")).alias("first_date"), F.to_date(F.max("last_instant")).alias("last_date"))
+
+
+def region_ids(regions: DataFrame) -> DataFrame:
     """Regions are few; they are numbered by name."""
-    return records.select("region").distinct().withColumn("region_id", F.row_number().over(Window.orderBy("region")).cast("bigint"))
+    return regions.select("region").distinct().withColumn("region_id", F.row_number().over(Window.orderBy("region")).cast("bigint"))
 
 
-def region_hour(records: DataFrame) -> DataFrame:
-    minutes = I.minutes_by_hour(I.merged_by_day(records))
+def region_hour(merged: DataFrame, regions: DataFrame) -> DataFrame:
+    """Every region and hour of the observed days. merged: merged_by_day(); regions: spans()."""
+    minutes = I.minutes_by_hour(merged)
     day = F.explode(F.sequence("first_date", "last_date"))
-    hours = observed_range(records).filter("first_date IS NOT NULL").select(day.alias("date")).select("date", F.explode(F.sequence(F.lit(0), F.lit(23))).alias("h"))
+    hours = observed_range(regions).filter("first_date IS NOT NULL").select(day.alias("date")).select("date", F.explode(F.sequence(F.lit(0), F.lit(23))).alias("h"))
     hours = hours.select("date", F.timestamp_add("HOUR", F.col("h"), F.col("date").cast("timestamp_ntz")).alias("datetime_hour"), F.col("h").cast("bigint").alias("hour"))
-    grid = hours.crossJoin(F.broadcast(region_ids(records)))  # regions x hours is the result's own size
+    grid = hours.crossJoin(F.broadcast(region_ids(regions)))  # regions x hours is the result's own size
     full = grid.join(minutes, ["region", "datetime_hour"], "left")
     active = F.least(F.lit(60.0), F.greatest(F.lit(0.0), F.coalesce("minutes", F.lit(0.0))))
     weekday = F.weekday("date").cast("bigint")
@@ -34,12 +41,12 @@ def region_hour(records: DataFrame) -> DataFrame:
     )
 
 
-def region_day(records: DataFrame, hours: DataFrame) -> DataFrame:
+def region_day(records: DataFrame, merged: DataFrame, hours: DataFrame) -> DataFrame:
     m = F.col("alert_minutes_in_hour")
     total = lambda which, most, name: F.least(F.lit(most), F.sum(F.when(which, m).otherwise(0.0))).alias(name)
     base = hours.groupBy("region_id", "region_name", "date").agg(total(F.lit(True), 1440.0, "alert_minutes_total"), total(F.col("is_night"), 540.0, "alert_minutes_night"), total(F.col("is_work_hour"), 540.0, "alert_minutes_workday"))
     named = lambda df: df.withColumnRenamed("region", "region_name")
-    full = base.join(named(I.daily_stats(records)), ["region_name", "date"], "left").join(named(I.day_gaps(I.merged_by_day(records))), ["region_name", "date"], "left")
+    full = base.join(named(I.daily_stats(records)), ["region_name", "date"], "left").join(named(I.day_gaps(merged)), ["region_name", "date"], "left")
     raw = F.coalesce("raw_alert_record_count", F.lit(0))
     return full.select(
         "region_id", "region_name", "date", raw.alias("alert_count"), raw.alias("raw_alert_record_count"), F.coalesce("merged_alert_episode_count", F.lit(0)).alias("merged_alert_episode_count"),

@@ -11,6 +11,9 @@ from ..functions.scalars import local_time, micros_between
 def local_records(alerts: DataFrame) -> DataFrame:
     """region, s, e, duration_minutes. The end is the local start plus the elapsed time, so that a change of the clocks
     inside an interval doesn't stretch it. Rows without both ends, or that end before they start, go."""
+    missing = sorted({"region", "started_at_utc", "finished_at_utc"} - set(alerts.columns))
+    if missing:
+        raise ValueError(f"missing columns: {', '.join(missing)}")
     ok = alerts.filter(F.col("started_at_utc").isNotNull() & (F.col("finished_at_utc") > F.col("started_at_utc")))
     elapsed = micros_between(F.col("started_at_utc"), F.col("finished_at_utc"))
     minutes = F.coalesce(F.col("duration_minutes"), elapsed / 6e7) if "duration_minutes" in alerts.columns else elapsed / 6e7

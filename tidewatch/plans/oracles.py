@@ -93,6 +93,91 @@ cl AS (SELECT * FROM off UNION ALL SELECT * FROM vol WHERE (SELECT min(s) FROM o
 _FR = {"alert_minutes_total": (0, 1440), "alert_minutes_night": (0, 540), "alert_minutes_workday": (0, 540), "longest_alert_free_window_minutes": (0, 1440), "share_day_under_alert": (0, 1)}
 _MR = {c: (0, 1) for c in ("alert_burden_index", "sleep_disruption_index", "workday_disruption_index", "alert_free_window_share", "gini_alert_minutes_total", "gini_alert_burden_index")}
 
+_FAULTY = """
+f0 AS (SELECT event_id AS alert_id, 'R' || lpad(CAST(user_id % 25 AS VARCHAR), 2, '0') AS region, date_trunc('second', ts) AS s, value,
+              CASE WHEN value < 10 THEN 0 ELSE CAST(round(value * 60) AS BIGINT) END AS sec FROM events),
+fa AS (SELECT *, CASE WHEN value >= 5 THEN s + to_seconds(sec) END AS f FROM f0)"""
+
+
+def _round(k: int) -> str:
+    """A round of binary segmentation: segments s<k> to s<k + 1>, by the split with the largest gain, if the region has one left."""
+    return f""",
+g{k} AS (SELECT s.region, s.a, s.b, p.p, (p.t - x.t) ** 2 / (p.p - s.a) + (y.t - p.t) ** 2 / (s.b - p.p) - (y.t - x.t) ** 2 / (s.b - s.a) AS gain
+  FROM s{k} s JOIN cl ON cl.region = s.region AND {k} < cl.most JOIN px p ON p.region = s.region AND p.p % 5 = 0 AND p.p - s.a >= cl.lo AND s.b - p.p >= cl.lo
+  JOIN px x ON x.region = s.region AND x.p = s.a JOIN px y ON y.region = s.region AND y.p = s.b),
+h{k} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY region ORDER BY gain DESC, a, p DESC) AS place FROM g{k}) WHERE place = 1),
+s{k + 1} AS (SELECT s.region, s.a, s.b FROM s{k} s ANTI JOIN h{k} h ON h.region = s.region AND h.a = s.a
+  UNION ALL SELECT region, a, p FROM h{k} UNION ALL SELECT region, p, b FROM h{k})"""
+
+
+_SHIFTS = _PERIODS + """,
+cv AS (SELECT region_name AS region, date, alert_minutes_total AS v, row_number() OVER (PARTITION BY region_name ORDER BY date) AS i, count(*) OVER (PARTITION BY region_name) AS n FROM se),
+px AS (SELECT region, i AS p, sum(v) OVER (PARTITION BY region ORDER BY i) AS t FROM cv UNION ALL SELECT DISTINCT region, 0, 0 FROM cv),
+c0 AS (SELECT region, count(*) AS n, greatest(3, least(30, count(*) // 6)) AS lo, stddev_samp(v) AS sd FROM cv GROUP BY region HAVING count(*) >= 18 AND max(v) <> 0 AND stddev_pop(v) >= 1e-9),
+cl AS (SELECT *, least(3, greatest(1, n // lo - 1)) AS most FROM c0),
+s0 AS (SELECT region, 0 AS a, n AS b FROM cl)""" + "".join(map(_round, range(3))) + """,
+sw AS (SELECT cl.* FROM cl JOIN s3 ON s3.region = cl.region GROUP BY ALL HAVING count(*) = cl.most + 1),
+sm AS (SELECT s.region, s.a, s.b, (y.t - x.t) / (s.b - s.a) AS mean, sw.sd FROM s3 s JOIN sw ON sw.region = s.region
+  JOIN px x ON x.region = s.region AND x.p = s.a JOIN px y ON y.region = s.region AND y.p = s.b),
+sg AS (SELECT *, lag(mean) OVER (PARTITION BY region ORDER BY a) AS before FROM sm),
+sp AS (SELECT sg.region, cv.date FROM sg JOIN cv ON cv.region = sg.region AND cv.i = sg.a + 1 WHERE before IS NOT NULL AND abs(mean - before) >= greatest(60, 0.5 * sd)),
+cp AS (SELECT pd.region, count(sp.date) AS n_change_points, coalesce(string_agg(CAST(sp.date AS VARCHAR), ';' ORDER BY sp.date), '') AS change_point_dates
+  FROM pd LEFT JOIN sp ON sp.region = pd.region GROUP BY pd.region),
+ts AS (SELECT pd.*, n_change_points, change_point_dates, CASE WHEN n_change_points <= 0 THEN 'no clear statistical shift' WHEN n_change_points >= 2 THEN 'repeated statistical shifts'
+  ELSE 'possible statistical shift' END AS regime_shift_label FROM pd JOIN cp ON cp.region = pd.region),
+rl AS (SELECT region_name, date, alert_minutes_total, round(alert_burden_index, 6) AS alert_burden_index, """ + _ROLL + """ FROM se),
+rank AS (SELECT region, std_alert_minutes, latest_vs_previous_30d_delta, round_even(latest_30d_alert_minutes_mean / 60, 1) AS latest_hours, round_even(latest_vs_previous_30d_delta / 60, 1) AS delta_hours, volatility_label,
+  CASE trend_label WHEN 'worsening' THEN 'historically increased' WHEN 'stable' THEN 'historically stable' WHEN 'improving' THEN 'historically decreased' ELSE 'mixed historical pattern' END AS public_trend_label,
+  regime_shift_label AS public_shift_label, n_change_points FROM ts)"""
+_TS = (
+    "mean_alert_minutes std_alert_minutes early_mean_alert_minutes middle_mean_alert_minutes late_mean_alert_minutes early_mean_abi middle_mean_abi late_mean_abi "
+    "latest_30d_alert_minutes_mean previous_30d_alert_minutes_mean late_vs_early_alert_minutes_ratio late_vs_early_abi_delta latest_vs_previous_30d_delta"
+)
+_TS_REST = "region, n_days, volatility_label, trend_label, n_change_points, change_point_dates, regime_shift_label"
+_RANK = "SELECT region, latest_hours, delta_hours, volatility_label, public_trend_label, public_shift_label, n_change_points FROM rank ORDER BY"
+_LONG = "date BETWEEN DATE '1995-01-01' AND DATE '1995-12-31'"
+_CHOSEN = "region_name IN ('R01', 'R07') AND date BETWEEN DATE '2024-01-05' AND DATE '2024-01-20'"
+_per_day = lambda c, sign="": f"{sign}format('{{:,.1f}} h/day', {c} / 60)"
+_CATEGORIES = ("alert_burden_category", "sleep_disruption_category", "workday_disruption_category")
+_INDICES = " OR ".join(f"isinf({c})" for c in _MR)
+_SERIES_ROWS = " OR ".join(f"isinf({c})" for c in ("alert_minutes_total", "alert_burden_index", "alert_minutes_30d_mean", "abi_30d_std"))
+
+VIEWS = {
+    "change_points": _q(_SHIFTS, "SELECT * FROM cp"),
+    "timeseries_summary": _q(_SHIFTS, _rounded("ts", _TS, _TS_REST)),
+    "timeseries_summary_row": _q(_SHIFTS, _rounded("ts", _TS, _TS_REST) + " WHERE region = 'ASIA'"),
+    "timeseries_region": _q(_SHIFTS, f"SELECT * FROM rl WHERE region_name = 'ASIA' AND {_LONG}"),
+    "stability_metric_series": _q(_SHIFTS, f"""SELECT region_name, date, alert_burden_index AS daily, abi_14d_mean AS rolling_14, abi_30d_mean AS rolling_30, abi_14d_std AS volatility_14,
+      abi_30d_std AS volatility_30 FROM rl WHERE region_name = 'EUROPE' AND {_LONG}"""),
+    "stability_cards": _q(_SHIFTS, f"""SELECT ts.region, {_per_day("latest_30d_alert_minutes_mean")} AS latest, {_per_day("previous_30d_alert_minutes_mean")} AS previous,
+      {_per_day("ts.latest_vs_previous_30d_delta", "CASE WHEN ts.latest_vs_previous_30d_delta > 0 THEN '+' ELSE '' END || ")} AS change, ts.volatility_label, public_trend_label AS trend,
+      public_shift_label AS shift, ts.n_change_points FROM ts JOIN rank ON rank.region = ts.region WHERE ts.region = 'ASIA'"""),
+    "stability_ranking": _q(_SHIFTS, f"{_RANK} std_alert_minutes DESC, region LIMIT 10"),
+    "recent_increase_ranking": _q(_SHIFTS, f"{_RANK} latest_vs_previous_30d_delta DESC, region LIMIT 10"),
+    "example_regions": _q(_SHIFTS, """SELECT region, volatility_label, round(mean_alert_minutes, 6) AS mean_alert_minutes, round(std_alert_minutes, 6) AS std_alert_minutes FROM ts
+      WHERE volatility_label IN ('medium', 'high') ORDER BY ts.std_alert_minutes DESC, ts.mean_alert_minutes DESC, region LIMIT 10"""),
+    "shift_dates": _q(_SHIFTS, "SELECT region, CAST(date AS VARCHAR) AS shift_date FROM sp"),
+    "series_checks": _q(_SHIFTS, f"""SELECT unnest(['series_columns', 'summary_columns']) AS metric, true AS passed
+      UNION ALL SELECT 'row_count', (SELECT count(*) FROM rl) = (SELECT count(*) FROM se) UNION ALL SELECT 'series_infinite', count(*) = 0 FROM rl WHERE {_SERIES_ROWS}
+      UNION ALL SELECT 'summary_infinite', count(*) = 0 FROM ts WHERE isinf(mean_alert_minutes) OR isinf(std_alert_minutes)
+      UNION ALL SELECT 'volatility_label', count(*) = 0 FROM ts WHERE volatility_label NOT IN ('low', 'medium', 'high')
+      UNION ALL SELECT 'trend_label', count(*) = 0 FROM ts WHERE trend_label NOT IN ('worsening', 'stable', 'improving', 'mixed')
+      UNION ALL SELECT 'regime_shift_label', count(*) = 0 FROM ts WHERE NOT contains(regime_shift_label, 'statistical shift')"""),
+    "chosen_cards": _q(_METRICS + _NATIONAL, f"""SELECT count(DISTINCT region_name) AS n_regions, format('{{:,.3f}}', avg(alert_burden_index)) AS mean_abi, format('{{:,.3f}}', avg(sleep_disruption_index)) AS mean_sdi,
+      format('{{:,.3f}}', avg(workday_disruption_index)) AS mean_wdi, (SELECT max(max_regions_simultaneously_alerted) FROM na) AS max_regions_simultaneously_alerted_observed,
+      format('{{:,.0f}} h', sum(alert_minutes_total) / 60) AS total_hours FROM mt WHERE {_CHOSEN}"""),
+    "sidebar_choices": _q(_DAYS, """SELECT string_agg(DISTINCT region_name, ';' ORDER BY region_name) AS regions, min(date) AS first_date, max(date) AS last_date,
+      coalesce(max(region_name) FILTER (region_name = 'Kyiv City'), min(region_name)) AS default_region FROM rd"""),
+    "region_list": _q(_DAYS, "SELECT DISTINCT region_name FROM rd"),
+    "chosen_rolling": _q(_METRICS, f"""SELECT region_name, date, round(alert_minutes_total, 6) AS alert_minutes_total, round({_over("avg(alert_minutes_total)", 14)}, 6) AS alert_minutes_total_rolling
+      FROM mt WHERE {_CHOSEN}"""),
+    "disruption_series": _q(_METRICS, f"""SELECT region_name, date, round(sleep_disruption_index, 6) AS sleep_disruption_index, round(workday_disruption_index, 6) AS workday_disruption_index
+      FROM mt WHERE {_CHOSEN}"""),
+    "metric_checks": _q(_METRICS, " UNION ALL ".join(f"SELECT '{c}' AS metric, coalesce(min({c}) >= 0 AND max({c}) <= 1, true) AS passed FROM mt" for c in _MR)
+      + "".join(f" UNION ALL SELECT '{c}', count(*) FILTER ({c} NOT IN ('low', 'medium', 'high')) = 0 FROM mt" for c in _CATEGORIES)
+      + f" UNION ALL SELECT 'no_infinite_values', count(*) FILTER ({_INDICES}) = 0 FROM mt"),
+}
+
 ORACLES = {
     "minutes_by_region_day": _q(_HOURS, "SELECT region AS region_name, CAST(h AS DATE) AS date, round(sum(m), 6) AS alert_minutes FROM hm GROUP BY ALL"),
     "merged_intervals": _q(_RECORDS, "SELECT region, s, e FROM merged"),
@@ -116,7 +201,7 @@ ORACLES = {
     "overview_cards": _q(_METRICS, "SELECT count(DISTINCT region_name) AS n_regions, round(avg(alert_burden_index), 6) AS mean_abi, round(avg(sleep_disruption_index), 6) AS mean_sdi, round(avg(workday_disruption_index), 6) AS mean_wdi, round(sum(alert_minutes_total), 6) AS total_minutes FROM mt"),
     "inequality_series": _q(_METRICS, "SELECT date, round(gini_alert_minutes_total, 6) AS gini_minutes, round(gini_alert_burden_index, 6) AS gini_burden FROM iq WHERE date BETWEEN DATE '2024-01-05' AND DATE '2024-01-20'"),
     "category_counts": _q(_METRICS, "SELECT alert_burden_category AS value, count(*) AS n FROM mt GROUP BY 1"),
-    "feature_ranges": _q(_DAYS, _ranges("rd", _FR)),
+    "feature_ranges": _q(_DAYS + _NATIONAL, " UNION ALL ".join(_ranges(t, r) for t, r in (("rh", {"alert_minutes_in_hour": (0, 60)}), ("rd", _FR), ("na", {"national_alert_burden_index": (0, 1)})))),
     "metric_ranges": _q(_METRICS, _ranges("mt", _MR)),
-    "profile_alerts": _q(_EVENTS, "SELECT count(*) AS n_rows, count(DISTINCT region) AS n_regions, min(s) AS coverage_start, max(f) AS coverage_end, count(*) FILTER (f IS NULL) AS missing_ends, count(*) FILTER (sec <= 0) AS non_positive_durations, count(alert_id) - count(DISTINCT alert_id) AS duplicate_ids FROM al"),
-}
+    "profile_alerts": _q(_FAULTY, "SELECT count(*) AS n_rows, count(DISTINCT region) AS n_regions, min(s) AS coverage_start, max(f) AS coverage_end, count(*) FILTER (f IS NULL) AS missing_ends, count(*) FILTER (sec <= 0) AS non_positive_durations, count(alert_id) - count(DISTINCT alert_id) AS duplicate_ids FROM fa"),
+} | VIEWS

@@ -6,42 +6,76 @@ series from orders by region of the customer.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import features, intervals, metrics, quality, timeseries
 from ..sources import cleaning
+from ..sources.files import written
 from . import dashboard
 from .oracles import ORACLES  # noqa: F401
 
 FLAGSHIP = "minutes_by_region_day"
 
 
-def alerts(spark: SparkSession, sf: str) -> DataFrame:
-    seconds = F.round(F.col("value") * 60).cast("bigint")
+def alerts(spark: SparkSession, sf: str, faulty: bool = False) -> DataFrame:
+    """Intervals of events. faulty: with those that cleaning takes out, made from the smallest values: no end under 5, no length
+    under 10."""
+    value = F.when(F.col("value") < 10, 0.0).otherwise(F.col("value")) if faulty else F.col("value")
+    seconds = F.round(value * 60).cast("bigint")
     start = F.date_trunc("SECOND", "ts").cast("timestamp_ntz")
-    rows = spark.read.parquet(f"{sf}/events.parquet").select(F.col("event_id").alias("alert_id"), F.concat(F.lit("R"), F.lpad((F.col("user_id") % 25).cast("string"), 2, "0")).alias("region"), start.alias("started_at_utc"), seconds.alias("duration_seconds"), "event_type")
-    return rows.filter("duration_seconds > 0").withColumn("finished_at_utc", F.timestamp_add("SECOND", F.col("duration_seconds"), F.col("started_at_utc")))
+    region = F.concat(F.lit("R"), F.lpad((F.col("user_id") % 25).cast("string"), 2, "0"))
+    rows = spark.read.parquet(f"{sf}/events.parquet").select(
+        F.col("event_id").alias("alert_id"), region.alias("region"), start.alias("started_at_utc"), seconds.alias("duration_seconds"), "event_type", "value"
+    )
+    end = F.timestamp_add("SECOND", F.col("duration_seconds"), F.col("started_at_utc"))
+    if faulty:
+        return rows.withColumn("finished_at_utc", F.when(F.col("value") >= 5, end)).drop("value")
+    return rows.filter("duration_seconds > 0").withColumn("finished_at_utc", end).drop("value")
 
 
 def records(spark: SparkSession, sf: str) -> DataFrame:
     return intervals.local_records(alerts(spark, sf))
 
 
-def hours(spark: SparkSession, sf: str) -> DataFrame:
-    return features.region_hour(records(spark, sf))
+class Tables:
+    """The tables that the queries of one run share. What several of them read is written once, at the size of the result: the
+    merged parts of days, and the table of days, so that events are read three times at most (merged parts, daily
+    statistics, first and last instants)."""
+
+    def __init__(self, spark: SparkSession, sf: str):
+        self.records = records(spark, sf)
+
+    @cached_property
+    def merged(self) -> DataFrame:
+        return written(intervals.merged_by_day(self.records), "merged")
 
+    @cached_property
+    def hours(self) -> DataFrame:
+        return features.region_hour(self.merged, written(features.spans(self.records), "spans"))
 
-def days(spark: SparkSession, sf: str) -> DataFrame:
-    return features.region_day(records(spark, sf), hours(spark, sf))
+    @cached_property
+    def days(self) -> DataFrame:
+        return written(features.region_day(self.records, self.merged, self.hours), "days")
 
+    @cached_property
+    def metrics(self) -> DataFrame:
+        return metrics.region_day_metrics(written(metrics.indices(self.days), "indices"))
 
-def day_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    return metrics.region_day_metrics(days(spark, sf))
+    @cached_property
+    def national(self) -> DataFrame:
+        return features.national_day(self.hours, self.days)
 
+    @cached_property
+    def regions(self) -> DataFrame:
+        return metrics.region_summary(self.metrics)
 
-def national(spark: SparkSession, sf: str) -> DataFrame:
-    return features.national_day(hours(spark, sf), days(spark, sf))
+    @cached_property
+    def country(self) -> DataFrame:
+        return metrics.national_summary(self.national, self.metrics)
 
 
 def series(spark: SparkSession, sf: str) -> DataFrame:
@@ -77,38 +111,68 @@ def _by_day(spark, sf):
     return parts.groupBy(F.col("region").alias("region_name"), F.to_date("datetime_hour").alias("date")).agg(F.round(F.sum("minutes"), 6).alias("alert_minutes"))
 
 
-def _filtered(spark, sf):
-    return dashboard.filter_region_day(days(spark, sf), ["R01", "R07"], "2024-01-05", "2024-01-20").select("region_name", "date", "alert_minutes_total")
+def _of(make: Callable[[Tables], DataFrame], *order: str) -> Callable[[SparkSession, str], DataFrame]:
+    """A query over the shared tables, rounded, and in the order that the published table has."""
+
+    def query(spark: SparkSession, sf: str) -> DataFrame:
+        out = _rounded(make(Tables(spark, sf)))
+        return out.orderBy(*order) if order else out
+
+    return query
+
+
+def _summary(spark: SparkSession, sf: str) -> DataFrame:
+    return timeseries.summary(series(spark, sf))
+
+
+def _profile(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.profile(alerts(spark, sf, faulty=True))
+
 
+CHOSEN, FROM, TO = ["R01", "R07"], "2024-01-05", "2024-01-20"
+LONG_FROM, LONG_TO = "1995-01-01", "1995-12-31"
 
 QUERIES = {
     "minutes_by_region_day": _by_day,
     "merged_intervals": lambda s, d: intervals.merged(records(s, d)),
-    "observed_range": lambda s, d: features.observed_range(records(s, d)),
-    "region_hour_features": lambda s, d: _rounded(hours(s, d)),
+    "observed_range": lambda s, d: features.observed_range(features.spans(records(s, d))),
+    "region_hour_features": _of(lambda t: t.hours, "region_name", "datetime_hour"),
     "daily_alert_stats": lambda s, d: _rounded(intervals.daily_stats(records(s, d))),
     "longest_free_window": lambda s, d: _rounded(intervals.day_gaps(intervals.merged_by_day(records(s, d)))),
-    "region_day_features": lambda s, d: _rounded(days(s, d)),
-    "national_day_features": lambda s, d: _rounded(national(s, d)),
-    "region_day_metrics": lambda s, d: _rounded(day_metrics(s, d)),
-    "daily_inequality": lambda s, d: _rounded(metrics.daily_inequality(metrics.indices(days(s, d)))),
-    "region_summary": lambda s, d: _rounded(metrics.region_summary(day_metrics(s, d))),
-    "national_summary": lambda s, d: _rounded(metrics.national_summary(national(s, d), day_metrics(s, d))),
+    "region_day_features": _of(lambda t: t.days, "region_name", "date"),
+    "national_day_features": _of(lambda t: t.national, "date"),
+    "region_day_metrics": _of(lambda t: t.metrics, "region_name", "date"),
+    "daily_inequality": _of(lambda t: metrics.daily_inequality(written(metrics.indices(t.days), "indices")), "date"),
+    "region_summary": _of(lambda t: t.regions, "region_name"),
+    "national_summary": _of(lambda t: t.country),
     "clean_intervals": _clean,
     "clean_summary": lambda s, d: cleaning.summarize(clean_rows(s, d)),
-    "rolling_series": lambda s, d: _rounded(timeseries.rolling(series(s, d))),
+    "rolling_series": lambda s, d: _rounded(timeseries.rolling(series(s, d))).orderBy("region_name", "date"),
     "rolling_parameter": lambda s, d: _rounded(timeseries.add_rolling(series(s, d), "alert_minutes_total", 5)),
     "period_comparison": lambda s, d: _rounded(timeseries.periods(series(s, d))),
     "change_points": lambda s, d: timeseries.change_points(series(s, d)),
-    "timeseries_summary": lambda s, d: _rounded(timeseries.summary(series(s, d))),
-    "stability_ranking": lambda s, d: dashboard.stability_ranking(timeseries.summary(series(s, d)), "volatility"),
+    "timeseries_summary": lambda s, d: _rounded(_summary(s, d)).orderBy("region"),
+    "timeseries_summary_row": lambda s, d: _rounded(dashboard.summary_row(_summary(s, d), "ASIA")),
+    "timeseries_region": lambda s, d: _rounded(dashboard.filter_series(timeseries.rolling(series(s, d)), "ASIA", LONG_FROM, LONG_TO)),
+    "stability_metric_series": lambda s, d: _rounded(dashboard.metric_series(dashboard.filter_series(timeseries.rolling(series(s, d)), "EUROPE", LONG_FROM, LONG_TO), "ABI")),
+    "stability_cards": lambda s, d: dashboard.stability_cards(_summary(s, d), "ASIA"),
+    "stability_ranking": lambda s, d: dashboard.stability_ranking(_summary(s, d), "volatility"),
+    "recent_increase_ranking": lambda s, d: dashboard.stability_ranking(_summary(s, d), "recent increase"),
+    "example_regions": lambda s, d: _rounded(dashboard.example_regions(_summary(s, d), "volatility_label", ["medium", "high"])),
     "shift_dates": lambda s, d: dashboard.shift_dates(timeseries.change_points(series(s, d))),
-    "filter_region_day": lambda s, d: _rounded(_filtered(s, d)),
-    "ranking_top10": lambda s, d: _rounded(dashboard.top(metrics.region_summary(day_metrics(s, d)), "mean_alert_burden_index").select("region_name", "mean_alert_burden_index")),
-    "overview_cards": lambda s, d: _rounded(dashboard.overview(day_metrics(s, d))),
-    "inequality_series": lambda s, d: _rounded(dashboard.inequality_series(day_metrics(s, d), "2024-01-05", "2024-01-20")),
-    "category_counts": lambda s, d: quality.value_counts(day_metrics(s, d), "alert_burden_category"),
-    "feature_ranges": lambda s, d: _rounded(quality.range_checks(days(s, d), quality.FEATURE_RANGES)),
-    "metric_ranges": lambda s, d: _rounded(quality.range_checks(day_metrics(s, d), quality.METRIC_RANGES)),
-    "profile_alerts": lambda s, d: quality.profile(alerts(s, d)),
+    "series_checks": lambda s, d: quality.series_checks(timeseries.rolling(series(s, d)), _summary(s, d), series(s, d)),
+    "filter_region_day": _of(lambda t: dashboard.filter_region_day(t.days, CHOSEN, FROM, TO).select("region_name", "date", "alert_minutes_total")),
+    "ranking_top10": _of(lambda t: dashboard.top(t.regions, "mean_alert_burden_index").select("region_name", "mean_alert_burden_index")),
+    "overview_cards": _of(lambda t: dashboard.overview(t.metrics)),
+    "chosen_cards": _of(lambda t: dashboard.cards(dashboard.filter_region_day(t.metrics, CHOSEN, FROM, TO), t.country)),
+    "sidebar_choices": _of(lambda t: dashboard.choices(t.days)),
+    "region_list": _of(lambda t: dashboard.regions(t.days)),
+    "chosen_rolling": _of(lambda t: timeseries.add_rolling(dashboard.filter_region_day(t.metrics, CHOSEN, FROM, TO).select("region_name", "date", "alert_minutes_total"), "alert_minutes_total")),
+    "disruption_series": _of(lambda t: dashboard.disruption_series(t.metrics, CHOSEN, FROM, TO)),
+    "inequality_series": _of(lambda t: dashboard.inequality_series(t.metrics, FROM, TO), "date"),
+    "category_counts": lambda s, d: quality.value_counts(Tables(s, d).metrics, "alert_burden_category"),
+    "feature_ranges": _of(lambda t: quality.feature_checks(t.hours, t.days, t.national)),
+    "metric_ranges": _of(lambda t: quality.range_checks(t.metrics, quality.METRIC_RANGES)),
+    "metric_checks": _of(lambda t: quality.metric_checks(t.metrics)),
+    "profile_alerts": _profile,
 }

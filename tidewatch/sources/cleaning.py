@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-from pathlib import Path
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalars import strip
+from .files import store, written
 
+#: fixed values: columns of the published files
 OFFICIAL = T.StructType([T.StructField(c, T.StringType()) for c in ("oblast", "raion", "hromada", "level", "started_at", "finished_at", "source")])
 VOLUNTEER = T.StructType([*(T.StructField(c, T.StringType()) for c in ("region", "started_at", "finished_at")), T.StructField("naive", T.BooleanType())])
 #: fixed values: the published columns of a clean interval, in order
 COLUMNS = "alert_id source_dataset source_file source source_scope region oblast raion hromada alert_level started_at_utc finished_at_utc started_date_utc finished_date_utc duration_seconds duration_minutes duration_quality volunteer_naive".split()
+#: fixed values: rows that agree in these are one
 SAME = "source_file source source_scope region oblast raion hromada alert_level started_at_utc finished_at_utc volunteer_naive".split()
 OFFICIAL_FILE, VOLUNTEER_FILE = "official_data_en.csv", "volunteer_data_en.csv"
 
@@ -56,28 +57,35 @@ def combine(official_rows: DataFrame, volunteer_rows: DataFrame) -> DataFrame:
 
 
 def number(rows: DataFrame) -> DataFrame:
-    """alert_id from 1 in the order of time, region, level and source, other columns deciding ties. Rows are sorted by range;
-    each id is the row's place in its partition plus the counts of the partitions before it, so no task sees all rows."""
+    """alert_id from 1 in the order of time, region, level and source, other columns deciding ties. Rows are sorted by range and
+    written; each id is the row's place in its partition plus the counts of the partitions before it, so no task sees all
+    rows, and a task that runs again reads the places that were written."""
     keys = ["started_at_utc", "finished_at_utc", "region", "alert_level", "source", "raion", "hromada", "source_file"]
-    ranged = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id())
-    from pyspark.sql import Window
-
-    sizes = ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"), F.min("_i").alias("_first"))
-    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    out = ranged.join(F.broadcast(sizes), "_p")  # one row for each partition
+    placed = rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    placed = written(placed.withColumns({"_p": F.spark_partition_id(), "_i": F.monotonically_increasing_id()}), "numbered")
+    sizes = placed.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"), F.min("_i").alias("_first"))
+    earlier = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition
+    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    out = placed.join(F.broadcast(sizes), "_p")
     return out.withColumn("alert_id", F.col("_i") - F.col("_first") + F.col("_before") + 1).drop("_p", "_i", "_n", "_first", "_before")
 
 
-def read_raw(spark: SparkSession, folder: str | Path, name: str, schema: T.StructType) -> DataFrame:
-    path = Path(folder) / name
-    if not path.exists() and (Path(folder) / "vadimkin" / name).exists():
-        path = Path(folder) / "vadimkin" / name
-    if not path.exists():
-        raise FileNotFoundError(f"Missing required raw file: {path}. Download the raw data first.")
-    return spark.read.schema(schema).option("header", True).csv(str(path))
+def dataset_folder(spark: SparkSession, folder: str, names: list[str]) -> str:
+    """folder, or its part that holds the published files, whichever has all of them; else where the first is missing."""
+    inside = f"{folder}/vadimkin"
+    for at in (str(folder), inside):
+        if all(fs.exists(p) for fs, p in (store(spark, f"{at}/{n}") for n in names)):
+            return at
+    missing = next(n for n in names for fs, p in [store(spark, f"{folder}/{n}")] if not fs.exists(p))
+    raise FileNotFoundError(f"Missing required raw file: {folder}/{missing}. Download the raw data first.")
+
+
+def read_raw(spark: SparkSession, folder: str, name: str, schema: T.StructType) -> DataFrame:
+    return spark.read.schema(schema).option("header", True).csv(f"{folder}/{name}")
 
 
-def build_clean_intervals(spark: SparkSession, folder: str | Path) -> DataFrame:
+def build_clean_intervals(spark: SparkSession, folder: str) -> DataFrame:
+    folder = dataset_folder(spark, folder, [OFFICIAL_FILE, VOLUNTEER_FILE])
     times = {"started_at_utc": parse_time(F.col("started_at")), "finished_at_utc": parse_time(F.col("finished_at"))}
     off = official(read_raw(spark, folder, OFFICIAL_FILE, OFFICIAL)).withColumns(times).drop("started_at", "finished_at")
     vol = volunteer(read_raw(spark, folder, VOLUNTEER_FILE, VOLUNTEER)).withColumns(times).drop("started_at", "finished_at")

@@ -1,79 +1,143 @@
-"""Files of any supported kind: listing, reading, inventory, and a write that is published at once."""
+"""Files of any supported kind, in any store that Spark reads: listing, reading, inventory, and a write that is published at once."""
 
 from __future__ import annotations
 
-import hashlib
 import json
-import shutil
-from pathlib import Path
+import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import types as T
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-KINDS = {".csv": ("csv", {"header": True, "inferSchema": True}), ".json": ("json", {"multiLine": True}), ".jsonl": ("json", {}), ".parquet": ("parquet", {})}
-INVENTORY = T.StructType([T.StructField(n, t) for n, t in (("path", T.StringType()), ("extension", T.StringType()), ("size_bytes", T.LongType()), ("rows", T.LongType()), ("column_count", T.LongType()), ("columns", T.StringType()), ("dtypes", T.StringType()), ("load_error", T.StringType()))])
+CSV, JSON = ("csv", {"header": True, "inferSchema": True}), ("json", {"multiLine": True})
+#: readers by extension
+READERS = {".csv": CSV, ".json": JSON, ".jsonl": ("json", {}), ".parquet": ("parquet", {})}
+INVENTORY = "path string, extension string, size_bytes long, rows long, column_count long, columns string, dtypes string, load_error string"
 
 
-def list_raw_files(folder: str | Path) -> list[Path]:
-    top = Path(folder)
-    if not top.is_dir():
-        return []
-    return sorted(p for p in top.rglob("*") if p.is_file() and p.suffix.lower() in KINDS and not any(x.startswith(".") for x in p.relative_to(top).parts))
+def store(spark: SparkSession, path: str):
+    """The file system that holds a path, and the path as it names it."""
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(str(path))
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
 
-def load_any_file(spark: SparkSession, path: str | Path) -> DataFrame:
-    kind = KINDS.get(Path(path).suffix.lower())
+def extension(path: Column) -> Column:
+    return F.lower(F.regexp_extract(path, r"(\.[^./]*)$", 1))
+
+
+def raw_files(spark: SparkSession, folder: str) -> DataFrame:
+    """path, extension, size_bytes of every readable file below a folder; hidden ones and those in hidden folders are left out.
+    A folder that doesn't exist has none."""
+    fs, at = store(spark, folder)
+    if not fs.exists(at) or not fs.getFileStatus(at).isDirectory():
+        return spark.createDataFrame([], "path string, extension string, size_bytes long")
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(str(folder)).select("path", "length")
+    inside = F.expr(f"substr(path, {len(fs.resolvePath(at).toString()) + 1})")
+    rows = found.filter(~inside.rlike(r"/\.")).select("path", extension(F.col("path")).alias("extension"), F.col("length").alias("size_bytes"))
+    return rows.filter(F.col("extension").isin(*READERS)).orderBy("path")
+
+
+def load_any_file(spark: SparkSession, path: str) -> DataFrame:
+    kind = next((v for k, v in READERS.items() if str(path).lower().endswith(k)), None)
     if not kind:
         raise ValueError(f"Unsupported file type: {path}")
     return spark.read.format(kind[0]).options(**kind[1]).load(str(path))
 
 
-def inspect_dataset(spark: SparkSession, folder: str | Path) -> DataFrame:
-    """One row per file; a file that can't be read has its error instead of counts."""
+def inspect_dataset(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per file; a file that can't be read has its error instead of counts. Files are few; each is counted by Spark."""
     rows = []
-    for p in list_raw_files(folder):
-        row = {"path": str(p), "extension": p.suffix.lower(), "size_bytes": p.stat().st_size}
+    for path, ending, size in map(tuple, raw_files(spark, folder).toLocalIterator()):
         try:
-            df = load_any_file(spark, p)
-            row |= {"rows": df.count(), "column_count": len(df.columns), "columns": json.dumps(df.columns, ensure_ascii=False), "dtypes": json.dumps([t for _, t in df.dtypes])}
-        except Exception as error:  # noqa: BLE001  the inventory reports whatever a file is wrong with
-            row["load_error"] = str(error).splitlines()[0]
-        rows.append(tuple(row.get(f.name) for f in INVENTORY))
+            df = load_any_file(spark, path)
+            rows.append((path, ending, size, df.count(), len(df.columns), json.dumps(df.columns, ensure_ascii=False), json.dumps([t for _, t in df.dtypes]), None))
+        except PySparkException as error:
+            rows.append((path, ending, size, None, None, None, None, str(error).splitlines()[0]))
     return spark.createDataFrame(rows, INVENTORY)
 
 
-def write_parquet_atomic(df: DataFrame, path: str | Path) -> None:
-    """Written beside its place, then renamed, so readers never see half of it."""
-    to = Path(path)
-    aside = to.with_name(f".{to.name}.tmp")
-    to.parent.mkdir(parents=True, exist_ok=True)
+def write_inventory(inventory: DataFrame, path: str) -> None:
+    inventory.coalesce(1).write.mode("overwrite").option("header", True).csv(str(path))
+
+
+def publish(df: DataFrame, path: str) -> None:
+    """df as Parquet at path. It is written beside its place and moved in when complete, so that readers find the old table or
+    the new one; the old one goes last, and comes back if the move fails."""
+    fs, to = store(df.sparkSession, path)
+    mark = uuid.uuid4().hex
+    aside, old = (to.suffix(f".{what}-{mark}") for what in ("new", "old"))
     try:
-        df.write.mode("overwrite").parquet(str(aside))
-        if to.exists():
-            shutil.rmtree(to)
-        aside.rename(to)
+        df.write.parquet(aside.toString())
+        had = fs.exists(to) and fs.rename(to, old)
+        if not fs.rename(aside, to):
+            if had:
+                fs.rename(old, to)
+            raise OSError(f"can't publish {path}")
+        fs.delete(old, True)
     finally:
-        if aside.exists():
-            shutil.rmtree(aside)
+        fs.delete(aside, True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir. Where it names none: a temporary folder if everything runs on
+    this machine, the warehouse (which executors share) if not."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and spark.sparkContext.master.split("[")[0] == "local":
+        folder = tempfile.mkdtemp(prefix="spark-scratch-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return (folder or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """df written to the shared folder and read again: what several plans read is computed once."""
+    path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def file_digests(spark: SparkSession, folder: str) -> DataFrame:
+    """path and SHA-256 of each readable file. One file is held at a time."""
+    whole = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(str(folder))
+    return whole.select("path", F.sha2("content", 256).alias("sha256"))
+
+
+def file_status(spark: SparkSession, folder: str, names: list[str]) -> dict[str, dict]:
+    out = {}
+    for name in names:
+        fs, at = store(spark, f"{folder}/{name}")
+        there = fs.exists(at)
+        out[name] = {"exists": there, "size_bytes": fs.getFileStatus(at).getLen() if there else None}
+    return out
+
 
+def missing_files(spark: SparkSession, folder: str, names: list[str]) -> list[str]:
+    return [n for n, s in file_status(spark, folder, names).items() if not s["exists"]]
 
-def sha256_of(path: str | Path) -> str:
-    with open(path, "rb") as f:
-        return hashlib.file_digest(f, "sha256").hexdigest()
 
+def build_manifest(spark: SparkSession, folder: str, names: list[str], before: dict, archive: dict | None = None) -> dict:
+    """What is known of the archive (from now, or as the manifest had it) and the state of each expected file."""
+    kept = {k: v for k, v in before.items() if k != "files"}
+    return kept | (archive or {}) | {"files": file_status(spark, folder, names)}
 
-def file_status(folder: str | Path, names: list[str]) -> dict[str, dict]:
-    return {n: {"exists": (p := Path(folder) / n).exists(), "size_bytes": p.stat().st_size if p.exists() else None} for n in names}
 
+def read_manifest(spark: SparkSession, path: str) -> dict:
+    fs, at = store(spark, path)
+    return json.loads(spark.read.text(str(path), wholetext=True).first()[0]) if fs.exists(at) else {}
 
-def missing_files(folder: str | Path, names: list[str]) -> list[str]:
-    return [n for n, s in file_status(folder, names).items() if not s["exists"]]
 
+def write_manifest(spark: SparkSession, path: str, manifest: dict) -> None:
+    fs, at = store(spark, path)
+    out = fs.create(at, True)
+    out.write(bytearray((json.dumps(manifest, ensure_ascii=False, indent=2) + "\n").encode()))
+    out.close()
 
-def read_manifest(path: str | Path) -> dict:
-    return json.loads(Path(path).read_text("utf-8")) if Path(path).exists() else {}
 
+def load_tables(spark: SparkSession, folder: str, required: list[str], optional: list[str]) -> dict[str, DataFrame | None] | None:
+    """Tables by name; None if a required one is missing, and None in place of an optional one that is."""
+    there = {n: s["exists"] for n, s in file_status(spark, folder, [f"{x}.parquet" for x in (*required, *optional)]).items()}
+    if not all(there[f"{n}.parquet"] for n in required):
+        return None
+    return {n: spark.read.parquet(f"{folder}/{n}.parquet") if there[f"{n}.parquet"] else None for n in (*required, *optional)}
 
-def write_manifest(path: str | Path, manifest: dict) -> None:
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(json.dumps(manifest, ensure_ascii=False, indent=2) + "\n", "utf-8")
