@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.files import shared_folder
+
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """The named columns of a table, and no others: extra columns never reach an operator."""
@@ -22,21 +23,12 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def scratch(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; one of our own only where it names none."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-scratch-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
 def stash(df: DataFrame, label: str = "t", batch_rows: int | None = None) -> DataFrame:
     """df written to the shared folder and read again, which cuts its lineage. The shuffle files of the write go with it: what
     follows reads the written table alone, so they would only fill the executors' disks. batch_rows: rows that are sent to
     Python at once, for steps whose texts would make large batches."""
     spark = df.sparkSession
-    path = f"{scratch(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     ours = {CLEANUP: "true"} | ({BATCH: str(batch_rows)} if batch_rows else {})
     before = {CLEANUP: spark.conf.get(CLEANUP, "false"), BATCH: spark.conf.get(BATCH)}
     for name, value in ours.items():
