@@ -3,18 +3,21 @@
 from __future__ import annotations
 
 import html
+import json
 import re
 from collections.abc import Iterator
-from difflib import SequenceMatcher
+from itertools import takewhile
+from typing import NamedTuple
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import stash, table
 
 #: elements whose content is never text of the page; elements that are not part of its main text; elements that end a block
-RAW = "script style noscript template iframe svg canvas object textarea select math".split()
+RAW = "script style noscript template iframe svg canvas object textarea select".split()
 ASIDE = set("nav footer aside form menu button dialog head".split())
 BLOCK = set("address article blockquote body br dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -30,21 +33,35 @@ ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([
 GAP = re.compile(r"\s+")
 
 
-def around(tag: str, attributes: str, in_article: bool) -> bool:
-    """Whether an element is menu, header, footer, advert, form, comments or the like."""
-    if tag in ASIDE or tag == "header" and not in_article:
+#: words that name parts of an article too, such as the header with its headline
+OF_ARTICLE = re.compile(r"(?:^|[\s_-])(?:header|masthead|side)(?:$|[\s_-])", re.I)
+HEADING = {"h1", "h2", "h3", "h4", "h5", "h6"}
+
+
+def around(tag: str, attributes: str, in_article: bool, forms: bool) -> bool:
+    """Whether an element is menu, header, footer, advert, form, comments or the like. forms: whether a form is."""
+    if tag in ASIDE and (forms or tag != "form") or tag == "header" and not in_article:
         return True
     if not attributes.strip() or tag in ("html", "body", "article", "main"):
         return False
     for name, *values in ATTRIBUTE.findall(attributes):
         value, name = "".join(values), name.lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in ROLES or name in ("class", "id") and AROUND.search(value):
+        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in ROLES:
             return True
+        if name in ("class", "id") and not (in_article and tag in HEADING):
+            if AROUND.search(OF_ARTICLE.sub(" ", value) if in_article else value):
+                return True
     return False
 
 
 def blocks(page: str) -> list[tuple[str, bool, bool]]:
-    """(text, inside an article or main element, outside everything that surrounds an article) of each block, in order."""
+    """(text, inside an article or main element, outside everything that surrounds an article) of each block, in order. Where a
+    form holds all that there is, it isn't taken for something around the text."""
+    lines = _blocks(page, True)
+    return lines if any(clear for *_, clear in lines) or "<form" not in page.lower() else _blocks(page, False)
+
+
+def _blocks(page: str, forms: bool) -> list[tuple[str, bool, bool]]:
     out: list[tuple[str, bool, bool]] = []
     stack: list[tuple[str, bool, bool]] = []
     text: list[str] = []
@@ -75,7 +92,7 @@ def blocks(page: str) -> list[tuple[str, bool, bool]]:
                 close() if (before[0], before[1]) != state else None
                 state = (before[0], before[1])
         elif tag not in VOID:
-            new = (state[0] or tag in ("article", "main"), state[1] and not around(tag, m[4] or "", state[0]))
+            new = (state[0] or tag in ("article", "main"), state[1] and not around(tag, m[4] or "", state[0], forms))
             if new != state:
                 close()
             stack.append((tag, *state))
@@ -85,75 +102,204 @@ def blocks(page: str) -> list[tuple[str, bool, bool]]:
     return out
 
 
+def _rows(a: list, b: list) -> Iterator[int]:
+    """For each prefix of a, a number whose bit j is 0 where the longest common subsequence with b[:j + 1] is longer than with
+    b[:j] (Hyyrö's bit-parallel recurrence)."""
+    places: dict = {}
+    for j, y in enumerate(b):
+        places[y] = places.get(y, 0) | 1 << j
+    full = (1 << len(b)) - 1
+    now = full
+    for x in a:
+        met = now & places.get(x, 0)
+        now = ((now + met) | (now - met)) & full
+        yield now
+
+
+def _lengths(a: list, b: list) -> np.ndarray:
+    """Length of the longest common subsequence of a and each prefix of b, the empty one first."""
+    last = (1 << len(b)) - 1
+    for last in _rows(a, b):
+        pass
+    bits = np.unpackbits(np.frombuffer(last.to_bytes(-(-len(b) // 8) or 1, "little"), np.uint8), bitorder="little")[: len(b)]
+    return np.r_[0, np.cumsum(bits == 0)]
+
+
+def common_subsequence(a: list, b: list, most_bits: int = 1 << 27) -> list[int]:
+    """Places in a of a longest common subsequence with b. Memory stays bounded: where the rows would take more than most_bits,
+    a is halved and b is cut where both halves have most in common (Hirschberg)."""
+    if not a or not b:
+        return []
+    if len(a) > 1 and len(a) * len(b) > most_bits:
+        middle = len(a) // 2
+        cut = int(np.argmax(_lengths(a[:middle], b) + _lengths(a[:middle - 1 : -1], b[::-1])[::-1]))
+        return common_subsequence(a[:middle], b[:cut], most_bits) + [middle + i for i in common_subsequence(a[middle:], b[cut:], most_bits)]
+    rows = list(_rows(a, b))
+    out, i, j = [], len(a), len(b)
+    while i and j:
+        if rows[i - 1] >> (j - 1) & 1:
+            j -= 1
+            continue
+        i -= 1
+        if not i or rows[i - 1] >> (j - 1) & 1:
+            j -= 1
+            out.append(i)
+    return out[::-1]
+
+
 def shared_lines(mine: list[str], other: list[str]) -> set[int]:
-    """Places of the lines in the longest common subsequence of two pages; of two copies of one page, none."""
+    """Places of the lines in a longest common subsequence of two pages: what both begin and end with, and the rest aligned."""
     a, b = 0, 0
     while a < min(len(mine), len(other)) and mine[a] == other[a]:
         a += 1
     while b < min(len(mine), len(other)) - a and mine[-1 - b] == other[-1 - b]:
         b += 1
-    found = set(range(a)) | set(range(len(mine) - b, len(mine)))
-    match = SequenceMatcher(None, mine[a : len(mine) - b], other[a : len(other) - b], autojunk=False)
-    for x, _, n in match.get_matching_blocks():
-        found |= set(range(a + x, a + x + n))
-    return set() if 10 * len(found) > 8 * len(mine) else found
+    inner = common_subsequence(mine[a : len(mine) - b], other[a : len(other) - b])
+    return set(range(a)) | set(range(len(mine) - b, len(mine))) | {a + i for i in inner}
 
 
-def main_text(page: str, neighbour: list[str] | None) -> tuple[str, int, list[str]]:
-    """The main text, how many lines the neighbour took away, and all lines."""
-    lines = blocks(page)
-    own = [x for x, *_ in lines]
-    shared = shared_lines(own, neighbour) if neighbour else set()
-    article = any(inside and clear for _, inside, clear in lines)
-    kept = [x for i, (x, inside, clear) in enumerate(lines) if clear and (inside if article else i not in shared)]
-    return " ".join(kept), len(shared), own
+class Page(NamedTuple):
+    """A page's URL path, its blocks, and the text of those that nothing surrounds."""
 
+    path: str
+    lines: list[tuple[str, bool, bool]]
 
-def extract(pages: DataFrame) -> DataFrame:
-    """One row per page: page_id, url, text, n_chars, n_shared (lines it shares with its neighbour).
+    def clear(self) -> list[str]:
+        return [x for x, _, clear in self.lines if clear]
+
+
+def nearness(path: str, other: str) -> tuple[int, int]:
+    """Common leading parts of two URL paths, then common leading characters."""
+    same = lambda x, y: sum(1 for _ in takewhile(lambda pair: pair[0] == pair[1], zip(x, y)))
+    return same(path.split("/"), other.split("/")), same(path, other)
+
+
+def main_text(page: Page, before: Page | None, after: Page | None) -> tuple[str, int]:
+    """The main text, and how many lines the page shares with the nearer one of its neighbours (the one before, if both are as
+    near). A neighbour of the same lines is a copy of the page and tells nothing about it."""
+    mine = page.clear()
+    others = [x for x in (before, after) if x and x.clear() != mine]
+    own, shared = [x for x, *_ in page.lines], set()
+    if others:
+        nearest = max(others, key=lambda x: nearness(page.path, x.path))
+        shared = shared_lines(own, [x for x, *_ in nearest.lines])
+    article = any(inside and clear for _, inside, clear in page.lines)
+    kept = [x for i, (x, inside, clear) in enumerate(page.lines) if clear and (inside if article else i not in shared)]
+    return " ".join(kept), len(shared)
+
+
+def _got(data: bytes | None, size: int) -> Page | None:
+    return Page(*json.loads(pa.decompress(data, decompressed_size=size, codec="zstd", asbytes=True))) if data else None
 
-    Pages are dealt by ranges of (host, path), so a host with a third of all pages fills many tasks, and each task holds two
-    pages at a time. A page's neighbour is the one before it of the same host, the nearest in the order of URL paths (the
-    one after it, for the first of a host or task). Lines of both are aligned by longest common subsequence. Shared lines
-    go, unless the page marks its article: what stands inside <article> or <main> is never deleted for being shared, as
-    two URLs of a host often hold one article. Elements that surround an article go by their tag, role, class or id. A null
-    or empty html gives an empty text; a null or odd url has the empty host; repeated rows are each kept. An empty table
-    gives an empty result; other columns are ignored.
-    """
-    path = F.regexp_replace(F.coalesce("url", F.lit("")), r"^[a-z]+://[^/?#]*|[?#].*$", "")
-    keyed = pages.select("page_id", "url", "html", F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z]+://([^/?#]*)", 1)).alias("host"), path.alias("path"))
-    ranged = keyed.repartitionByRange("host", "path", "page_id").sortWithinPartitions("host", "path", "page_id")
 
-    def pages_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: tuple | None = None
-        before: tuple[str, list[str]] = ("", [])
-        out: list[tuple] = []
+#: pages that are sent to Python at once
+BATCH_ROWS = 500
+PARSED = "page_id long, url string, host string, path string, lines binary, size int"
+#: edge: for a row whose neighbour may be in another task, 1 (the page before it may), 2 (the one after it) or 3; own and the
+#: other pages are kept for it
+RESULT = "page_id long, url string, text string, n_chars long, n_shared long, edge int, part int, host string, own string, inner string"
 
-        def done(row: tuple, host: str, neighbour: list[str] | None) -> list[str]:
-            text, n, lines = main_text(row[2], neighbour)
-            out.append((row[0], row[1], text, len(text), n))
-            return lines
 
+def parse(pages: DataFrame) -> DataFrame:
+    """host, path and blocks of each page."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            packed, sizes = [], []
+            for path, page in zip(batch.column("path").to_pylist(), batch.column("html")):
+                plain = json.dumps(Page(path, blocks(page.as_py() or ""))).encode()
+                packed.append(pa.compress(plain, codec="zstd", asbytes=True))
+                sizes.append(len(plain))
+            kept = [batch.column(c) for c in ("page_id", "url", "host", "path")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(packed, pa.binary()), pa.array(sizes, pa.int32())], ["page_id", "url", "host", "path", "lines", "size"])
+
+    path = F.regexp_replace(F.coalesce("url", F.lit("")), r"^[a-zA-Z]+://[^/?#]*|[?#].*$", "")
+    host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z]+://([^/?#]*)", 1))
+    return pages.select("page_id", "url", host.alias("host"), path.alias("path"), "html").mapInArrow(read, PARSED)
+
+
+def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in the order of host and path: each run of copies with the different page before it and the one after it. The first
+    and the last run of a task are left for whoever knows its neighbours."""
+    names = RESULT.replace(",", " ").split()[::2]
+    run: list[tuple] = []  # rows of the run at work: page_id, url, part, host
+    page = before = None
+    first = True
+    out: list[tuple] = []
+
+    def close(after: Page | None, last: bool) -> None:
+        nonlocal first
+        edge = first + 2 * last
+        for page_id, url, part, host, own in run:
+            text, shared = (None, 0) if edge else main_text(own, before, after)
+            rest = (json.dumps(own), json.dumps(before or after) if edge != 3 and (before or after) else None) if edge else (None, None)
+            out.append((page_id, url, text, len(text or ""), shared, edge, part, host, *rest))
+        first = False
+
+    for batch in batches:
+        columns = (batch.column(c) for c in ("page_id", "url", "part", "host", "lines", "size"))
+        for page_id, url, part, host, lines, size in zip(*(c.to_pylist() for c in columns)):
+            own = _got(lines, size)
+            if run and (host != run[0][3] or own.clear() != page.clear()):
+                same_host = host == run[0][3]
+                close(own if same_host else None, False)
+                before, run = page if same_host else None, []
+            run.append((page_id, url, part, host, own))
+            page = own
+        if out:
+            yield _table(out, names)
+            out.clear()
+    if run:
+        close(None, True)
+    if out:
+        yield _table(out, names)
+
+
+def _table(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string()]
+    return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows), kinds)], names)
+
+
+def at_edges(rows: DataFrame) -> DataFrame:
+    """The rows at the edges of tasks, with the page beyond the edge: that of the task before or after, of those that have rows."""
+    parts = rows.select("part").distinct().withColumn("place", F.row_number().over(Window.orderBy("part")))  # a row for each task
+    edge = rows.join(parts, "part")
+    beyond = lambda mask, step, name: edge.filter(F.col("edge").bitwiseAND(mask) > 0).groupBy((F.col("place") + step).alias("place"), F.col("host").alias(f"{name}_host")).agg(F.min("own").alias(name))
+    known = edge.join(beyond(2, 1, "earlier"), "place", "left").join(beyond(1, -1, "later"), "place", "left")
+    pick = lambda mask, name: F.when((F.col("edge").bitwiseAND(mask) > 0) & (F.col(f"{name}_host") == F.col("host")), F.col(name))
+    known = known.select("page_id", "url", "own", "edge", "inner", pick(1, "earlier").alias("earlier"), pick(2, "later").alias("later"))
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        load = lambda x: Page(*json.loads(x)) if x else None
         for batch in batches:
-            for page_id, url, page, host in zip(batch["page_id"].array, batch["url"], batch["html"], batch["host"]):
-                row = (page_id, url, page or "")
-                if held and held[1] == host:  # the first of its host waits for the next
-                    before = (host, done(held[0], host, [x for x, *_ in blocks(row[2])]))
-                elif held:
-                    before = (held[1], done(held[0], held[1], None))
-                held = None
-                if before[0] == host and before[1]:
-                    before = (host, done(row, host, before[1]))
-                else:
-                    held = (row, host)
-            if out:
-                yield pd.DataFrame(out, columns=["page_id", "url", "text", "n_chars", "n_shared"])
-                out.clear()
-        if held:
-            done(held[0], held[1], None)
-            yield pd.DataFrame(out, columns=["page_id", "url", "text", "n_chars", "n_shared"])
-
-    return ranged.mapInPandas(pages_of, "page_id long, url string, text string, n_chars long, n_shared long")
+            found = []
+            for own, edge, *others in zip(*(batch.column(c).to_pylist() for c in ("own", "edge", "inner", "earlier", "later"))):
+                inner, earlier, later = map(load, others)
+                text, shared = main_text(load(own), earlier if edge & 1 else inner, later if edge & 2 else inner)
+                found.append((text, len(text), shared))
+            columns = [pa.array(c, kind) for c, kind in zip(zip(*found), (pa.string(), pa.int64(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), *columns], ["page_id", "url", "text", "n_chars", "n_shared"])
+
+    return known.mapInArrow(decide, "page_id long, url string, text string, n_chars long, n_shared long")
+
+
+def extract(pages: DataFrame) -> DataFrame:
+    """One row per page: page_id, url, text, n_chars, n_shared (lines it shares with its neighbour).
+
+    Pages are dealt by ranges of (host, path), so a host with a third of all pages fills many tasks, and each task holds a few
+    pages at a time. A page's neighbour is the nearer, by URL path, of the different pages before and after it in that order,
+    of the same host. The lines of both are aligned by longest common subsequence, and shared ones go, unless the page marks
+    its article: what stands inside <article> or <main> isn't deleted for being shared, as pages of a host often share
+    passages of their articles. The first and the last run of copies of a task are decided in a second step, with the page beyond
+    the task's edge, so that the text doesn't depend on where a task begins (copies that go on beyond an edge have no
+    neighbour there). Elements that surround an article go by their tag, role, class or id. A null or empty html gives an
+    empty text; a null or odd url has the empty host; repeated rows are each kept; null page_ids are allowed. An empty table
+    gives an empty result; other columns are ignored.
+    """
+    ranged = parse(pages).repartitionByRange("host", "path", "page_id").sortWithinPartitions("host", "path", "page_id")
+    found = stash(ranged.withColumn("part", F.spark_partition_id()).mapInArrow(compare, RESULT), "pages", BATCH_ROWS)
+    shape = ["page_id", "url", "text", "n_chars", "n_shared"]
+    return found.filter("edge = 0").select(shape).union(at_edges(found.filter("edge > 0")))
 
 
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
