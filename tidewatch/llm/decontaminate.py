@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import slot_table, stash, table, with_row
-from .hashing import BASE, LOWER, WINDOW_BASE, U, Words, chunks, span_hashes
+from .hashing import BASE, LOWER, WINDOW_BASE, U, Words, chunks, mix, span_hashes
 
-WINDOW, SHORTEST, COVERAGE, SLOT_BITS, BROADCAST_ROWS = 8, 5, 0.5, 22, 200_000
+#: SLACK: words more or less between two windows of a chain
+WINDOW, SHORTEST, COVERAGE, IN_TOKENS, SLACK, SLOT_BITS, BROADCAST_ROWS = 8, 5, 0.5, 0.7, 4, 22, 200_000
 #: fixed values: units of measure that become a placeholder when a number stands before them
 UNITS = (
     "mm cm m km in inch inches ft foot feet yd yard yards mi mile miles mg g kg lb lbs oz ounce ounces ton tons ml cl l litre litres liter liters "
@@ -34,61 +35,103 @@ def one_hash(word: str) -> int:
 
 
 UNIT_HASHES = np.sort(np.array([one_hash(u) for u in UNITS], U))
-NUMBER, NAME, UNIT = (U(one_hash(x)) for x in ("<number>", "<name>", "<unit>"))
+NUMBER, QUANTITY, NAME = (U(one_hash(x)) for x in ("<number>", "<quantity>", "<name>"))
+#: fixed values: first bytes and bounds of the second one of capitals beyond A-Z: Latin, Greek, Cyrillic
+CAPITALS = [(0xC3, 0x80, 0x9E), (0xCE, 0x86, 0xA9), (0xD0, 0x80, 0xAF)]
 
 
 class Template:
-    """The words of a chunk (runs of letters and digits, A-Z lower-cased) with numbers, names and units as placeholders. A
-    name is a word with a capital and small letters that doesn't begin a sentence; a unit follows a number."""
+    """The tokens of a chunk with placeholders. Words are runs of letters and digits, A-Z lower-cased. A number is one token with
+    its separators (1,200 or 3.5); with a unit behind it, apart or not (5 kg, 5kg), it is a quantity, one token too. A
+    name is a word with a capital and small letters that doesn't begin a sentence, or that does and is a name elsewhere in the
+    same text; names side by side are one token."""
 
     def __init__(self, raw: np.ndarray, offsets: np.ndarray):
         w = self.words = Words(raw, offsets, separator=LETTERS, table=LOWER)
         n = len(w.start)
+        if not n:
+            self.first = self.doc = self.first_token = np.zeros(len(offsets), np.int64)[:0]
+            self.first_token = np.zeros(len(offsets), np.int64)
+            self.tokens = self.filled = np.zeros(0, U)
+            self.slot = np.zeros(0, bool)
+            return
         count = lambda mask, a, b: (c := np.r_[0, np.cumsum(mask[raw])])[b] - c[a]
-        number = count(DIGIT, w.start, w.end) > 0
-        follows = np.zeros(n, bool)
-        follows[1:] = w.doc[1:] == w.doc[:-1]
-        gap = np.r_[0, w.end[:-1]] if n else w.start
+        digits = count(DIGIT, w.start, w.end)
+        number = digits > 0
+        follows = np.r_[False, w.doc[1:] == w.doc[:-1]]
+        gap = np.r_[0, w.end[:-1]]
+        between = np.where(follows, w.start - gap, 0)
         opens = ~follows | (count(STOPS, np.minimum(gap, w.start), w.start) > 0)
-        second = np.minimum(w.start + 1, np.maximum(w.end - 1, 0))
-        latin = np.zeros(n, bool)
-        if n:
-            latin = (raw[w.start] == 0xC3) & (raw[second] >= 0x80) & (raw[second] <= 0x9E)
-        capital = (UPPER[raw[w.start]] | latin) if n else latin
-        name = capital & (count(UPPER, w.start + 1, w.end) == 0) & (w.end - w.start > 1) & ~opens & ~number
-        after = np.r_[False, number[:-1]] & follows if n else number
-        unit = after & np.isin(w.hash, UNIT_HASHES)
-        self.slot = number | name | unit
-        self.tokens = np.where(number, NUMBER, np.where(unit, UNIT, np.where(name, NAME, w.hash)))
-
-
-def item_windows(benchmark: DataFrame, window: int, shortest: int) -> DataFrame:
-    """hash, item_id, item_pos, n_item (windows of the item), size, slots (offset in the window), filled (hash of the word there).
-    An item with fewer words than a window is one window, if it has `shortest` words at least."""
+        second = raw[np.minimum(w.start + 1, w.end - 1)]
+        capital = UPPER[raw[w.start]]
+        for byte, least, most in CAPITALS:
+            capital |= (raw[w.start] == byte) & (second >= least) & (second <= most)
+        title = capital & (count(UPPER, w.start + 1, w.end) == 0) & (w.end - w.start > 1) & ~number
+        known = mix(w.hash ^ w.doc.astype(U))
+        name = title & (~opens | np.isin(known, known[title & ~opens]))
+        # 5kg: letters after the last digit that are a unit
+        last_digit = np.maximum.accumulate(np.where(DIGIT[raw], np.arange(len(raw)), -1))[w.end - 1]
+        tail = number & (last_digit < w.end - 1)
+        with_unit = np.zeros(n, bool)
+        k = np.flatnonzero(tail)
+        with_unit[k] = np.isin(span_hashes(w.bytes.astype(U) + U(1), last_digit[k] + 1, w.end[k], BASE), UNIT_HASHES)
+        after_number = np.r_[False, number[:-1]] & follows
+        unit = after_number & ~number & (between <= 1) & np.isin(w.hash, UNIT_HASHES) & ~np.r_[False, with_unit[:-1]]
+        point = (raw[np.maximum(w.start - 1, 0)] == ord(",")) | (raw[np.maximum(w.start - 1, 0)] == ord("."))
+        goes_on = after_number & number & (between == 1) & point
+        goes_on |= name & np.r_[False, name[:-1]] & follows & ~opens & (between == 1)
+        first = np.flatnonzero(~(goes_on | unit))
+        end = np.r_[first[1:], n]
+        c = np.r_[0, np.cumsum(unit | with_unit)]
+        quantity = number[first] & (c[end] > c[first])
+        self.first, self.doc = first, w.doc[first]
+        self.first_token = np.searchsorted(self.doc, np.arange(len(offsets)))
+        self.slot = number[first] | name[first]
+        # what fills a slot: a name's words, and a number without its unit
+        value, k = w.hash.copy(), np.flatnonzero(with_unit)
+        value[k] = span_hashes(w.bytes.astype(U) + U(1), w.start[k], last_digit[k] + 1, BASE)
+        self.filled = span_hashes(value, first, end - unit[end - 1], WINDOW_BASE)
+        self.tokens = np.where(quantity, QUANTITY, np.where(number[first], NUMBER, np.where(name[first], NAME, w.hash[first])))
+
+    def windows(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Index of the first token and hash of every run of k tokens that lies in one document."""
+        n = len(self.tokens) - k + 1
+        if n <= 0:
+            return np.zeros(0, np.int64), np.zeros(0, U)
+        at = np.flatnonzero(self.doc[:n] == self.doc[k - 1 :])
+        return at, span_hashes(self.tokens, at, at + k, WINDOW_BASE)
+
+
+ITEM = "template long, n_tokens long, item_id long, size int, hashes array<long>, slots array<int>, filled array<long>"
+
+
+def item_templates(benchmark: DataFrame, window: int, shortest: int) -> DataFrame:
+    """template (a hash of all tokens), item_id, size and hashes of its windows, its slots and what fills them. An item with fewer
+    tokens than a window is one window, if it has `shortest` at least."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, raw, offsets in chunks(batches):
             t, out = Template(raw, offsets), []
-            w = t.words
             for i, item in enumerate(rows.column("item_id").to_pylist()):
-                lo, hi = int(w.first_word[i]), int(w.first_word[i + 1])
+                lo, hi = int(t.first_token[i]), int(t.first_token[i + 1])
                 k = min(window, hi - lo)
                 if item is None or k < shortest:
                     continue
                 at = np.arange(lo, hi - k + 1)
-                h = span_hashes(t.tokens, at, at + k, WINDOW_BASE)
-                for a, x in zip(at.tolist(), h.view(np.int64).tolist()):
-                    slots = np.flatnonzero(t.slot[a : a + k])
-                    out.append((x, item, a - lo, len(at), k, slots.tolist(), w.hash[a + slots].view(np.int64).tolist()))
+                whole = span_hashes(t.tokens, np.array([lo]), np.array([hi]), WINDOW_BASE).view(np.int64)[0]
+                slots = np.flatnonzero(t.slot[lo:hi])
+                hashes = span_hashes(t.tokens, at, at + k, WINDOW_BASE).view(np.int64).tolist()
+                out.append((int(whole), hi - lo, item, k, hashes, slots.tolist(), t.filled[lo + slots].view(np.int64).tolist()))
             if out:
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int64())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out), kinds)], ["hash", "item_id", "item_pos", "n_item", "size", "slots", "filled"])
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64())]
+                columns = [pa.array(c, kind) for c, kind in zip(zip(*out), kinds)]
+                yield pa.RecordBatch.from_arrays(columns, ["template", "n_tokens", "item_id", "size", "hashes", "slots", "filled"])
 
-    return benchmark.select("item_id", "text").mapInArrow(cut, "hash long, item_id long, item_pos long, n_item long, size int, slots array<int>, filled array<long>")
+    return benchmark.select("item_id", "text").mapInArrow(cut, ITEM)
 
 
 def document_windows(docs: DataFrame, sizes: list[int], marks: np.ndarray) -> DataFrame:
-    """hash, doc_id, doc_pos, words (their hashes) of each window whose slot is marked."""
+    """hash, doc_id, doc_pos, filled (hashes of its tokens' words) of each window whose slot is marked."""
     marked = docs.sparkSession.sparkContext.broadcast(np.packbits(marks))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,43 +140,100 @@ def document_windows(docs: DataFrame, sizes: list[int], marks: np.ndarray) -> Da
             t = Template(raw, offsets)
             ids = rows.column("doc_id")
             for k in sizes:
-                at, h = t.words.windows(k, t.tokens)
+                at, h = t.windows(k)
                 hit = mask[(h >> U(64 - SLOT_BITS)).astype(np.int64)]
                 at, h = at[hit], h[hit]
                 if len(at):
-                    doc = t.words.doc[at]
-                    words = t.words.hash[at[:, None] + np.arange(k)].view(np.int64)
-                    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * k, pa.int32()), pa.array(words.reshape(-1)))
-                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), ids.take(pa.array(doc)), pa.array(at - t.words.first_word[doc]), lists], ["hash", "doc_id", "doc_pos", "words"])
-
-    return docs.select("doc_id", "text").mapInArrow(find, "hash long, doc_id long, doc_pos long, words array<long>")
-
-
-def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shortest: int = SHORTEST, coverage: float = COVERAGE) -> DataFrame:
+                    doc = t.doc[at]
+                    filled = t.filled[at[:, None] + np.arange(k)].view(np.int64)
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * k, pa.int32()), pa.array(filled.reshape(-1)))
+                    columns = [pa.array(h.view(np.int64)), ids.take(pa.array(doc)), pa.array(at - t.first_token[doc]), lists]
+                    yield pa.RecordBatch.from_arrays(columns, ["hash", "doc_id", "doc_pos", "filled"])
+
+    return docs.select("doc_id", "text").mapInArrow(find, "hash long, doc_id long, doc_pos long, filled array<long>")
+
+
+def chains(hits: list[tuple[int, int]], n_item: int, slack: int = SLACK) -> list[list[int]]:
+    """Of hits (place in the document, place in the item) in order: the longest chains, each ending where no longer one goes on. Both
+    places grow along a chain, and from one hit to the next by numbers that differ by `slack` at most, so that a few words
+    more or less don't break it. Only hits about an item's length back can come before one."""
+    best, before, goes_on = [1] * len(hits), [-1] * len(hits), [False] * len(hits)
+    begin = 0
+    for x, (d, i) in enumerate(hits):
+        while hits[begin][0] < d - n_item - slack:
+            begin += 1
+        for y in range(begin, x):
+            e, j = hits[y]
+            if e < d and j < i and abs((d - e) - (i - j)) <= slack and best[y] + 1 > best[x]:
+                best[x], before[x] = best[y] + 1, y
+        if before[x] >= 0:
+            goes_on[before[x]] = True
+    out = []
+    for x in sorted((x for x in range(len(hits)) if not goes_on[x]), key=lambda x: (-best[x], x)):
+        chain = []
+        while x >= 0:
+            chain.append(x)
+            x = before[x]
+        out.append(chain[::-1])
+    return out
+
+
+MATCH = "doc_id long, template long, n_matched long, doc_pos long, slots array<int>, now array<long>"
+
+
+def chained(hits: DataFrame, coverage: float, in_tokens: float) -> DataFrame:
+    """For each document and template the chains of windows that cover enough of it, with what the document has at each place."""
+
+    def join(key: tuple, group: pa.Table) -> pa.Table:
+        rows = sorted(zip(*(group.column(c).to_pylist() for c in ("doc_pos", "item_pos", "filled"))), key=lambda r: r[:2])
+        rows = [r for r, last in zip(rows, [None, *rows]) if last is None or r[:2] != last[:2]]
+        n_item, size, out = group.column("n_item")[0].as_py(), group.column("size")[0].as_py(), []
+        for chain in chains([r[:2] for r in rows], n_item):
+            covered = len({rows[x][1] + step for x in chain for step in range(size)})
+            if len(chain) < coverage * n_item and covered < in_tokens * (n_item + size - 1):
+                continue
+            now: dict[int, int] = {}
+            for x in chain:
+                for step, word in enumerate(rows[x][2]):
+                    now.setdefault(rows[x][1] + step, word)
+            out.append((key[0].as_py(), key[1].as_py(), len(chain), rows[chain[0]][0], list(now), list(now.values())))
+        kinds = [pa.int64()] * 4 + [pa.list_(pa.int32()), pa.list_(pa.int64())]
+        names = ["doc_id", "template", "n_matched", "doc_pos", "slots", "now"]
+        return pa.table([pa.array(c, kind) for c, kind in zip(zip(*out) if out else [[]] * 6, kinds)], names)
+
+    return hits.groupBy("doc_id", "template").applyInArrow(join, MATCH)
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shortest: int = SHORTEST, coverage: float = COVERAGE, in_tokens: float = IN_TOKENS) -> DataFrame:
     """One row per document and benchmark item that it contains: doc_id, item_id, n_matched, n_item, coverage, reparameterised.
 
-    A document contains an item when, at one alignment, it shares at least `coverage` of the item's template windows and
-    fills the slots consistently: equal values of the item became equal values, different ones different. reparameterised
-    says that some slot was filled anew. Null and empty texts, rows with a null id and items of fewer than `shortest` words
-    match nothing; repeated rows count once. Windows overlap and rows of one key are few (an item's windows), so a passage
-    in a third of all documents makes no large group. An empty table on either side gives an empty result; other columns
-    are ignored.
+    A document contains an item when a chain of its windows has at least `coverage` of the item's template windows in order, or
+    these windows have at least `in_tokens` of its tokens (a changed word breaks all windows around it), and fills the slots consistently: equal values of the item became equal values, different ones different.
+    reparameterised says that some slot was filled anew. Items of one template are one template until its windows are found,
+    so a benchmark of many items made from one template joins each window once. Null and empty texts, rows with a null id and
+    items of fewer than `shortest` tokens match nothing; repeated rows count once. A passage in a third of all documents
+    makes no large group: groups are one document and one template. An empty table on either side gives an empty result;
+    other columns are ignored.
     """
-    items = stash(item_windows(benchmark, window, shortest).distinct(), "items")
-    sizes = [r["size"] for r in items.select("size").distinct().collect()]
-    marks = slot_table(items.select(F.shiftrightunsigned("hash", 64 - SLOT_BITS)), SLOT_BITS)
+    items = stash(item_templates(benchmark, window, shortest).distinct(), "items")
+    windows = items.dropDuplicates(["template", "n_tokens"]).select("template", "size", F.size("hashes").cast("long").alias("n_item"), F.posexplode("hashes").alias("item_pos", "hash"))
+    windows = stash(windows.withColumn("item_pos", F.col("item_pos").cast("long")), "windows")
+    sizes = [r["size"] for r in windows.select("size").distinct().collect()]  # `window` of them at most
+    marks = slot_table(windows.select(F.shiftrightunsigned("hash", 64 - SLOT_BITS)), SLOT_BITS)
     found = document_windows(docs.filter("doc_id IS NOT NULL"), sizes, marks)
-    small = items.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    hits = found.join(F.broadcast(items) if small else items, "hash")
-    pairs = F.transform("slots", lambda s: F.struct(F.element_at("filled", F.array_position("slots", s).cast("int")).alias("was"), F.element_at("words", s + 1).alias("now")))
-    hits = hits.select("doc_id", "item_id", "n_item", (F.col("doc_pos") - F.col("item_pos")).alias("shift"), "item_pos", pairs.alias("pairs"))
-    whole = hits.groupBy("doc_id", "item_id", "n_item", "shift").agg(F.size(F.collect_set("item_pos")).cast("long").alias("n_matched"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
+    small = windows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    hits = found.join(F.broadcast(windows) if small else windows, "hash").filter(F.size("filled") == F.col("size"))
+    matched = chained(hits.select("doc_id", "template", "n_item", "size", "doc_pos", "item_pos", "filled"), coverage, in_tokens)
+    of_item = items.select("template", "item_id", F.size("hashes").cast("long").alias("n_item"), F.col("slots").alias("places"), "filled")
+    both = matched.join(of_item, "template")
+    here = F.filter(F.arrays_zip("places", "filled"), lambda x: F.array_contains("slots", x["places"]))
+    pairs = F.transform(here, lambda x: F.struct(x["filled"].alias("was"), F.element_at("now", F.array_position("slots", x["places"]).cast("int")).alias("now")))
+    both = both.withColumn("pairs", F.array_distinct(pairs))
     n = F.size("pairs")
     fair = (F.size(F.array_distinct(F.transform("pairs", lambda p: p["was"]))) == n) & (F.size(F.array_distinct(F.transform("pairs", lambda p: p["now"]))) == n)
-    good = whole.filter(fair & (F.col("n_matched") >= F.col("n_item") * coverage))
     anew = F.exists("pairs", lambda p: p["was"] != p["now"])
-    best = good.groupBy("doc_id", "item_id").agg(F.max_by(F.struct("n_matched", "n_item", anew.alias("reparameterised")), F.struct("n_matched", -F.col("shift"))).alias("b"))
-    return best.select("doc_id", "item_id", "b.n_matched", "b.n_item", (F.col("b.n_matched") / F.col("b.n_item")).alias("coverage"), "b.reparameterised")
+    good = both.filter(fair).groupBy("doc_id", "item_id").agg(F.max_by(F.struct("n_matched", "n_item", anew.alias("reparameterised")), F.struct("n_matched", -F.col("doc_pos"))).alias("b"))
+    return good.select("doc_id", "item_id", "b.n_matched", "b.n_item", (F.col("b.n_matched") / F.col("b.n_item")).alias("coverage"), "b.reparameterised")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
