@@ -235,8 +235,8 @@ def test_pages(spark):
 
 def test_privacy(spark):
     rows = [(1, "Mr. John Smith wrote to bob.x1@mail.example.com and BOB.X1@mail.example.com, +1 (619) 555-0053, card 4111 1111 1111 1111 or 4111111111111111, password=abc12 at 10.1.2.3."), (2, None), (3, ""), (4, "plain 12 words v2.0."), (5, "bob.x1@mail.example.com"), (5, "bob.x1@mail.example.com"), (6, " ".join(f"a.{i}@b.org" for i in range(10)))]
-    got = sorted(privacy.replace_private(spark.createDataFrame(rows, "doc_id long, text string")).collect(), key=lambda r: r["doc_id"])
-    assert [r["n_entities"] for r in got] == [8, 0, 0, 0, 1, 1, 10] and [r["text"] for r in got[1:4]] == [None, "", "plain 12 words v2.0."]
+    got = sorted(privacy.replace_private(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect(), key=lambda r: r["doc_id"])
+    assert [r["n_entities"] for r in got] == [9, 0, 0, 0, 1, 1, 10] and [r["text"] for r in got[1:4]] == [None, "", "plain 12 words v2.0."]
     text = got[0]["text"]
     for secret in ("John", "Smith", "bob.x1", "555-0053", "4111", "abc12", "10.1.2.3"):
         assert secret not in text
@@ -252,7 +252,7 @@ def test_privacy_full_pools(spark):
     mails = [f"{c}@q.org" for c in "abcdefghijklmnopqrstuvwxyz_"]
     phones = ["+123 45 67 89", "(619) 555-0053"]
     rows = list(enumerate([f"г-н {n} идёт" for n in names] + [f"password: {x}" for x in secrets] + mails + phones))
-    got = sorted(privacy.replace_private(spark.createDataFrame(rows, "doc_id long, text string")).collect(), key=lambda r: r["doc_id"])
+    got = sorted(privacy.replace_private(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect(), key=lambda r: r["doc_id"])
     made = [r["text"].removeprefix("г-н ").removeprefix("password: ").removesuffix(" идёт") for r in got]
     assert all(r["n_entities"] == 1 for r in got) and len(set(made)) == len(rows) and not set(made) & {*names, *secrets, *mails, *phones}
     assert all(re.fullmatch("[А-Я][а-я]+", m) for m in made[: len(names)]) and all(m.endswith("@q.org") for m in made[-29:-2])

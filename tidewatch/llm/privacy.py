@@ -33,27 +33,37 @@ def _titles(script: str, gender: str) -> str:
     return "(?:" + "|".join(TITLES[script, gender]) + ")"
 
 
-#: what each type of entity looks like, by how it is told apart from the others; the first that fits counts
-KINDS = {
+#: what the types look like that are told by their own form
+FORMS = {
     "email": r"(?<![\w.%+-])[\w.%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
-    "secret": r"(?<=\b(?:password|passwd|secret|token|api_key)\s?[=:]\s?)[^\s\"',;]++|(?<=\b(?:password|passwd|secret|token|api_key) ?[=:] ?\")[^\s\"]++|\bAKIA[A-Z0-9]{16}\b|\b(?=[a-f]*\d)[0-9a-f]{32,64}\b",
-    "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d.]*\d)",
-    "phone": r"(?<!\w)(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}\b|(?<!\w)\+\d{1,3}(?:[ .-]?\d{2,4}){3,5}\b",
-    "ssn": r"\b\d{3}-\d{2}-\d{4}\b",
-    "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,4})?\b",
-    "card": r"\b(?:\d{4}[ -]?){3}\d{4}\b|\b\d{13,19}\b",
-} | {f"name_{s}_{g}": rf"(?U)(?<=\b{_titles(s, g)}\.? )\p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?" for s, g in TITLES}
-#: texts without any of these have no entity; looking for them is cheap
-HINT = r"[0-9@]|(?:" + "|".join(t for x in TITLES.values() for t in x) + r")\.? \p{Lu}|password|passwd|secret|token|api_key"
-PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
-
-
-def kind_of(value: Column, name_title: Column) -> Column:
-    """The type of a found entity. Lookbehinds see nothing in the value alone, so secrets and names are told by the rest."""
-    shape = {"email": rf"^(?:{KINDS['email']})$", "ip": r"^\d{1,3}(\.\d{1,3}){3}$", "ssn": r"^\d{3}-\d{2}-\d{4}$", "card": r"^(\d{4}[ -]?){3}\d{4}$|^\d{13,19}$", "phone": rf"^(?:{KINDS['phone']})$", "iban": r"^[A-Z]{2}\d{2}( ?[A-Z0-9]{4}){3,7}( ?[A-Z0-9]{1,4})?$"}
-    out = F.when(name_title.isNotNull(), name_title)
-    for kind, pattern in shape.items():
-        out = out.when(value.rlike(pattern), F.lit(kind))
+    "phone": r"(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}\b|\+\d{1,3}(?:[ .-]?\d{2,4}){3,5}\b",
+    "ssn": r"\d{3}-\d{2}-\d{4}\b",
+    "iban": r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,4})?\b",
+    "card": r"(?:\d{4}[ -]?){3}\d{4}\b|\d{13,19}\b",
+    "key": r"AKIA[A-Z0-9]{16}\b|(?=[a-f]*\d)[0-9a-f]{32,64}\b",
+}
+IP = r"(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d.]*\d)"
+WORDS = r"(?:password|passwd|secret|token|api_key)"
+NAME = r"\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?"
+ANY_TITLE = "(?:" + "|".join(t for x in TITLES.values() for t in x) + ")"
+#: one pass over a text finds all: most of its characters fail at the first test, which no entity but a host's address skips.
+#: Groups: what stands before a secret, the secret, the same of a quoted one, a title, the name, any other entity
+PATTERN = (
+    rf"(?<![A-Za-z0-9_])(?:({WORDS}\s?[=:]\s?)([^\s\"',;]++)|({WORDS} ?[=:] ?\")([^\s\"]++)|(?<!\p{{L}})({ANY_TITLE}\.? )({NAME})|({FORMS['email']}|{IP}"
+    + "".join(f"|{FORMS[k]}" for k in ("phone", "ssn", "iban", "card", "key"))
+    + rf"))|(?<=[A-Za-z_])({IP})"
+)
+#: marks around an entity; a text that has such characters itself has them written with the first one while it is worked on
+ESCAPE, OPEN, CLOSE = "\x01", "\x02", "\x03"
+MARKED = f"$1$3$5{OPEN}$2$4$6$7$8{CLOSE}"
+
+
+def kind_of(value: Column) -> Column:
+    """The type of an entity that isn't a name, by its form; what has no other form is a secret."""
+    shapes = {"email": FORMS["email"], "ip": r"\d{1,3}(\.\d{1,3}){3}", "ssn": FORMS["ssn"], "card": FORMS["card"], "phone": FORMS["phone"], "iban": FORMS["iban"]}
+    out = F.when(F.lit(False), "")
+    for kind, pattern in shapes.items():
+        out = out.when(value.rlike(rf"^(?:{pattern})$"), F.lit(kind))
     return out.otherwise(F.lit("secret"))
 
 
@@ -135,76 +145,139 @@ def surrogate(kind: Column, value: Column, attempt: Column, key: str) -> Column:
     more = F.when((attempt >= PLAIN) & value.startswith("+") & (F.length(bare) < 11), F.concat(*[(_byte(digest, 40 + i) % 10).cast("string") for i in range(4)])).otherwise("")
     out = out.when(kind == "phone", F.concat(_shaped(value, digest, country), more)).when(kind == "iban", _shaped(value, digest, F.lit(2)))
     out = out.when(value.rlike("^AKIA[A-Z0-9]{16}$"), _shaped(value, digest, F.lit(4)))
+    pick = lambda names, i: F.element_at(F.array(*map(F.lit, names)), F.pmod(F.conv(F.substring(digest, 1 + 12 * i, 12), 16, 10).cast("long"), F.lit(len(names))).cast("int") + 1)
     for script, gender in TITLES:
         family = FAMILY[script] if script == "latin" else FAMILY[script][gender]
-        pick = lambda names, i: F.element_at(F.array(*map(F.lit, names)), F.pmod(F.conv(F.substring(digest, 1 + 12 * i, 12), 16, 10).cast("long"), F.lit(len(names))).cast("int") + 1)
-        name = F.when(value.contains(" "), F.concat(pick(GIVEN[script, gender], 0), F.lit(" "), pick(family, 1), F.when(attempt > 2, F.concat(F.lit("-"), pick(family, 2))).otherwise(F.lit("")))).otherwise(F.concat(pick(family, 1), F.lower(F.when(attempt > 0, pick(family, 2)).otherwise(F.lit("")))))
+        given = F.concat(pick(GIVEN[script, gender], 0), F.when(attempt > 0, _growth(digest, attempt + PLAIN - 1, script)).otherwise(""))
+        name = F.concat(pick(family, 1), F.lower(F.when(attempt > 0, pick(family, 2)).otherwise("")))
         ending = {"m": "ов", "f": "ова"}[gender] if script == "cyrillic" else ""
         grown = F.when(attempt < PLAIN, "").otherwise(F.concat(_growth(digest, attempt, script), F.lit(ending)))
-        out = out.when(kind == f"name_{script}_{gender}", F.concat(name, grown))
+        out = out.when(kind == f"given_{script}_{gender}", given).when(kind == f"family_{script}_{gender}", F.concat(name, grown))
     plain = (kind == "ssn") | value.rlike("^[!-~]*[0-9A-Za-z][!-~]*$")
     shaped = F.when(plain, _shaped(value, digest, F.lit(0))).otherwise(_filled(value, digest))
     grown = F.when(value.rlike(r"\p{IsCyrillic}"), _growth(digest, attempt, "cyrillic")).otherwise(_growth(digest, attempt, "latin"))
     return out.otherwise(F.when(kind == "ssn", shaped).otherwise(F.concat(shaped, grown)))
 
 
-def mentions(docs: DataFrame) -> DataFrame:
-    """doc_id, mark (a hash of the text), at (ordinal), kind, value of every entity found."""
-    found = docs.filter(F.col("text").rlike(HINT)).select("doc_id", F.xxhash64("text").alias("mark"), "text")
-    found = found.withColumn("hits", F.regexp_extract_all("text", F.lit(f"({PATTERN})"), 1)).filter(F.size("hits") > 0)
-    # the text before each entity, whose last words tell the gender and script of a name
-    found = found.withColumn("before", F.transform(F.split("text", PATTERN, -1), lambda s: F.substring(s, F.greatest(F.length(s) - 11, F.lit(1)), F.lit(12))))
-    rows = found.select("doc_id", "mark", F.posexplode(F.arrays_zip(F.col("hits"), F.slice("before", 1, F.size("hits")).alias("before"))).alias("at", "hit"))
-    named = [F.when(F.col("hit.before").rlike(rf"(?:^|[^\p{{L}}]){_titles(s, g)}\.? $"), F.lit(f"name_{s}_{g}")) for s, g in TITLES]
-    rows = rows.select("doc_id", "mark", "at", F.col("hit.hits").alias("value"), F.when(F.col("hit.hits").rlike(r"^\p{Lu}\p{Ll}+( \p{Lu}\p{Ll}+)?$"), F.coalesce(*named)).alias("title"))
-    return rows.select("doc_id", "mark", "at", kind_of(F.col("value"), F.col("title")).alias("kind"), "value").dropDuplicates(["doc_id", "mark", "at"])
+def cut(docs: DataFrame) -> DataFrame:
+    """doc_id, row, text, parts (null where there is no entity) and names. parts are the text in pieces; every second one is an
+    entity. names are the words of the names with a title in this text and what each is: later ones without a title are
+    found by them."""
+    own = f"[{ESCAPE}-{CLOSE}]"
+    plain = F.when(F.col("text").rlike(own), _escaped(F.col("text"))).otherwise(F.col("text"))
+    pieces = lambda x: F.split(x, f"[{OPEN}{CLOSE}]", -1)
+    rows = docs.select("doc_id", "text", F.regexp_replace(plain, PATTERN, MARKED).alias("marked"))
+    rows = rows.withColumn("parts", F.when(F.col("marked").contains(OPEN), pieces(F.col("marked"))))
+    rows = rows.withColumn("names", _names(F.col("parts")))
+    search = F.concat(F.lit(r"(?<![\p{L}])("), F.array_join(F.array_distinct(F.transform("names", lambda n: n["word"])), "|"), F.lit(r")(?![\p{L}])"))
+    again = lambda x, i: F.when(i % 2 == 0, F.regexp_replace(x, search, f"{OPEN}$1{CLOSE}")).otherwise(F.concat(F.lit(OPEN), F.when(F.exists("names", lambda n: F.split(x, " ")[0] == n["word"]), F.regexp_replace(x, " ", f"{CLOSE} {OPEN}")).otherwise(x), F.lit(CLOSE)))
+    found = F.when(F.size("names") > 0, pieces(F.array_join(F.transform("parts", again), ""))).otherwise(F.col("parts"))
+    return rows.select("doc_id", F.monotonically_increasing_id().alias("row"), "text", found.alias("parts"), "names")
+
+
+def _escaped(text: Column) -> Column:
+    for i, c in enumerate((ESCAPE, OPEN, CLOSE)):
+        text = F.replace(text, F.lit(c), F.lit(f"{ESCAPE}{'abc'[i]}"))
+    return text
+
+
+def _plain(text: Column) -> Column:
+    for i, c in reversed([*enumerate((ESCAPE, OPEN, CLOSE))]):
+        text = F.replace(text, F.lit(f"{ESCAPE}{'abc'[i]}"), F.lit(c))
+    return text
+
+
+def _names(parts: Column) -> Column:
+    """(word, kind) of the words of names whose title ends the piece before: of two words the given and the family name, one word
+    is a family name."""
+
+    def one(i: Column) -> Column:
+        value, before = F.get(parts, i), F.get(parts, i - 1)
+        tail = F.substring(before, F.greatest(F.length(before) - 11, F.lit(1)), F.lit(12))
+        told = F.coalesce(*[F.when(tail.rlike(rf"(?:^|[^\p{{L}}]){_titles(s, g)}\.? $"), F.lit(f"{s}_{g}")) for s, g in TITLES])
+        words = F.split(value, " ")
+        word = lambda k, what: F.struct(F.get(words, F.lit(k)).alias("word"), F.concat(F.lit(what), told).alias("kind"))
+        both = F.when(F.size(words) > 1, F.array(word(0, "given_"), word(1, "family_"))).otherwise(F.array(word(0, "family_")))
+        return F.when(told.isNotNull() & value.rlike(rf"^{NAME}$"), both)
+
+    each = F.transform(F.sequence(F.lit(1), F.size(parts) - 1, F.lit(2)), one)
+    return F.when(parts.isNotNull(), F.array_distinct(F.flatten(F.filter(each, lambda x: x.isNotNull()))))
+
+
+def mentions(pieces: DataFrame) -> DataFrame:
+    """row, at (ordinal), kind, value and entity of every entity in the pieces that cut() made."""
+    every = F.transform(F.sequence(F.lit(1), F.size("parts") - 1, F.lit(2)), lambda i: F.get("parts", i))
+    rows = pieces.filter("parts IS NOT NULL").select("row", "names", F.posexplode(every).alias("at", "value"))
+    known = F.get(F.filter("names", lambda n: n["word"] == F.col("value")), F.lit(0))["kind"]
+    rows = rows.select("row", "at", F.coalesce(known, kind_of(F.col("value"))).alias("kind"), "value")
+    return rows.withColumn("entity", canonical(F.col("kind"), F.col("value")))
 
 
 def settle_collisions(entities: DataFrame, key: str, rounds: int = 40) -> DataFrame:
     """kind, entity, value, attempt: for every entity the first attempt whose surrogate no other entity has and which is
-    no entity of the corpus itself."""
-    now = entities.withColumn("attempt", F.lit(0))
+    no entity of the corpus itself. All names are one pool, whatever their gender. Making a surrogate is the work here, so
+    entities are dealt over all tasks however few bytes they are."""
+    spark = entities.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    pool = F.when(F.col("kind").rlike("^(given|family)_"), "name").otherwise(F.col("kind"))
+    settled, now = None, entities.withColumns({"pool": pool, "attempt": F.lit(0)})
+    real = stash(now.select("pool", F.col("entity").alias("made")).distinct(), "real")
     for _ in range(rounds):
-        made = now.withColumn("made", canonical(F.col("kind"), surrogate(F.col("kind"), F.col("value"), F.col("attempt"), key)))
+        made = now.repartition(tasks, "kind", "entity").withColumn("made", canonical(F.col("kind"), surrogate(F.col("kind"), F.col("value"), F.col("attempt"), key)))
         made = stash(made, "surrogates")
-        # of entities with one surrogate the first keeps it; earlier attempts go first, so what is settled stays
-        first = made.groupBy("kind", "made").agg(F.min(F.struct("attempt", "entity")).alias("first"))
-        real = made.select(F.col("kind").alias("real_kind"), F.col("entity").alias("real"))
-        judged = made.join(first, ["kind", "made"]).join(real, (F.col("kind") == F.col("real_kind")) & (F.col("made") == F.col("real")), "left")
-        judged = stash(judged.select("kind", "entity", "value", "attempt", ((F.col("first.entity") != F.col("entity")) | (F.col("first.attempt") != F.col("attempt")) | F.col("real").isNotNull()).alias("bad")), "surrogates")
-        if not judged.filter("bad").limit(1).count():
-            return judged.drop("bad")
-        now = judged.select("kind", "entity", "value", (F.col("attempt") + F.col("bad").cast("int")).alias("attempt"))
+        # of entities with one surrogate the first keeps it; what is settled stays
+        first = made.groupBy("pool", "made").agg(F.min(F.struct("kind", "entity")).alias("first"))
+        taken = real if settled is None else real.union(settled.select("pool", "made"))
+        judged = made.join(first, ["pool", "made"]).join(taken.withColumn("is_taken", F.lit(True)), ["pool", "made"], "left")
+        bad = F.col("is_taken").isNotNull() | (F.col("first.entity") != F.col("entity")) | (F.col("first.kind") != F.col("kind"))
+        judged = stash(judged.withColumn("bad", bad).drop("first", "is_taken"), "surrogates")
+        good = judged.filter("NOT bad").drop("bad")
+        settled = good if settled is None else settled.union(good)
+        now = judged.filter("bad").select("kind", "entity", "value", "pool", (F.col("attempt") + 1).alias("attempt"))
+        if not now.limit(1).count():
+            return settled.select("kind", "entity", "value", "attempt")
     raise RuntimeError("too few surrogates of some type to keep all entities apart")
 
 
-def replace_private(docs: DataFrame, key: str = "a secret of the operator") -> DataFrame:
-    """One row per document: doc_id, n_entities, text with every entity replaced by its surrogate.
-
-    Emails, phone numbers, addresses of hosts, card, bank and social security numbers, passwords and keys, and names after
-    a title are found by their form. One entity has one surrogate in all documents, different entities have different
-    ones, and no surrogate is an entity of the corpus. Surrogates keep letters as letters and digits as digits, a card's
-    check digit, an email's domain, a phone's country, and a name's gender and script. After some attempts emails, names,
-    secrets and short phone numbers grow, so that there are surrogates for any number of entities; a secret without letters
-    and digits becomes letters. Null and empty texts and texts
-    without entities come back unchanged, as do repeated rows, each of them. A null doc_id is allowed. An empty table gives
-    an empty result; other columns are ignored. An entity with a third of all mentions is safe: only the few entities
-    that needed another attempt are joined, the surrogate itself is computed at each mention.
+def made_for(found: DataFrame, key: str) -> DataFrame:
+    """The mentions with the surrogate of each. It is made once for each way that an entity is written. Ways with a thousandth of
+    all mentions or more, a thousand at most, are joined by broadcast; the rest by a shuffle that then has no hot key."""
+    ways = found.groupBy("kind", "entity", "value").agg(F.count(F.lit(1)).alias("n"))
+    ways = stash(ways, "ways")
+    attempts = settle_collisions(ways.groupBy("kind", "entity").agg(F.min("value").alias("value")), key).drop("value")
+    tasks = max(int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")), found.sparkSession.sparkContext.defaultParallelism)
+    made = ways.join(attempts, ["kind", "entity"]).repartition(tasks, "kind", "value")
+    made = stash(made.select("kind", "value", "n", surrogate(F.col("kind"), F.col("value"), F.col("attempt"), key).alias("made")), "made")
+    total = made.agg(F.sum("n").alias("n")).first()["n"] or 0
+    often = made.filter(F.col("n") >= max(1000, total / 1000)).select("kind", "value", F.col("made").alias("often"))
+    hot = found.join(F.broadcast(often), ["kind", "value"], "left")
+    rest = hot.filter("often IS NULL").drop("often").join(made.select("kind", "value", "made"), ["kind", "value"])
+    return hot.filter("often IS NOT NULL").withColumnRenamed("often", "made").select("row", "at", "made").union(rest.select("row", "at", "made"))
+
+
+def replace_private(docs: DataFrame, key: str) -> DataFrame:
+    """One row per document: doc_id, n_entities, text with every entity replaced by its surrogate. key: what surrogates are
+    derived from; keep it secret.
+
+    Emails, phone numbers, addresses of hosts, card, bank and social security numbers, passwords and keys are found by their
+    form; names by a title before them, and then by themselves wherever else in the text they stand. One entity has one
+    surrogate in all documents, different entities have different ones, and no surrogate is an entity of the corpus; given
+    and family names are entities of their own, so Mr. John Smith and Mr. Smith keep the family name in common. Surrogates
+    keep letters as letters and digits as digits, a card's check digit, an email's domain, a phone's country, and a name's
+    gender and script. After some attempts emails, names, secrets and short phone numbers grow, so that there are
+    surrogates for any number of entities; a secret without letters and digits becomes letters. Null and empty texts and
+    texts without entities come back unchanged, as do repeated rows, each of them. A null doc_id is allowed. An empty table
+    gives an empty result; other columns are ignored. Texts are searched once and written; only those with entities move.
     """
-    docs = docs.select("doc_id", "text")
-    found = stash(mentions(docs), "mentions").withColumn("entity", canonical(F.col("kind"), F.col("value")))
-    entities = found.groupBy("kind", "entity").agg(F.min("value").alias("value"))
-    retried = settle_collisions(entities, key).filter("attempt > 0").select("kind", "entity", "attempt")
-    made = found.join(retried, ["kind", "entity"], "left")
-    made = made.select("doc_id", "mark", "at", surrogate(F.col("kind"), F.col("value"), F.coalesce("attempt", F.lit(0)), key).alias("made"))
-    lists = made.groupBy("doc_id", "mark").agg(F.sort_array(F.collect_list(F.struct("at", "made"))).alias("made"))
-    lists = lists.select(F.col("doc_id").alias("_doc"), F.col("mark").alias("_mark"), F.col("made.made").alias("made"))
-    marked = docs.withColumn("mark", F.xxhash64("text"))
-    joined = marked.join(lists, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("mark") == F.col("_mark")), "left")
-    parts = F.split("text", PATTERN, -1)
-    whole = F.array_join(F.zip_with(parts, F.col("made"), lambda p, m: F.concat(p, F.coalesce(m, F.lit("")))), "")
-    return joined.select("doc_id", F.coalesce(F.size("made"), F.lit(0)).cast("long").alias("n_entities"), F.when(F.col("made").isNull(), F.col("text")).otherwise(whole).alias("text"))
+    pieces = stash(cut(docs.select("doc_id", "text")), "pieces")
+    found = stash(mentions(pieces), "mentions")
+    lists = made_for(found, key).groupBy("row").agg(F.sort_array(F.collect_list(F.struct("at", "made"))).alias("made"))
+    joined = pieces.filter("parts IS NOT NULL").join(lists.select("row", F.col("made.made").alias("made")), "row")
+    whole = F.array_join(F.transform("parts", lambda x, i: F.when(i % 2 == 0, x).otherwise(F.get("made", F.floor(i / 2).cast("int")))), "")
+    whole = F.when(whole.contains(ESCAPE), _plain(whole)).otherwise(whole)
+    none = pieces.filter("parts IS NULL").select("doc_id", F.lit(0).cast("long").alias("n_entities"), "text")
+    return none.union(joined.select("doc_id", F.size("made").cast("long").alias("n_entities"), whole.alias("text")))
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replace_private(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return replace_private(table(spark, sf_dir, "documents", "doc_id", "text"), key="the key of this run")
