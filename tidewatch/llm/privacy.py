@@ -216,14 +216,15 @@ def mentions(pieces: DataFrame) -> DataFrame:
 def settle_collisions(entities: DataFrame, key: str, rounds: int = 40) -> DataFrame:
     """kind, entity, value, attempt: for every entity the first attempt whose surrogate no other entity has and which is
     no entity of the corpus itself. All names are one pool, whatever their gender. Making a surrogate is the work here, so
-    entities are dealt over all tasks however few bytes they are."""
+    entities are dealt over all tasks however few bytes they are (by a hash of their key: a partitioning by the key itself would
+    be taken for the one that the grouping has, and its small parts put together)."""
     spark = entities.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     pool = F.when(F.col("kind").rlike("^(given|family)_"), "name").otherwise(F.col("kind"))
     settled, now = None, entities.withColumns({"pool": pool, "attempt": F.lit(0)})
     real = stash(now.select("pool", F.col("entity").alias("made")).distinct(), "real")
     for _ in range(rounds):
-        made = now.repartition(tasks, "kind", "entity").withColumn("made", canonical(F.col("kind"), surrogate(F.col("kind"), F.col("value"), F.col("attempt"), key)))
+        made = now.repartition(tasks, F.xxhash64("kind", "entity")).withColumn("made", canonical(F.col("kind"), surrogate(F.col("kind"), F.col("value"), F.col("attempt"), key)))
         made = stash(made, "surrogates")
         # of entities with one surrogate the first keeps it; what is settled stays
         first = made.groupBy("pool", "made").agg(F.min(F.struct("kind", "entity")).alias("first"))
