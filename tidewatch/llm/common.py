@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,12 +43,19 @@ def stash(df: DataFrame, label: str = "t", batch_rows: int | None = None) -> Dat
 
 
 def with_row(docs: DataFrame) -> tuple[DataFrame, str]:
-    """docs, written out, with a column that numbers its rows, and that column's name: what is decided about a row is decided
-    about it alone, whatever its doc_id. Written first, because a row that is read again may get another number."""
+    """docs with a column that tells its rows apart, and that column's name: what is decided about a row is decided about it alone,
+    whatever its doc_id. A row that was read from Parquet is told by its file and its place there, hashed to 64 bits (of n
+    rows about n * n / 2**65 pairs are taken for one); other tables are written out with their rows numbered, because a row
+    that is computed again may get another number."""
     row = "_row"
     while row in docs.columns:
         row += "_"
-    return stash(docs.withColumn(row, F.monotonically_increasing_id()), "rows"), row
+    try:
+        placed = docs.select("*", F.xxhash64("_metadata.file_path", "_metadata.row_index").alias(row))
+        placed.schema  # noqa: B018  tells whether the columns are there
+        return placed, row
+    except AnalysisException:  # no such columns: not read from Parquet
+        return stash(docs.withColumn(row, F.monotonically_increasing_id()), "rows"), row
 
 
 def text_bytes(docs: DataFrame, column: str = "text") -> int:

@@ -202,13 +202,14 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     several = group.groupBy("grp").count().filter("count > 2").select("grp", F.lit(True).alias("several"))
     postings = postings.join(several, postings["doc_id"] == several["grp"], "left").withColumn("rarest", F.when(F.col("several"), F.col("prefix")[0]))
     postings = postings.select(F.explode("prefix").alias("token"), F.col("n_shingles").alias("n"), F.col("doc_id").alias("grp"), "rarest")
+    postings = postings.withColumn("rarest", F.coalesce(F.col("token") == F.col("rarest"), F.lit(False)))
     # at each shingle, sizes are dealt into classes; groups of one class link to its first, so that copies share few partners
     level = F.floor(F.log(F.col("n")) / F.log(F.lit(100 / percent))).cast("int")
-    postings = stash(postings.withColumn("level", level), "postings")
+    postings = stash(postings.withColumn("n", F.col("n").cast("int")), "postings").withColumn("level", level)
     # summed before they meet, so a hot shingle is a row for each class and task here; the join below can be split
     classes = postings.groupBy("token", "level").agg(F.min("grp").alias("first"), F.count(F.lit(1)).alias("in_class"))
     classes = classes.withColumn("of", F.sum("in_class").over(Window.partitionBy("token")))
-    postings = postings.join(classes, ["token", "level"]).filter("of > 1 OR token = rarest")
+    postings = postings.join(classes, ["token", "level"]).filter("of > 1 OR rarest")
     postings = stash(postings.select("token", "n", "grp", "first"), "postings")
     near = postings.filter("first <> grp").select(F.least("first", "grp").alias("a"), F.greatest("first", "grp").alias("b"))
     inside = group.filter("member <> grp").select(F.col("grp").alias("a"), F.col("member").alias("b"))
