@@ -17,9 +17,9 @@ from .hashing import U, Words, chunks, pack, unpack
 #: bytes of text for each bucket of hashes; hashes that a task holds before it sends them
 WINDOW, BUCKET_BYTES, HELD = 13, 4_000_000, 1_000_000
 ENTRY = "bucket int, doc_id long, docs binary, counts binary, hashes binary"
-REPLY = "doc_id long, hashes binary"
+REPLY = "doc_id long, hash long"
 _ENTRY = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("docs", pa.binary()), ("counts", pa.binary()), ("hashes", pa.binary())])
-_REPLY = pa.schema([("doc_id", pa.int64()), ("hashes", pa.binary())])
+_REPLY = pa.schema([("doc_id", pa.int64()), ("hash", pa.int64())])
 
 
 def first_owner(hashes: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -89,7 +89,7 @@ def truncated(hashes: np.ndarray, bits: int, width: int = 7) -> np.ndarray:
 
 
 def repeated_windows(docs: DataFrame, window: int, bits: int) -> DataFrame:
-    """doc_id and the hashes of those of its windows that also start in a document with a smaller doc_id.
+    """doc_id and hash of those of its windows that also start in a document with a smaller doc_id, a row each at every size.
 
     A task counts its own hashes first, HELD at a time: one that several of its documents share is settled there for all but
     the smallest, and is sent once, with that document. A bucket of hashes therefore gets few entries of even the
@@ -126,10 +126,11 @@ def repeated_windows(docs: DataFrame, window: int, bits: int) -> DataFrame:
         h, own = read_entries(key[0].as_py(), bits, *(rest.column(c).to_pylist() for c in ("docs", "counts", "hashes")))
         order, _, least, _ = first_owner(h, own)
         h, own = h[order], own[order]
-        again = own > least
-        found = by_owner(own[again], h[again])
-        late = pa.Table.from_batches([arrow_rows(found, _REPLY)] if found else [], _REPLY)
-        return pa.concat_tables([settled.select(["doc_id", "hashes"]).cast(_REPLY), late])
+        again = (own > least) & np.r_[True, (h[1:] != h[:-1]) | (own[1:] != own[:-1])][: len(h)]
+        early = settled.column("hashes").to_pylist()
+        docs_of = np.repeat(settled.column("doc_id").to_numpy().astype(np.int64), np.array([len(x) // 8 for x in early], np.int64))
+        rows = np.r_[docs_of, own[again]], np.r_[np.frombuffer(b"".join(early), np.int64), h[again].view(np.int64)]
+        return pa.table([pa.array(x, pa.int64()) for x in rows], _REPLY)
 
     return by_bucket(docs.mapInArrow(count, ENTRY), bits).applyInArrow(settle, REPLY)
 
@@ -145,23 +146,23 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = Fals
     """
     docs = docs.select("doc_id", "text")
     bits = bits_for(text_bytes(docs) / BUCKET_BYTES)
-    found = repeated_windows(docs, window, bits).groupBy("doc_id").agg(F.collect_list("hashes").alias("hashes"))
+    found = repeated_windows(docs, window, bits).groupBy("doc_id").agg(F.collect_list("hash").alias("hashes"))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, raw, offsets in chunks(batches):
-            lists = rows.column("hashes").to_pylist()
+            lists = [x.values.to_numpy().view(np.uint64) if x.is_valid else () for x in rows.column("hashes")]
             n_words, n_removed, n_spans, digest, texts = [], [], [], [], []
-            words = Words(raw, offsets) if any(lists) else None
+            words = Words(raw, offsets) if any(map(len, lists)) else None
             flagged = np.zeros(0, np.int64)
             if words:
                 at, h = words.windows(window)
                 h = truncated(h, bits)
                 bounds = np.searchsorted(words.doc[at], np.arange(len(lists) + 1))
                 change = np.zeros(len(words.start) + window + 1, np.int32)
-                for i, blobs in enumerate(lists):
-                    if blobs:
+                for i, found_in in enumerate(lists):
+                    if len(found_in):
                         lo, hi = bounds[i], bounds[i + 1]
-                        hit = at[lo:hi][np.isin(h[lo:hi], np.frombuffer(b"".join(blobs), np.uint64))]
+                        hit = at[lo:hi][np.isin(h[lo:hi], found_in)]
                         change[hit] += 1
                         change[hit + window] -= 1
                 flagged = np.cumsum(change)[: len(words.start)] > 0
@@ -169,7 +170,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = Fals
             for i in range(len(lists)):
                 own = data[offsets[i] : offsets[i + 1]].split()
                 n_words.append(len(own))
-                if lists[i]:
+                if len(lists[i]):
                     gone = flagged[words.first_word[i] : words.first_word[i + 1]]
                     n_removed.append(int(gone.sum()))
                     n_spans.append(int((gone & ~np.r_[False, gone[:-1]]).sum()))
