@@ -14,4 +14,10 @@ QUERIES = {
     "op9_pii": privacy.op9_pii,
     "op10_sharding": sharding.op10_sharding,
 }
-ORACLES = {"op3_jaccard_join": jaccard.OP3_SQL, "op5_suffix_dedup": suffixes.OP5_SQL, "op6_substring_dedup": substrings.OP6_SQL, "op8_exact_dedup": exact.OP8_SQL}
+ORACLES = {
+    "op3_jaccard_join": jaccard.OP3_SQL,
+    "op5_suffix_dedup": suffixes.OP5_SQL,
+    "op6_substring_dedup": substrings.OP6_SQL,
+    "op8_exact_dedup": exact.OP8_SQL,
+    "op10_sharding": sharding.OP10_SQL,
+}

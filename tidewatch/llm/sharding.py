@@ -68,6 +68,15 @@ def moved(df: DataFrame, key: str, before: list[str], after: list[str], size: in
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's slot, shard and size in bytes (0 for a null text); see `place`."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     sized = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
     return place(sized, "doc_id", [f"shard-{i:03d}" for i in range(SHARDS)]).select("doc_id", "slot", "shard", "n_bytes")
+
+
+#: the filled table is given as it is (tests hold its filling against the rule); slots, shards and sizes are worked out anew
+OP10_SQL = f"""
+WITH t AS (SELECT string_split('{",".join(map(str, lookup_table([f"shard-{i:03d}" for i in range(SHARDS)])))}', ',') AS shards),
+d AS (SELECT doc_id, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT % {TABLE_SIZE} AS slot, coalesce(strlen(text), 0) AS n_bytes FROM documents)
+SELECT doc_id, slot, 'shard-' || lpad(shards[slot + 1], 3, '0') AS shard, n_bytes FROM d, t
+"""
