@@ -196,6 +196,21 @@ def test_training_rows(spark):
     assert len(got) == 20 and {lang for _, lang in got} == {"en", "de", "ru"} and max(len(t) for t, _ in got) == language.LONGEST
 
 
+def test_training_rows_by_brute_force(spark):
+    """The same rows however many partitions hold them, also with more languages than rows."""
+    rows = [(i % 90, f"some words {i} " * (i % 40), f"l{min(i % 13, i % 7)}") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for sample in (30, 3):
+        some = df.filter("text <> ''").filter(~language.held_out()).selectExpr("text", "lang", "length(text) < 200 AS s", "xxhash64(doc_id) AS h", "xxhash64(doc_id, xxhash64(text)) AS k").collect()
+        turns = []
+        for lang in {r["lang"] for r in some}:
+            own = sorted((r["s"], r["h"], r["k"], r["text"]) for r in some if r["lang"] == lang)
+            turns += [(t, h, k, lang, text) for t, (_, h, k, text) in enumerate(own)]
+        languages = len({t[3] for t in turns})
+        want = sorted((t[4], t[3]) for t in sorted(turns)[: max(sample, languages)])
+        assert [sorted(language.training_rows(df.repartition(n), sample)) for n in (1, 70)] == [want, want]
+
+
 def test_switched_text_stays(spark, monkeypatch):
     """A text in four languages, each word certain, is kept, with a null doc_id too; one of words that no label fits is not."""
     crf = language.Crf(["a", "b", "c", "d"], {})

@@ -17,6 +17,8 @@ from .hashing import mix
 SAMPLE, FEATURE_BITS, SWEEPS, RATE, REMEMBERED = 400, 16, 3, 0.5, 300_000
 #: characters of a text that the model is fitted on, at most
 LONGEST = 20_000
+#: the first rows of a language meet from so many groups of partitions
+LEAVES = 64
 UNKNOWN = "und"
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -163,11 +165,16 @@ def training_rows(docs: DataFrame, sample: int = SAMPLE) -> list[tuple[str, str]
     `sample` rows, or one for each language if there are more languages."""
     some = docs.filter("text IS NOT NULL AND lang IS NOT NULL").filter(~held_out()).filter(F.col("text").rlike(r"\p{L}"))
     some = some.withColumn("key", F.xxhash64("doc_id", F.xxhash64("text")))
-    turn = Window.partitionBy("lang").orderBy("short", F.xxhash64("doc_id"), "key")
-    keys = some.select("lang", "key", "doc_id", (F.length("text") < 200).alias("short")).withColumn("turn", F.row_number().over(turn)).filter(F.col("turn") <= sample)
-    first = keys.orderBy("turn", F.xxhash64("doc_id"), "key", "lang").select("key", "lang")
-    most = max(sample, keys.filter("turn = 1").count())
-    chosen = {(r["key"], r["lang"]) for r in first.limit(most).collect()}
+    order = ["short", F.xxhash64("doc_id"), "key"]
+    # first within groups of partitions: what meets in one task for a language is LEAVES * sample small rows, whatever the input
+    keys = some.select("lang", "key", "doc_id", (F.length("text") < 200).alias("short"), (F.spark_partition_id() % LEAVES).alias("leaf"))
+    for by in (["lang", "leaf"], ["lang"]):
+        keys = keys.withColumn("turn", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("turn") <= sample)
+    first = keys.orderBy("turn", F.xxhash64("doc_id"), "key", "lang").select("key", "lang", "turn")
+    picked = first.limit(sample).collect()
+    if picked and picked[-1]["turn"] == 1:  # as many languages as rows, or more
+        picked = first.filter("turn = 1").collect()
+    chosen = {(r["key"], r["lang"]) for r in picked}
     rows = some.filter(F.col("key").isin([k for k, _ in chosen])).select("key", F.substring("text", 1, LONGEST).alias("text"), "lang").dropDuplicates(["key", "lang"]).collect()
     return [(r["text"], r["lang"]) for r in sorted(rows, key=lambda r: (r["key"], r["lang"])) if (r["key"], r["lang"]) in chosen]
 
