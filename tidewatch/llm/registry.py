@@ -1,6 +1,6 @@
 """The queries of this subpackage, and the SQL of those that SQL can express."""
 
-from . import decontaminate, exact, jaccard, language, packing, pages, privacy, sharding, substrings, suffixes
+from . import decontaminate, dialogues, exact, jaccard, language, negatives, packing, pages, privacy, sharding, squares, substrings, suffixes
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -13,6 +13,9 @@ QUERIES = {
     "op8_exact_dedup": exact.op8_exact_dedup,
     "op9_pii": privacy.op9_pii,
     "op10_sharding": sharding.op10_sharding,
+    "op11_hard_negatives": negatives.op11_hard_negatives,
+    "op12_conversation_repair": dialogues.op12_conversation_repair,
+    "op13_squares_packing": squares.op13_squares_packing,
 }
 ORACLES = {
     "op3_jaccard_join": jaccard.OP3_SQL,
@@ -20,4 +23,5 @@ ORACLES = {
     "op6_substring_dedup": substrings.OP6_SQL,
     "op8_exact_dedup": exact.OP8_SQL,
     "op10_sharding": sharding.OP10_SQL,
+    "op11_hard_negatives": negatives.OP11_SQL,
 }
