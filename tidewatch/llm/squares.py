@@ -4,6 +4,7 @@ residual gap become smallest."""
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -25,9 +26,18 @@ PACKED = f"{PIECE}, sequence_id long, offset long"
 FIRST, _NEVER = 40, np.iinfo(np.int64).max
 
 
+#: a word of Latin-1 letters with ASCII signs behind it (no apostrophe, which may begin a piece of its own): the commonest stretch
+PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@[-`{-~]*)")
+#: fixed values: the characters that byte-level vocabularies write bytes as
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+ALPHABET = {b: chr(b) for b in _SHOWN} | {b: chr(256 + n) for n, b in enumerate(sorted(set(range(256)) - set(_SHOWN)))}
+
+
 class Words(dict):
     """The bytes of the ids (little-endian, 32 bits) of a stretch of text without spaces or line ends. The tokenizer's pieces never
-    reach across a space, so a text's ids are those of its stretches, one after the other; each is encoded once."""
+    reach across a space, so a text's ids are those of its stretches, one after the other; each is encoded once. A plain word is
+    also looked up in small letters and without the signs behind it, which the tokenizer splits off, and encoded by the
+    tokenizer's model alone, as it has nothing to normalise."""
 
     def __init__(self, vocabulary: str | None):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are parallel already
@@ -35,9 +45,15 @@ class Words(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary or public_tokenizers.path("word_bpe_49k.json"))
+        self.model = self.tokenizer.model
 
     def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        plain = PLAIN.fullmatch(word)
+        if plain and (small := plain[1].lower()) != word:
+            ids = self[small] + (self[plain[2]] if plain[2] else b"")
+        else:
+            found = [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(ALPHABET))] if plain else self.tokenizer.encode(word, add_special_tokens=False).ids
+            ids = np.array(found, "<u4").tobytes()
         if len(word) <= LONGEST:
             if len(self) >= REMEMBERED:
                 self.clear()
