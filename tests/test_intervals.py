@@ -1,12 +1,15 @@
 import hashlib
+from datetime import date, timedelta
 from datetime import datetime as D
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions import scalars
 from tidewatch.operators import features, intervals, metrics, quality, timeseries
+from tidewatch.operators.selection import exact_median
 from tidewatch.plans import dashboard
 from tidewatch.sources import cleaning, files
 
@@ -51,6 +54,29 @@ def test_touching_intervals_merge(spark):
     assert intervals.merged(rec).count() == 2
 
 
+def test_stitching(spark):
+    """Only parts that touch midnight are seen region by region; runs over days, gaps at midnight and whole days."""
+    rows = [("K", D(2022, 1, 1, 20), D(2022, 1, 4, 1)), ("K", D(2022, 1, 4, 21), D(2022, 1, 4, 22)), ("K", D(2022, 1, 4, 20), D(2022, 1, 4, 21, 30)), ("L", D(2022, 1, 1, 21), D(2022, 1, 1, 22)), ("L", D(2022, 1, 1, 23), D(2022, 1, 2, 22))]
+    rec = spark.createDataFrame(rows, "region string, s timestamp_ntz, e timestamp_ntz")
+    want = [("K", D(2022, 1, 1, 20), D(2022, 1, 4, 1)), ("K", D(2022, 1, 4, 20), D(2022, 1, 4, 22)), ("L", D(2022, 1, 1, 21), D(2022, 1, 1, 22)), ("L", D(2022, 1, 1, 23), D(2022, 1, 2, 22))]
+    assert sorted(map(tuple, intervals.merged(rec).collect())) == want
+    seen = intervals.islands(intervals.by_day(rec), ["region"], "cs", "ce")
+    assert sorted(map(tuple, seen.collect())) == want
+
+
+def test_median_by_selection(spark):
+    """Groups whose values are spread, tied, skewed by powers, or few, against the plain median; a hot region and day."""
+    draw = np.random.default_rng(11)
+    groups = {"spread": draw.normal(size=3001), "tied": np.r_[np.full(1500, 2.0), draw.random(500), [1.0]], "powers": 2.0 ** draw.integers(-900, 900, 2000), "even": np.arange(2000.0), "two": np.r_[np.zeros(1000), np.ones(1000)], "few": draw.random(9), "most": np.r_[np.full(1990, 5.0), np.arange(5.0)]}
+    rows = [(k, float(x)) for k, v in groups.items() for x in v] + [("few", None), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, x double").repartition(6)
+    got = {r["g"]: r["median"] for r in exact_median(df, ["g"], "x", small=100).collect()}
+    assert got == {k: np.median(v) for k, v in groups.items()}
+    recs = spark.range(5000).select(F.when(F.col("id") < 4000, "hot").otherwise("cold").alias("region"), F.lit("2022-01-01 10:00:00").cast("timestamp_ntz").alias("s"), (F.col("id") * 7919 % 997 / 7).alias("duration_minutes"), F.lit("2022-01-01 11:00:00").cast("timestamp_ntz").alias("e"))
+    plain, hot = (sorted(intervals.daily_stats(recs, n).select("region", "date", "raw_alert_record_count", "max_alert_duration", "first_alert_time", "last_alert_time", "median_alert_duration").collect()) for n in (10**6, 1500))
+    assert plain == hot and len(hot) == 2
+
+
 def test_empty(spark):
     rec = intervals.local_records(alerts(spark, []))
     merged, regions = intervals.merged_by_day(rec), features.spans(rec)
@@ -71,10 +97,66 @@ def test_labels_and_division(spark):
     assert tuple(row) == (None, 5.0, "low", "medium", "high")
 
 
-def test_change_points():
-    days = [f"2022-{m:02d}-{d:02d}" for m in (1, 2, 3, 4) for d in range(1, {1: 32, 2: 29, 3: 32, 4: 31}[m])][:90]
-    assert timeseries.change_dates(np.r_[np.zeros(45), np.full(45, 300.0)], days) == ["2022-02-15"]
-    assert timeseries.change_dates(np.tile([100.0, 105.0], 45), days) == []
+def split_points(values: np.ndarray, count: int, least: int, step: int = 5) -> list[int]:
+    """Binary segmentation by squared error: the split with the largest gain, again and again, on a grid of `step`."""
+    total, squares = np.r_[0, np.cumsum(values)], np.r_[0, np.cumsum(values**2)]
+    cost = lambda a, b: squares[b] - squares[a] - (total[b] - total[a]) ** 2 / (b - a)
+    edges = [0, len(values)]
+    for _ in range(count):
+        best = None
+        for a, b in zip(edges, edges[1:]):
+            points = np.array([p for p in range(a, b) if p % step == 0 and p - a >= least and b - p >= least], int)
+            if len(points):
+                gain = cost(a, b) - cost(a, points) - cost(points, b)
+                k = len(gain) - 1 - int(np.argmax(gain[::-1]))
+                if best is None or gain[k] > best[0]:
+                    best = (gain[k], int(points[k]))
+        if best is None:
+            return []
+        edges = sorted([*edges, best[1]])
+    return edges[1:-1]
+
+
+def change_dates(values: np.ndarray, dates: list, most: int = 3) -> list:
+    """First days of new regimes: splits whose neighbouring means differ by 60 minutes and half a deviation at least."""
+    n = len(values)
+    if n != len(dates) or n < 18 or values.max() == 0 or values.std() < 1e-9:
+        return []
+    least = max(3, min(30, n // 6))
+    points = split_points(values, min(most, max(1, n // least - 1)), least)
+    edges = [0, *points, n]
+    limit = max(60.0, 0.5 * values.std(ddof=1))
+    return [dates[p] for a, p, b in zip(edges, points, edges[2:]) if abs(values[p:b].mean() - values[a:p].mean()) >= limit]
+
+
+def test_change_points(spark):
+    """Native rounds against a search by arrays, with blocks that cut the series."""
+    draw = np.random.default_rng(5)
+    series = {"up": np.r_[np.zeros(45), np.full(45, 300.0)], "even": np.tile([100.0, 105.0], 45), "zero": np.zeros(90), "short": np.r_[np.zeros(8), np.full(8, 900.0)], "flat": np.full(50, 7.0), "tie": np.r_[np.zeros(30), np.full(30, 600.0), np.zeros(30)]}
+    series |= {f"r{i}": np.concatenate([np.full(draw.integers(5, 90), draw.integers(0, 12) * 120.0) + draw.integers(0, 3, 1) * 60 for _ in range(draw.integers(1, 7))]) for i in range(25)}
+    days = lambda v: [date(2022, 1, 1) + timedelta(days=i) for i in range(len(v))]
+    rows = [(r, d, float(x)) for r, v in series.items() for d, x in zip(days(v), v)]
+    draw.shuffle(rows)
+    df = spark.createDataFrame([(str(r), d, float(x)) for r, d, x in rows], "region_name string, date date, alert_minutes_total double")
+    for block in (4096, 7):
+        got = {r["region"]: (r["n_change_points"], r["change_point_dates"]) for r in timeseries.change_points(df, block=block).collect()}
+        want = {r: change_dates(v, [str(d) for d in days(v)]) for r, v in series.items()}
+        assert got == {r: (len(w), ";".join(w)) for r, w in want.items()}
+    assert got["up"] == (1, "2022-02-15") and got["even"] == (0, "")
+    assert timeseries.change_points(df.limit(0)).count() == 0
+
+
+def test_rolling_over_blocks(spark):
+    """A region's series in many blocks gives the rows that one window over the region gives, and fills several tasks."""
+    rows = spark.range(2000).select(F.when(F.col("id") % 20 == 0, "L").otherwise("K").alias("region_name"), F.col("id").alias("date"), (F.col("id") * 37 % 101).cast("double").alias("alert_minutes_total"), (F.col("id") % 7 / 7).alias("alert_burden_index"))
+    whole = Window.partitionBy("region_name").orderBy("date")
+    want = rows.select("region_name", "date", *[F.round(F.avg("alert_minutes_total").over(whole.rowsBetween(1 - n, 0)), 9).alias(f"alert_minutes_{n}d_mean") for n in (7, 14, 30)], F.round(F.coalesce(F.stddev_samp("alert_burden_index").over(whole.rowsBetween(-29, 0)), F.lit(0.0)), 9).alias("abi_30d_std"))
+    got = timeseries.rolling(rows.repartition(5), block=50)
+    rounded = got.select("region_name", "date", *[F.round(c, 9).alias(c) for c in want.columns[2:]])
+    assert sorted(rounded.collect()) == sorted(want.collect()) and set(got.columns) >= set(rows.columns)
+    assert "pos" not in got.columns and len(got.groupBy(F.floor(F.col("date") / 50)).count().collect()) == 40
+    with pytest.raises(ValueError, match="need blocks"):
+        timeseries.rolling(rows, block=20)
 
 
 def test_rolling_keeps_regions_apart(spark):
@@ -140,7 +222,7 @@ def test_checks(spark, tmp_path):
     assert not quality.has_infinite(df) and quality.has_infinite(spark.createDataFrame([(-inf,)], "x double")) and not quality.has_infinite(df.select("label"))
     times = spark.range(1).select(F.current_timestamp().alias("a"), F.current_timestamp().cast("timestamp_ntz").alias("b"))
     assert quality.has_zone(times, "a") and not quality.has_zone(times, "b")
-    with pytest.raises(ValueError, match="missing columns: finished_at_utc"):
+    with pytest.raises(ValueError, match="Missing required columns in alerts: finished_at_utc"):
         intervals.local_records(spark.createDataFrame([], "region string, started_at_utc timestamp_ntz"))
 
 

@@ -41,21 +41,58 @@ def region_hour(merged: DataFrame, regions: DataFrame) -> DataFrame:
     )
 
 
-def region_day(records: DataFrame, merged: DataFrame, hours: DataFrame) -> DataFrame:
+#: columns of a day with any record, and their types
+ACTIVE = {
+    "region_name": "string", "date": "date", "raw_alert_record_count": "long", "merged_alert_episode_count": "long", "alert_minutes_total": "double",
+    "alert_minutes_night": "double", "alert_minutes_workday": "double", "max_alert_duration": "double", "median_alert_duration": "double",
+    "longest_alert_free_window_minutes": "double", "first_alert_time": "timestamp_ntz", "last_alert_time": "timestamp_ntz",
+}
+
+
+def _totals(hours: DataFrame, *keys: str) -> DataFrame:
+    """Minutes of each day: all, at night, in working hours."""
     m = F.col("alert_minutes_in_hour")
     total = lambda which, most, name: F.least(F.lit(most), F.sum(F.when(which, m).otherwise(0.0))).alias(name)
-    base = hours.groupBy("region_id", "region_name", "date").agg(total(F.lit(True), 1440.0, "alert_minutes_total"), total(F.col("is_night"), 540.0, "alert_minutes_night"), total(F.col("is_work_hour"), 540.0, "alert_minutes_workday"))
+    return hours.groupBy(*keys).agg(total(F.lit(True), 1440.0, "alert_minutes_total"), total(F.col("is_night"), 540.0, "alert_minutes_night"), total(F.col("is_work_hour"), 540.0, "alert_minutes_workday"))
+
+
+def _described(base: DataFrame, stats: DataFrame, gaps: DataFrame) -> DataFrame:
     named = lambda df: df.withColumnRenamed("region", "region_name")
-    full = base.join(named(I.daily_stats(records)), ["region_name", "date"], "left").join(named(I.day_gaps(merged)), ["region_name", "date"], "left")
-    raw = F.coalesce("raw_alert_record_count", F.lit(0))
-    return full.select(
-        "region_id", "region_name", "date", raw.alias("alert_count"), raw.alias("raw_alert_record_count"), F.coalesce("merged_alert_episode_count", F.lit(0)).alias("merged_alert_episode_count"),
-        "alert_minutes_total", "alert_minutes_night", "alert_minutes_workday", "max_alert_duration", "median_alert_duration",
-        F.coalesce("longest_alert_free_window_minutes", F.lit(1440.0)).alias("longest_alert_free_window_minutes"), (F.col("alert_minutes_total") / 1440).alias("share_day_under_alert"),
-        (F.col("alert_minutes_night") > 0).alias("sleep_window_interrupted"), (F.col("alert_minutes_workday") > 0).alias("workday_interrupted"), "first_alert_time", "last_alert_time",
+    return base.join(named(stats), ["region_name", "date"], "left").join(named(gaps), ["region_name", "date"], "left")
+
+
+def _completed(rows: DataFrame) -> DataFrame:
+    """The published columns; days without records have no minutes and are free throughout."""
+    c, zero = F.col, lambda name, x: F.coalesce(name, F.lit(x)).alias(name)
+    raw, minutes = F.coalesce("raw_alert_record_count", F.lit(0)), {n: F.coalesce(n, F.lit(0.0)) for n in ("alert_minutes_total", "alert_minutes_night", "alert_minutes_workday")}
+    return rows.select(
+        "region_id", "region_name", "date", raw.alias("alert_count"), raw.alias("raw_alert_record_count"), zero("merged_alert_episode_count", 0),
+        *[v.alias(n) for n, v in minutes.items()], "max_alert_duration", "median_alert_duration",
+        zero("longest_alert_free_window_minutes", 1440.0), (minutes["alert_minutes_total"] / 1440).alias("share_day_under_alert"),
+        (minutes["alert_minutes_night"] > 0).alias("sleep_window_interrupted"), (minutes["alert_minutes_workday"] > 0).alias("workday_interrupted"), c("first_alert_time"), c("last_alert_time"),
     )
 
 
+def region_day(records: DataFrame, merged: DataFrame, hours: DataFrame) -> DataFrame:
+    return _completed(_described(_totals(hours, "region_id", "region_name", "date"), I.daily_stats(records), I.day_gaps(merged)))
+
+
+def active_days(parts: DataFrame, merged: DataFrame) -> DataFrame:
+    """The features of each region and day with any record, from that day's rows alone. parts: by_day(); merged: merged_by_day()."""
+    hour = F.hour("datetime_hour")
+    minutes = F.least(F.lit(60.0), F.greatest(F.lit(0.0), F.col("minutes")))
+    hours = I.minutes_by_hour(merged).withColumns({"date": F.to_date("datetime_hour"), "alert_minutes_in_hour": minutes, "is_night": is_night(hour), "is_work_hour": is_work(hour, F.weekday("datetime_hour"))})
+    return _described(_totals(hours.withColumnRenamed("region", "region_name"), "region_name", "date"), I.part_stats(parts), I.day_gaps(merged))
+
+
+def dense_days(active: DataFrame) -> DataFrame:
+    """region_day() from the rows of active_days(): every region and day from the first to the last that has any."""
+    ends = active.agg(F.min("date").alias("a"), F.max("date").alias("b")).filter("a IS NOT NULL")
+    ids = region_ids(active.select(F.col("region_name").alias("region"))).withColumnRenamed("region", "region_name")
+    grid = ends.select(F.explode(F.sequence("a", "b")).alias("date")).crossJoin(F.broadcast(ids))  # the result's own size
+    return _completed(grid.join(active, ["region_name", "date"], "left"))
+
+
 def national_day(hours: DataFrame, days: DataFrame) -> DataFrame:
     base = days.groupBy("date").agg(F.count_if(F.col("alert_minutes_total") > 0).alias("regions_with_alerts_count"), F.sum("alert_minutes_total").alias("total_alert_minutes_all_regions"))
     most = hours.groupBy("date", "datetime_hour").agg(F.count_if("is_alert_active").alias("n")).groupBy("date").agg(F.max("n").alias("max_regions_simultaneously_alerted"))

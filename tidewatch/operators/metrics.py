@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import category, clip, finite_or_zero
@@ -29,28 +29,42 @@ def indices(days: DataFrame) -> DataFrame:
     return rows.withColumns({f"{a}_category": category(F.col(f"{b}_index")) for a, b in (("alert_burden", "alert_burden"), ("sleep_disruption", "sleep_disruption"), ("workday_disruption", "workday_disruption"))})
 
 
+def _gini(x: str, place: str) -> Column:
+    """Of a group's values x, not negative, and their places in order, from 1."""
+    n, total = F.count(F.lit(1)), F.sum(x)
+    g = (2 * F.sum(F.col(place) * F.col(x)) - (n + 1) * total) / (n * total)
+    return F.when((total == 0) | (F.min(x) == F.max(x)), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), g)))
+
+
+def _ratio(x: str, place: str, n: str) -> Column:
+    """Mean of the top fifth over the mean of the bottom fifth (at least one row each); null over zero, 1 for zero over zero."""
+    k = F.greatest(F.lit(1), F.ceil(F.col(n) / 5))
+    top, bottom = F.avg(F.when(F.col(place) > F.col(n) - k, F.col(x))), F.avg(F.when(F.col(place) <= k, F.col(x)))
+    return F.when((bottom == 0) & (top > 0), None).when(bottom == 0, 1.0).otherwise(F.try_divide(top, bottom))
+
+
+def _ranked(df: DataFrame, by: str, values: dict[str, Column]) -> DataFrame:
+    """by, each value, its place in the order of its group, and the group's size: one shuffle, however many values."""
+    w = Window.partitionBy(by)
+    rows = df.select(by, *[v.alias(name) for name, v in values.items()])
+    return rows.withColumns({f"{name}_place": F.row_number().over(w.orderBy(name)) for name in values} | {"n": F.count(F.lit(1)).over(w)})
+
+
 def gini_of(df: DataFrame, value: str, by: str, name: str) -> DataFrame:
     x = F.greatest(F.lit(0.0), finite_or_zero(F.col(value)))
-    rows = df.select(by, x.alias("x")).withColumn("i", F.row_number().over(Window.partitionBy(by).orderBy("x")))
-    n, total = F.count(F.lit(1)), F.sum("x")
-    g = (2 * F.sum(F.col("i") * F.col("x")) - (n + 1) * total) / (n * total)
-    flat = (total == 0) | (F.min("x") == F.max("x"))
-    return rows.groupBy(by).agg(F.when(flat, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), g))).alias(name))
+    return _ranked(df, by, {"x": x}).groupBy(by).agg(_gini("x", "x_place").alias(name))
 
 
 def top_bottom(df: DataFrame, value: str, by: str, name: str) -> DataFrame:
-    """Mean of the top fifth over the mean of the bottom fifth (at least one row each); null over zero, 1 for zero over zero."""
-    w = Window.partitionBy(by)
-    rows = df.select(by, finite_or_zero(F.col(value)).alias("x")).withColumns({"i": F.row_number().over(w.orderBy("x")), "n": F.count(F.lit(1)).over(w)})
-    k = F.greatest(F.lit(1), F.ceil(F.col("n") / 5))
-    ends = rows.groupBy(by).agg(F.avg(F.when(F.col("i") > F.col("n") - k, F.col("x"))).alias("top"), F.avg(F.when(F.col("i") <= k, F.col("x"))).alias("bottom"))
-    return ends.select(by, F.when((F.col("bottom") == 0) & (F.col("top") > 0), None).when(F.col("bottom") == 0, 1.0).otherwise(F.try_divide("top", "bottom")).alias(name))
+    return _ranked(df, by, {"x": finite_or_zero(F.col(value))}).groupBy(by).agg(_ratio("x", "x_place", "n").alias(name))
 
 
 def daily_inequality(days: DataFrame) -> DataFrame:
-    a = gini_of(days, "alert_minutes_total", "date", "gini_alert_minutes_total")
-    b = gini_of(days, "alert_burden_index", "date", "gini_alert_burden_index")
-    return a.join(b, "date").join(top_bottom(days, "alert_minutes_total", "date", "top_bottom_alert_minutes_ratio"), "date")
+    """Gini indices of minutes and burden, and top over bottom of minutes, by date. The places of the minutes serve both: negative
+    ones are zero for the index, which leaves their order as it is."""
+    minutes, index = finite_or_zero(F.col("alert_minutes_total")), F.greatest(F.lit(0.0), finite_or_zero(F.col("alert_burden_index")))
+    rows = _ranked(days, "date", {"x": minutes, "b": index}).withColumn("m", F.greatest(F.lit(0.0), F.col("x")))
+    return rows.groupBy("date").agg(_gini("m", "x_place").alias("gini_alert_minutes_total"), _gini("b", "b_place").alias("gini_alert_burden_index"), _ratio("x", "x_place", "n").alias("top_bottom_alert_minutes_ratio"))
 
 
 def region_day_metrics(days: DataFrame) -> DataFrame:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..sources.files import publish
+from ..sources.files import has_columns, publish
+from ..sources.snapshots import publish_snapshot
 
 #: fixed values: bounds of the published columns, and labels that they may have
 HOUR_RANGES = {"alert_minutes_in_hour": (0.0, 60.0)}
@@ -76,13 +77,45 @@ def metric_checks(rows: DataFrame) -> DataFrame:
 def series_checks(series: DataFrame, summary: DataFrame, source: DataFrame) -> DataFrame:
     """metric, passed: columns of both tables, as many rows as the source, infinite numbers and labels."""
     counts = series.agg(F.count(F.lit(1)).alias("n")).crossJoin(source.agg(F.count(F.lit(1)).alias("m")))
-    fixed = {"series_columns": set(SERIES_COLUMNS) <= set(series.columns), "summary_columns": set(SUMMARY_COLUMNS) <= set(summary.columns)}
+    fixed = {"series_columns": has_columns(series, set(SERIES_COLUMNS)), "summary_columns": has_columns(summary, set(SUMMARY_COLUMNS))}
     there = [F.struct(F.lit(k).alias("metric"), F.lit(v).alias("passed")) for k, v in fixed.items()]
     first = counts.select(F.inline(F.array(*there, F.struct(F.lit("row_count").alias("metric"), (F.col("n") == F.col("m")).alias("passed")))))
     named = lambda df, what: df.withColumn("metric", F.when(F.col("metric") == "no_infinite_values", f"{what}_infinite").otherwise(F.col("metric")))
     return first.union(named(label_checks(series, {}), "series")).union(named(label_checks(summary, SUMMARY_LABELS), "summary"))
 
 
+class Measured:
+    """Checks of a table that are measured while it is written: watch() is the table to write, checks() what was found, after the
+    write. The table is computed once, and not read for its checks. ranges, labels: as in range_checks() and label_checks(). A
+    missing column doesn't pass; an empty or all-null one does."""
+
+    def __init__(self, ranges: dict[str, tuple[float, float]], labels: dict[str, set[str]]):
+        self.ranges, self.labels, self.seen = ranges, labels, Observation()
+
+    def watch(self, df: DataFrame) -> DataFrame:
+        self.missing = {c for c in (*self.ranges, *self.labels) if c not in df.columns}
+        ends = [f(F.col(c).cast("double")).alias(f"{n}_{c}") for c in self.ranges if c in df.columns for n, f in (("lo", F.min), ("hi", F.max))]
+        odd = [F.count_if(~F.col(c).isin(*values)).alias(f"odd_{c}") for c, values in self.labels.items() if c in df.columns]
+        return df.observe(self.seen, *ends, *odd, F.count_if(is_infinite(df)).alias("infinite"), F.count(F.lit(1)).alias("rows"))
+
+    def checks(self) -> dict[str, bool]:
+        got = self.seen.get
+        inside = {c: c not in self.missing and all(x is None or a <= x <= b for x in (got[f"lo_{c}"], got[f"hi_{c}"])) for c, (a, b) in self.ranges.items()}
+        return inside | {c: c not in self.missing and not got[f"odd_{c}"] for c in self.labels} | {"no_infinite_values": not got["infinite"]}
+
+    def gate(self) -> None:
+        failed = [c for c, passed in self.checks().items() if not passed]
+        if failed:
+            raise ValueError(f"validation failed: {', '.join(failed)}")
+
+
+def publish_measured(df: DataFrame, path: str, ranges: dict[str, tuple[float, float]], labels: dict[str, set[str]], *partition_by: str) -> dict[str, bool]:
+    """Publishes df if its checks pass, which are measured while it is written; else the version before stays and ValueError is raised."""
+    measured = Measured(ranges, labels)
+    publish_snapshot(measured.watch(df), path, *partition_by, verdict=measured.gate)
+    return measured.checks()
+
+
 def has_zone(df: DataFrame, column: str) -> bool:
     """Whether a column holds instants, not times without a zone."""
     return isinstance(df.schema[column].dataType, T.TimestampType)

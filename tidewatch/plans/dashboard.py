@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.files import has_columns
+
 #: fixed values: what rankings are ordered by, public wording, and the columns of each daily metric (daily, means, deviations)
 RANKINGS = {"latest burden": "latest_30d_alert_minutes_mean", "volatility": "std_alert_minutes", "recent increase": "latest_vs_previous_30d_delta"}
 TREND = {
@@ -61,10 +63,18 @@ def regions(days: DataFrame) -> DataFrame:
     return days.select("region_name").distinct().orderBy("region_name")
 
 
+def laid_out(df: DataFrame) -> DataFrame:
+    """df with the year that its table is laid out by, beside the region: see filter_region_day()."""
+    return df.withColumn("year", F.year("date"))
+
+
 def filter_region_day(df: DataFrame, regions: list[str], start: str, end: str) -> DataFrame:
-    if not {"region_name", "date"} <= set(df.columns):
+    """Rows of some regions and a range of dates. Both columns may be what the table is laid out by; where that is the year, a filter
+    on it is added, so that only the folders asked for are read."""
+    if not has_columns(df, {"region_name", "date"}):
         return df.limit(0)
-    return df.filter(F.col("region_name").isin(*regions) & F.col("date").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
+    rows = df.filter(F.col("region_name").isin(*regions) & F.col("date").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
+    return rows.filter(F.col("year").between(int(start[:4]), int(end[:4]))).drop("year") if "year" in df.columns else rows
 
 
 def top(df: DataFrame, metric: str, n: int = 10) -> DataFrame:

@@ -205,3 +205,13 @@ ORACLES = {
     "metric_ranges": _q(_METRICS, _ranges("mt", _MR)),
     "profile_alerts": _q(_FAULTY, "SELECT count(*) AS n_rows, count(DISTINCT region) AS n_regions, min(s) AS coverage_start, max(f) AS coverage_end, count(*) FILTER (f IS NULL) AS missing_ends, count(*) FILTER (sec <= 0) AS non_positive_durations, count(alert_id) - count(DISTINCT alert_id) AS duplicate_ids FROM fa"),
 } | VIEWS
+ORACLES |= {
+    "streamed_intervals": ORACLES["merged_intervals"],
+    "streamed_metrics": ORACLES["region_day_metrics"],
+    "updated_days": ORACLES["region_day_features"],
+    "closed_intervals": _q(_RECORDS, """SELECT region, min(ls) AS s, max(le) AS e, count(*) AS n_records FROM m1 GROUP BY region, isl
+      HAVING max(le) <= (SELECT max(ls) FROM rec) - INTERVAL 6 HOUR"""),
+    "region_medians": _q(_RECORDS, "SELECT region, round(CAST(median(dur) AS DOUBLE), 6) AS median FROM rec GROUP BY region"),
+    "measured_checks": ORACLES["metric_checks"],
+    "published_metrics": ORACLES["region_day_metrics"],
+}

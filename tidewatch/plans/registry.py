@@ -6,6 +6,7 @@ series from orders by region of the customer.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import cached_property
 
@@ -13,8 +14,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import features, intervals, metrics, quality, timeseries
+from ..operators.selection import exact_median
 from ..sources import cleaning
-from ..sources.files import written
+from ..sources.daytables import DayTables
+from ..sources.files import shared_folder, written
+from ..sources.snapshots import read_snapshot
+from ..streaming.merge import closed_intervals, file_stream, follow
 from . import dashboard
 from .oracles import ORACLES  # noqa: F401
 
@@ -22,15 +27,17 @@ FLAGSHIP = "minutes_by_region_day"
 
 
 def alerts(spark: SparkSession, sf: str, faulty: bool = False) -> DataFrame:
+    return alerts_of(spark.read.parquet(f"{sf}/events.parquet"), faulty)
+
+
+def alerts_of(events: DataFrame, faulty: bool = False) -> DataFrame:
     """Intervals of events. faulty: with those that cleaning takes out, made from the smallest values: no end under 5, no length
     under 10."""
     value = F.when(F.col("value") < 10, 0.0).otherwise(F.col("value")) if faulty else F.col("value")
     seconds = F.round(value * 60).cast("bigint")
     start = F.date_trunc("SECOND", "ts").cast("timestamp_ntz")
     region = F.concat(F.lit("R"), F.lpad((F.col("user_id") % 25).cast("string"), 2, "0"))
-    rows = spark.read.parquet(f"{sf}/events.parquet").select(
-        F.col("event_id").alias("alert_id"), region.alias("region"), start.alias("started_at_utc"), seconds.alias("duration_seconds"), "event_type", "value"
-    )
+    rows = events.select(F.col("event_id").alias("alert_id"), region.alias("region"), start.alias("started_at_utc"), seconds.alias("duration_seconds"), "event_type", "value")
     end = F.timestamp_add("SECOND", F.col("duration_seconds"), F.col("started_at_utc"))
     if faulty:
         return rows.withColumn("finished_at_utc", F.when(F.col("value") >= 5, end)).drop("value")
@@ -59,7 +66,7 @@ class Tables:
 
     @cached_property
     def days(self) -> DataFrame:
-        return written(features.region_day(self.records, self.merged, self.hours), "days")
+        return written(features.region_day(self.records, self.merged, self.hours), "days", "date")
 
     @cached_property
     def metrics(self) -> DataFrame:
@@ -78,15 +85,75 @@ class Tables:
         return metrics.national_summary(self.national, self.metrics)
 
 
-def series(spark: SparkSession, sf: str) -> DataFrame:
+def scratch(spark: SparkSession, label: str) -> str:
+    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def streamed(spark: SparkSession, sf: str) -> DayTables:
+    """The day tables after a stream of the events' files has been followed to its end."""
+    tables = DayTables(spark, scratch(spark, "streamed"))
+    follow(alerts_of(file_stream(spark, f"{sf}/events.parquet")), tables, scratch(spark, "stream-checkpoint")).awaitTermination()
+    return tables
+
+
+#: what comes after this instant arrives as an update
+UPDATE = "2024-01-28 00:00:00"
+
+
+def updated(spark: SparkSession, sf: str) -> DayTables:
+    """The day tables after a first batch, and one of the last days, of which only touched days were rebuilt."""
+    tables, rows, late = DayTables(spark, scratch(spark, "updated")), alerts(spark, sf), F.col("started_at_utc") >= F.lit(UPDATE).cast("timestamp_ntz")
+    tables.add(rows.filter(~late), "first")
+    tables.add(rows.filter(late), "update")
+    return tables
+
+
+def closed(spark: SparkSession, sf: str) -> DataFrame:
+    """Merged intervals that a stream tells as closed, six hours behind the latest start."""
+    out, rows = scratch(spark, "closed"), intervals.local_records(alerts_of(file_stream(spark, f"{sf}/events.parquet")))
+    told = closed_intervals(rows, "6 hours").writeStream.format("parquet").option("path", out).option("checkpointLocation", scratch(spark, "stream-checkpoint"))
+    told.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out).select("region", "s", "e", "n_records")
+
+
+def published(spark: SparkSession, sf: str, checks: bool = False) -> DataFrame:
+    """The daily metrics as readers find them after a publish whose checks were measured by the write; or those checks."""
+    path = scratch(spark, "published")
+    found = quality.publish_measured(Tables(spark, sf).metrics, path, quality.METRIC_RANGES, quality.CATEGORIES)
+    return spark.createDataFrame(list(found.items()), "metric string, passed boolean") if checks else read_snapshot(spark, path)
+
+
+def region_medians(spark: SparkSession, sf: str) -> DataFrame:
+    return exact_median(records(spark, sf), ["region"], "duration_minutes", small=64)
+
+
+def daily_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """r_name, date, count: orders of each region and day, a row for each; written, since the calendar and the series read it."""
     t = lambda n: spark.read.parquet(f"{sf}/{n}.parquet")
     places = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "r_name")
-    daily = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(places, F.col("c_nationkey") == F.col("n_nationkey")).groupBy("r_name", F.to_date("o_orderdate").alias("date")).count()
+    rows = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(places, F.col("c_nationkey") == F.col("n_nationkey"))
+    return written(rows.groupBy("r_name", F.to_date("o_orderdate").alias("date")).count(), "daily")
+
+
+def series(spark: SparkSession, sf: str) -> DataFrame:
+    """The daily series of each region, with the place of each row in it."""
+    daily = daily_counts(spark, sf)
     ends = daily.agg(F.min("date").alias("a"), F.max("date").alias("b"))
-    grid = ends.filter("a IS NOT NULL").select(F.explode(F.sequence("a", "b")).alias("date")).crossJoin(F.broadcast(t("region").select("r_name")))
+    regions = spark.read.parquet(f"{sf}/region.parquet").select("r_name")
+    grid = ends.filter("a IS NOT NULL").select(F.explode(F.sequence("a", "b")).alias("date")).crossJoin(F.broadcast(regions))
     minutes = F.least(F.lit(1440.0), 120.0 * F.coalesce("count", F.lit(0)))
     full = grid.join(daily, ["r_name", "date"], "left").select(F.col("r_name").alias("region_name"), "date", minutes.alias("alert_minutes_total"))
-    return full.withColumn("alert_burden_index", F.col("alert_minutes_total") / 1440)
+    return timeseries.placed(full.withColumn("alert_burden_index", F.col("alert_minutes_total") / 1440))
+
+
+def rolling(spark: SparkSession, sf: str) -> DataFrame:
+    return timeseries.rolling(series(spark, sf)).drop("pos", "n")
+
+
+def region_series(spark: SparkSession, sf: str, region: str) -> DataFrame:
+    """A region's rows of a year, from the published table: it is laid out by region and year, and only that folder is read."""
+    table = written(dashboard.laid_out(rolling(spark, sf)), "rolling", "region_name", "year")
+    return dashboard.filter_series(table, region, LONG_FROM, LONG_TO)
 
 
 def clean_rows(spark: SparkSession, sf: str) -> DataFrame:
@@ -129,6 +196,11 @@ def _profile(spark: SparkSession, sf: str) -> DataFrame:
     return quality.profile(alerts(spark, sf, faulty=True))
 
 
+def _series_checks(spark: SparkSession, sf: str) -> DataFrame:
+    rows = series(spark, sf)
+    return quality.series_checks(timeseries.rolling(rows), timeseries.summary(rows), rows)
+
+
 CHOSEN, FROM, TO = ["R01", "R07"], "2024-01-05", "2024-01-20"
 LONG_FROM, LONG_TO = "1995-01-01", "1995-12-31"
 
@@ -147,27 +219,27 @@ QUERIES = {
     "national_summary": _of(lambda t: t.country),
     "clean_intervals": _clean,
     "clean_summary": lambda s, d: cleaning.summarize(clean_rows(s, d)),
-    "rolling_series": lambda s, d: _rounded(timeseries.rolling(series(s, d))).orderBy("region_name", "date"),
-    "rolling_parameter": lambda s, d: _rounded(timeseries.add_rolling(series(s, d), "alert_minutes_total", 5)),
+    "rolling_series": lambda s, d: _rounded(rolling(s, d)).orderBy("region_name", "date"),
+    "rolling_parameter": lambda s, d: _rounded(timeseries.add_rolling(series(s, d), "alert_minutes_total", 5).drop("pos", "n")),
     "period_comparison": lambda s, d: _rounded(timeseries.periods(series(s, d))),
     "change_points": lambda s, d: timeseries.change_points(series(s, d)),
     "timeseries_summary": lambda s, d: _rounded(_summary(s, d)).orderBy("region"),
     "timeseries_summary_row": lambda s, d: _rounded(dashboard.summary_row(_summary(s, d), "ASIA")),
-    "timeseries_region": lambda s, d: _rounded(dashboard.filter_series(timeseries.rolling(series(s, d)), "ASIA", LONG_FROM, LONG_TO)),
-    "stability_metric_series": lambda s, d: _rounded(dashboard.metric_series(dashboard.filter_series(timeseries.rolling(series(s, d)), "EUROPE", LONG_FROM, LONG_TO), "ABI")),
+    "timeseries_region": lambda s, d: _rounded(region_series(s, d, "ASIA")),
+    "stability_metric_series": lambda s, d: _rounded(dashboard.metric_series(region_series(s, d, "EUROPE"), "ABI")),
     "stability_cards": lambda s, d: dashboard.stability_cards(_summary(s, d), "ASIA"),
     "stability_ranking": lambda s, d: dashboard.stability_ranking(_summary(s, d), "volatility"),
     "recent_increase_ranking": lambda s, d: dashboard.stability_ranking(_summary(s, d), "recent increase"),
     "example_regions": lambda s, d: _rounded(dashboard.example_regions(_summary(s, d), "volatility_label", ["medium", "high"])),
     "shift_dates": lambda s, d: dashboard.shift_dates(timeseries.change_points(series(s, d))),
-    "series_checks": lambda s, d: quality.series_checks(timeseries.rolling(series(s, d)), _summary(s, d), series(s, d)),
+    "series_checks": _series_checks,
     "filter_region_day": _of(lambda t: dashboard.filter_region_day(t.days, CHOSEN, FROM, TO).select("region_name", "date", "alert_minutes_total")),
     "ranking_top10": _of(lambda t: dashboard.top(t.regions, "mean_alert_burden_index").select("region_name", "mean_alert_burden_index")),
     "overview_cards": _of(lambda t: dashboard.overview(t.metrics)),
     "chosen_cards": _of(lambda t: dashboard.cards(dashboard.filter_region_day(t.metrics, CHOSEN, FROM, TO), t.country)),
     "sidebar_choices": _of(lambda t: dashboard.choices(t.days)),
     "region_list": _of(lambda t: dashboard.regions(t.days)),
-    "chosen_rolling": _of(lambda t: timeseries.add_rolling(dashboard.filter_region_day(t.metrics, CHOSEN, FROM, TO).select("region_name", "date", "alert_minutes_total"), "alert_minutes_total")),
+    "chosen_rolling": _of(lambda t: timeseries.add_rolling(dashboard.filter_region_day(t.days, CHOSEN, FROM, TO).select("region_name", "date", "alert_minutes_total"), "alert_minutes_total")),
     "disruption_series": _of(lambda t: dashboard.disruption_series(t.metrics, CHOSEN, FROM, TO)),
     "inequality_series": _of(lambda t: dashboard.inequality_series(t.metrics, FROM, TO), "date"),
     "category_counts": lambda s, d: quality.value_counts(Tables(s, d).metrics, "alert_burden_category"),
@@ -175,4 +247,11 @@ QUERIES = {
     "metric_ranges": _of(lambda t: quality.range_checks(t.metrics, quality.METRIC_RANGES)),
     "metric_checks": _of(lambda t: quality.metric_checks(t.metrics)),
     "profile_alerts": _profile,
+    "streamed_intervals": lambda s, d: streamed(s, d).merged_intervals(),
+    "streamed_metrics": lambda s, d: _rounded(metrics.region_day_metrics(written(metrics.indices(streamed(s, d).region_days()), "indices"))),
+    "updated_days": lambda s, d: _rounded(updated(s, d).region_days()),
+    "closed_intervals": closed,
+    "region_medians": lambda s, d: _rounded(region_medians(s, d)),
+    "measured_checks": lambda s, d: published(s, d, checks=True),
+    "published_metrics": lambda s, d: _rounded(published(s, d)),
 }
