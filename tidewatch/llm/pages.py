@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import html
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import takewhile
 from typing import NamedTuple
 
@@ -21,21 +22,50 @@ RAW = "script style noscript template iframe svg canvas object textarea select".
 ASIDE = set("nav footer aside form menu button dialog head".split())
 BLOCK = set("address article blockquote body br dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-#: roles and words in a class or id of what stands around an article
+#: what an opening tag ends, if it stands inside its own scope: elements of the first set, unless one of the second lies between
+CELL = {"td", "th", "caption", "table", "html"}
+LISTS = {"ul", "ol", "menu", "dir"}
+IMPLIED = (
+    {"li": ({"li"}, LISTS | CELL), "tr": ({"td", "th", "tr"}, {"table"}), "option": ({"option"}, {"select"})}
+    | {x: ({"dt", "dd"}, {"dl"} | CELL) for x in ("dt", "dd")}
+    | {x: ({"td", "th"}, {"table"}) for x in ("td", "th")}
+    | {x: ({"td", "th", "tr", "thead", "tbody", "tfoot"}, {"table"}) for x in ("thead", "tbody", "tfoot")}
+)
+ENDS_PARAGRAPH = BLOCK - {"br", "td", "th", "tr", "tbody", "thead", "tfoot", "body", "html", "head", "title"}
+#: roles of what stands around an article
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "menu"}
-AROUND = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisement|advertising|sponsor|sponsored|promo|banner|cookie|cookies|consent|gdpr|notice|notices|alert|popup|modal|overlay|newsletter|subscribe|signup|login|"
-    r"nav|navbar|navigation|menu|menus|breadcrumb|breadcrumbs|sidebar|side|aside|footer|header|masthead|toolbar|share|sharing|social|related|recommended|comment|comments|reply|replies|disqus|widget|pagination|pager|skip)(?:$|[\s_-])",
-    re.I,
+#: words that name what stands around an article, in a class or id
+NAMES = set(
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup login "
+    "nav navbar navigation menu menus breadcrumb breadcrumbs sidebar side aside footer header masthead toolbar share sharing social related recommended comment comments disqus widget pagination pager skip".split()
+)
+#: words that may stand beside them without changing what is named: where, what shape, how many
+BESIDE = set(
+    "site page main global top bottom left right inner outer primary secondary mobile desktop sticky fixed small large first last wrap wrapper container box bar bars block blocks section area region panel slot slots unit "
+    "zone row col column group list lists link links item items button buttons btn icon icons form text title heading headline content body inline header footer reader user users post posts article articles story stories to "
+    "thread count policy message messages toggle trail feed sign in up the and of a js is has id cls".split()
 )
-MARKUP = re.compile(rf"<!--.*?(?:-->|\Z)|<({'|'.join(RAW)})\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][\w:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>", re.S | re.I)
-ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?", re.I)
+#: names that parts of an article have too, such as the header with its headline
+OF_ARTICLE = {"header", "masthead", "side"}
+PARTS = re.compile(r"[-_]+|(?<=[a-z])(?=[A-Z])")
+#: attributes up to the end of a tag. A quote counts only where a value begins; groups don't give back what they took, so that a tag
+#: that is never closed costs one pass
+REST = r"""(?:[\s/]++|[^\s/>=]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?+)?+|=)*+"""
+MARKUP = re.compile(rf"<!--.*?(?:-->|\Z)|<({'|'.join(RAW)})(?=[\s/>]){REST}(?:>|\Z).*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*+)({REST})(?:>|\Z)", re.S | re.I)
+ATTRIBUTE = re.compile(r"""([^\s/>=]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>"'][^\s>]*+))?+)?+""")
 GAP = re.compile(r"\s+")
+HEADING = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
 
-#: words that name parts of an article too, such as the header with its headline
-OF_ARTICLE = re.compile(r"(?:^|[\s_-])(?:header|masthead|side)(?:$|[\s_-])", re.I)
-HEADING = {"h1", "h2", "h3", "h4", "h5", "h6"}
+def names_surroundings(value: str, in_article: bool) -> bool:
+    """Whether a class or id has a word that, as a whole, names menus, adverts and the like: `main-menu` and `share-buttons` do,
+    `share-prices` and `related-work` don't, since they name something else."""
+    names = NAMES - OF_ARTICLE if in_article else NAMES
+    for word in value.split():
+        parts = [re.sub(r"\d+$", "", x.lower()) for x in PARTS.split(word) if x]
+        if any(x in names for x in parts) and all(x in NAMES or x in BESIDE or not x for x in parts):
+            return True
+    return False
 
 
 def around(tag: str, attributes: str, in_article: bool, forms: bool) -> bool:
@@ -45,15 +75,53 @@ def around(tag: str, attributes: str, in_article: bool, forms: bool) -> bool:
     if not attributes.strip() or tag in ("html", "body", "article", "main"):
         return False
     for name, *values in ATTRIBUTE.findall(attributes):
-        value, name = "".join(values), name.lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in ROLES:
+        value, name = html.unescape("".join(values)), name.lower()
+        if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "role" and value.lower() in ROLES:
+            return True
+        if name in ("class", "id") and not (in_article and tag in HEADING) and names_surroundings(value, in_article):
             return True
-        if name in ("class", "id") and not (in_article and tag in HEADING):
-            if AROUND.search(OF_ARTICLE.sub(" ", value) if in_article else value):
-                return True
     return False
 
 
+class Open:
+    """The open elements, with the state before each; where each name was opened last is known without a search."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, tuple[bool, bool]]] = []
+        self.at: dict[str, list[int]] = {}
+
+    def last(self, names: Iterable[str]) -> int:
+        return max((self.at[n][-1] for n in names if self.at.get(n)), default=-1)
+
+    def push(self, tag: str, before: tuple[bool, bool]) -> None:
+        self.at.setdefault(tag, []).append(len(self.stack))
+        self.stack.append((tag, before))
+
+    def cut(self, place: int) -> tuple[bool, bool]:
+        """Ends the element at a place and all inside it; the state before it."""
+        while len(self.stack) > place:
+            tag, before = self.stack.pop()
+            self.at[tag].pop()
+        return before
+
+    def implied(self, tag: str, state: tuple[bool, bool]) -> tuple[bool, bool]:
+        """The state after what an opening tag ends."""
+        if tag in ENDS_PARAGRAPH and (p := self.last(["p"])) > self.last(CELL | {"button"}):
+            state = self.cut(p)
+        if tag in IMPLIED:
+            ends, scope = IMPLIED[tag]
+            while (place := self.last(ends)) > self.last(scope):
+                state = self.cut(place)
+        return state
+
+    def closed(self, tag: str, state: tuple[bool, bool]) -> tuple[bool, bool]:
+        """The state after an end tag. One without its element is ignored, as is one of an inline element that a block stands in."""
+        place, scope = self.last([tag]), self.last(CELL - {tag} if tag not in CELL and tag not in ("tr", "tbody", "thead", "tfoot", "body") else {"html"} - {tag})
+        if place < 0 or place < scope or tag not in BLOCK and place < self.last(BLOCK & self.at.keys()):
+            return state
+        return self.cut(place)
+
+
 def blocks(page: str) -> list[tuple[str, bool, bool]]:
     """(text, inside an article or main element, outside everything that surrounds an article) of each block, in order. Where a
     form holds all that there is, it isn't taken for something around the text."""
@@ -63,15 +131,16 @@ def blocks(page: str) -> list[tuple[str, bool, bool]]:
 
 def _blocks(page: str, forms: bool) -> list[tuple[str, bool, bool]]:
     out: list[tuple[str, bool, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []
-    text: list[str] = []
-    state = (False, True)
+    opened, text, state = Open(), [], (False, True)
 
-    def close() -> None:
-        line = GAP.sub(" ", html.unescape("".join(text))).strip()
-        text.clear()
-        if line:
-            out.append((line, *state))
+    def close(new: tuple[bool, bool], block: bool) -> None:
+        nonlocal state
+        if block or new != state:
+            line = GAP.sub(" ", html.unescape("".join(text))).strip()
+            text.clear()
+            if line:
+                out.append((line, *state))
+        state = new
 
     at = 0
     for m in MARKUP.finditer(page):
@@ -80,25 +149,17 @@ def _blocks(page: str, forms: bool) -> list[tuple[str, bool, bool]]:
         tag = (m[3] or "").lower()
         if not tag:
             continue
-        if tag in BLOCK:
-            close()
         if m[2]:
-            names = [t for t, *_ in stack]
-            if tag in names:
-                while stack:
-                    name, *before = stack.pop()
-                    if name == tag or not before:
-                        break
-                close() if (before[0], before[1]) != state else None
-                state = (before[0], before[1])
-        elif tag not in VOID:
+            close(opened.closed(tag, state), tag in BLOCK)
+            continue
+        before = opened.implied(tag, state)
+        close(before, tag in BLOCK)
+        if tag not in VOID:
             new = (state[0] or tag in ("article", "main"), state[1] and not around(tag, m[4] or "", state[0], forms))
-            if new != state:
-                close()
-            stack.append((tag, *state))
-            state = new
+            close(new, False)
+            opened.push(tag, before)
     text.append(page[at:])
-    close()
+    close(state, True)
     return out
 
 
@@ -195,9 +256,9 @@ def _got(data: bytes | None, size: int) -> Page | None:
 #: pages that are sent to Python at once
 BATCH_ROWS = 500
 PARSED = "page_id long, url string, host string, path string, lines binary, size int"
-#: edge: for a row whose neighbour may be in another task, 1 (the page before it may), 2 (the one after it) or 3; own and the
-#: other pages are kept for it
-RESULT = "page_id long, url string, text string, n_chars long, n_shared long, edge int, part int, host string, own string, inner string"
+#: edge: for a row whose neighbour may be in another task, 1 (the page before it may), 2 (the one after it) or 3; the page itself (own),
+#: the neighbour that is known (inner), what copies have in common (same) and its place in the task are kept for it
+RESULT = "page_id long, url string, text string, n_chars long, n_shared long, edge int, part int, host string, own string, inner string, same long, place long"
 
 
 def parse(pages: DataFrame) -> DataFrame:
@@ -218,21 +279,26 @@ def parse(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "url", host.alias("host"), path.alias("path"), "html").mapInArrow(read, PARSED)
 
 
+def _same(host: str | None, page: Page) -> int:
+    """What the copies of a page on one host have in common, as a number."""
+    return int.from_bytes(hashlib.blake2b("\n".join([host or "", *page.clear()]).encode(), digest_size=8).digest(), "little", signed=True)
+
+
 def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows in the order of host and path: each run of copies with the different page before it and the one after it. The first
     and the last run of a task are left for whoever knows its neighbours."""
-    names = RESULT.replace(",", " ").split()[::2]
-    run: list[tuple] = []  # rows of the run at work: page_id, url, part, host
+    run: list[tuple] = []  # rows of the run at work: page_id, url, part, host, page, place
     page = before = None
-    first = True
+    first, place = True, 0
     out: list[tuple] = []
 
     def close(after: Page | None, last: bool) -> None:
         nonlocal first
-        edge = first + 2 * last
-        for page_id, url, part, host, own in run:
+        edge, inner = first + 2 * last, before or after
+        same = _same(run[0][3], run[0][4]) if edge else None
+        for page_id, url, part, host, own, at in run:
             text, shared = (None, 0) if edge else main_text(own, before, after)
-            rest = (json.dumps(own), json.dumps(before or after) if edge != 3 and (before or after) else None) if edge else (None, None)
+            rest = (json.dumps(own), json.dumps(inner) if inner else None, same, at) if edge else (None,) * 4
             out.append((page_id, url, text, len(text or ""), shared, edge, part, host, *rest))
         first = False
 
@@ -244,30 +310,44 @@ def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 same_host = host == run[0][3]
                 close(own if same_host else None, False)
                 before, run = page if same_host else None, []
-            run.append((page_id, url, part, host, own))
-            page = own
+            run.append((page_id, url, part, host, own, place))
+            page, place = own, place + 1
         if out:
-            yield _table(out, names)
+            yield _table(out)
             out.clear()
     if run:
         close(None, True)
     if out:
-        yield _table(out, names)
+        yield _table(out)
 
 
-def _table(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string()]
-    return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows), kinds)], names)
+def _table(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}
+    shape = [c.split() for c in RESULT.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*rows), shape)], [n for n, _ in shape])
 
 
 def at_edges(rows: DataFrame) -> DataFrame:
-    """The rows at the edges of tasks, with the page beyond the edge: that of the task before or after, of those that have rows."""
-    parts = rows.select("part").distinct().withColumn("place", F.row_number().over(Window.orderBy("part")))  # a row for each task
-    edge = rows.join(parts, "part")
-    beyond = lambda mask, step, name: edge.filter(F.col("edge").bitwiseAND(mask) > 0).groupBy((F.col("place") + step).alias("place"), F.col("host").alias(f"{name}_host")).agg(F.min("own").alias(name))
-    known = edge.join(beyond(2, 1, "earlier"), "place", "left").join(beyond(1, -1, "later"), "place", "left")
-    pick = lambda mask, name: F.when((F.col("edge").bitwiseAND(mask) > 0) & (F.col(f"{name}_host") == F.col("host")), F.col(name))
-    known = known.select("page_id", "url", "own", "edge", "inner", pick(1, "earlier").alias("earlier"), pick(2, "later").alias("later"))
+    """The rows at the edges of tasks, with the different page beyond the edge. Where copies go on through whole tasks, those are
+    skipped: a scan over the tasks, by what begins and ends each, tells the first task after (or the last before) that has
+    another page, and the page is its outermost one, or the next if the copies reach into it."""
+    c = F.col
+    starts, stops = c("edge").bitwiseAND(1) > 0, c("edge").bitwiseAND(2) > 0
+    page = F.struct("same", "host", "own")
+    ends = rows.groupBy("part").agg(
+        F.min_by(F.when(starts, page), F.when(starts, c("place"))).alias("head"), F.max_by(F.when(stops, page), F.when(stops, c("place"))).alias("tail"),
+        F.max(F.when(c("edge") == 1, c("inner"))).alias("second"), F.max(F.when(c("edge") == 2, c("inner"))).alias("last_but"), (F.max("edge") == 3).alias("single"),
+    )
+    ends = stash(ends, "ends")
+    order = Window.orderBy("part")  # a row of a few numbers for each task
+    through = ends.select("part", "single", c("head.same").alias("head"), c("tail.same").alias("tail"))
+    through = through.withColumns({"down": c("single") & F.coalesce(c("head") == F.lag("tail").over(order), F.lit(False)), "up": c("single") & F.coalesce(c("tail") == F.lead("head").over(order), F.lit(False))})
+    through = through.select("part", F.min(F.when(~c("down"), c("part"))).over(order.rowsBetween(1, Window.unboundedFollowing)).alias("after"), F.max(F.when(~c("up"), c("part"))).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("before"))
+    later = ends.select(c("part").alias("after"), c("head").alias("l"), "second")
+    earlier = ends.select(c("part").alias("before"), c("tail").alias("e"), "last_but")
+    known = rows.join(through, "part").join(later, "after", "left").join(earlier, "before", "left")
+    beyond = lambda mask, end, inside: F.when(mask & (c(f"{end}.same") == c("same")), c(inside)).when(mask & (c(f"{end}.host") == c("host")), c(f"{end}.own"))
+    known = known.select("page_id", "url", "own", "edge", "inner", beyond(starts, "e", "last_but").alias("earlier"), beyond(stops, "l", "second").alias("later"))
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         load = lambda x: Page(*json.loads(x)) if x else None
@@ -291,8 +371,7 @@ def extract(pages: DataFrame) -> DataFrame:
     of the same host. The lines of both are aligned by longest common subsequence, and shared ones go, unless the page marks
     its article: what stands inside <article> or <main> isn't deleted for being shared, as pages of a host often share
     passages of their articles. The first and the last run of copies of a task are decided in a second step, with the page beyond
-    the task's edge, so that the text doesn't depend on where a task begins (copies that go on beyond an edge have no
-    neighbour there). Elements that surround an article go by their tag, role, class or id. A null or empty html gives an
+    the task's edge, or beyond all tasks that the copies fill, so that the text doesn't depend on where a task begins. Elements that surround an article go by their tag, role, class or id. A null or empty html gives an
     empty text; a null or odd url has the empty host; repeated rows are each kept; null page_ids are allowed. An empty table
     gives an empty result; other columns are ignored.
     """
