@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,11 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slot_table, stash, table, with_row
+from .common import bits_for, slot_table, stash, table, with_row
 from .hashing import BASE, LOWER, WINDOW_BASE, U, Words, chunks, mix, span_hashes
 
 #: SLACK: words more or less between two windows of a chain
-WINDOW, SHORTEST, COVERAGE, IN_TOKENS, SLACK, SLOT_BITS, BROADCAST_ROWS = 8, 5, 0.5, 0.7, 4, 22, 200_000
+WINDOW, COVERAGE, IN_TOKENS, SLACK, BROADCAST_ROWS = 8, 0.5, 0.7, 4, 200_000
+#: bits of the mask of windows that may be an item's: about eight slots for each, within these bounds
+SLOT_BITS, MOST_SLOT_BITS = 22, 28
 #: fixed values: units of measure that become a placeholder when a number stands before them
 UNITS = (
     "mm cm m km in inch inches ft foot feet yd yard yards mi mile miles mg g kg lb lbs oz ounce ounces ton tons ml cl l litre litres liter liters "
@@ -99,15 +102,24 @@ class Template:
         if n <= 0:
             return np.zeros(0, np.int64), np.zeros(0, U)
         at = np.flatnonzero(self.doc[:n] == self.doc[k - 1 :])
-        return at, span_hashes(self.tokens, at, at + k, WINDOW_BASE)
+        return at, self.hashes(at, k)
+
+    def hashes(self, at: np.ndarray, k: int) -> np.ndarray:
+        """Of the runs of k tokens at these places. A run of placeholders alone, as in a list of numbers, fits every other one, so it is
+        told by what fills it."""
+        c = np.r_[0, np.cumsum(self.slot)]
+        bare = c[at + k] - c[at] == k
+        out = span_hashes(self.tokens, at, at + k, WINDOW_BASE)
+        out[bare] = mix(span_hashes(self.filled, at[bare], at[bare] + k, WINDOW_BASE))
+        return out
 
 
 ITEM = "template long, n_tokens long, item_id long, size int, hashes array<long>, slots array<int>, filled array<long>"
 
 
-def item_templates(benchmark: DataFrame, window: int, shortest: int) -> DataFrame:
+def item_templates(benchmark: DataFrame, window: int) -> DataFrame:
     """template (a hash of all tokens), item_id, size and hashes of its windows, its slots and what fills them. An item with fewer
-    tokens than a window is one window, if it has `shortest` at least."""
+    tokens than a window is one window: its whole sequence."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, raw, offsets in chunks(batches):
@@ -115,12 +127,15 @@ def item_templates(benchmark: DataFrame, window: int, shortest: int) -> DataFram
             for i, item in enumerate(rows.column("item_id").to_pylist()):
                 lo, hi = int(t.first_token[i]), int(t.first_token[i + 1])
                 k = min(window, hi - lo)
-                if item is None or k < shortest:
+                if item is None or not k:
                     continue
                 at = np.arange(lo, hi - k + 1)
-                whole = span_hashes(t.tokens, np.array([lo]), np.array([hi]), WINDOW_BASE).view(np.int64)[0]
+                whole = span_hashes(t.tokens, np.array([lo]), np.array([hi]), WINDOW_BASE)[0]
                 slots = np.flatnonzero(t.slot[lo:hi])
-                hashes = span_hashes(t.tokens, at, at + k, WINDOW_BASE).view(np.int64).tolist()
+                own = t.hashes(at, k).view(np.int64)
+                hashes = own.tolist()
+                # items of one template and the same bare windows are one template
+                whole = mix(whole ^ np.bitwise_xor.reduce(mix(own.view(U)))).view(np.int64)
                 out.append((int(whole), hi - lo, item, k, hashes, slots.tolist(), t.filled[lo + slots].view(np.int64).tolist()))
             if out:
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64())]
@@ -130,44 +145,58 @@ def item_templates(benchmark: DataFrame, window: int, shortest: int) -> DataFram
     return benchmark.select("item_id", "text").mapInArrow(cut, ITEM)
 
 
-def document_windows(docs: DataFrame, sizes: list[int], marks: np.ndarray) -> DataFrame:
-    """hash, doc_id, doc_pos, filled (hashes of its tokens' words) of each window whose slot is marked."""
+def document_windows(docs: DataFrame, row: str, sizes: list[int], marks: np.ndarray, bits: int) -> DataFrame:
+    """hash, row, doc_id, doc_pos, filled (hashes of its tokens' words) of each window whose slot is marked."""
     marked = docs.sparkSession.sparkContext.broadcast(np.packbits(marks))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mask = np.unpackbits(marked.value).astype(bool)
         for rows, raw, offsets in chunks(batches):
             t = Template(raw, offsets)
-            ids = rows.column("doc_id")
+            ids, keys = rows.column("doc_id"), rows.column("row")
             for k in sizes:
                 at, h = t.windows(k)
-                hit = mask[(h >> U(64 - SLOT_BITS)).astype(np.int64)]
+                hit = mask[(h >> U(64 - bits)).astype(np.int64)]
                 at, h = at[hit], h[hit]
                 if len(at):
                     doc = t.doc[at]
                     filled = t.filled[at[:, None] + np.arange(k)].view(np.int64)
                     lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * k, pa.int32()), pa.array(filled.reshape(-1)))
-                    columns = [pa.array(h.view(np.int64)), ids.take(pa.array(doc)), pa.array(at - t.first_token[doc]), lists]
-                    yield pa.RecordBatch.from_arrays(columns, ["hash", "doc_id", "doc_pos", "filled"])
+                    columns = [pa.array(h.view(np.int64)), keys.take(pa.array(doc)), ids.take(pa.array(doc)), pa.array(at - t.first_token[doc]), lists]
+                    yield pa.RecordBatch.from_arrays(columns, ["hash", "row", "doc_id", "doc_pos", "filled"])
+
+    return docs.select(F.col(row).alias("row"), "doc_id", "text").mapInArrow(find, "hash long, row long, doc_id long, doc_pos long, filled array<long>")
+
+
+class _Diagonal:
+    """Hits whose two places differ by one number, in order, and the longest chain that ends at one of them or before."""
+
+    def __init__(self):
+        self.places, self.best = [], []
+
+    def add(self, place: int, length: int, hit: int) -> None:
+        self.places.append(place)
+        self.best.append(max((length, -hit), self.best[-1]) if self.best else (length, -hit))
 
-    return docs.select("doc_id", "text").mapInArrow(find, "hash long, doc_id long, doc_pos long, filled array<long>")
+    def before(self, place: int) -> tuple[int, int]:
+        k = bisect_left(self.places, place)
+        return self.best[k - 1] if k else (0, 0)
 
 
-def chains(hits: list[tuple[int, int]], n_item: int, slack: int = SLACK) -> list[list[int]]:
+def chains(hits: list[tuple[int, int]], slack: int = SLACK) -> list[list[int]]:
     """Of hits (place in the document, place in the item) in order: the longest chains, each ending where no longer one goes on. Both
     places grow along a chain, and from one hit to the next by numbers that differ by `slack` at most, so that a few words
-    more or less don't break it. Only hits about an item's length back can come before one."""
+    more or less don't break it. What may come before a hit lies on one of the diagonals beside its own, each of which knows its
+    longest chain up to a place: a hit costs some searches, however many there are."""
     best, before, goes_on = [1] * len(hits), [-1] * len(hits), [False] * len(hits)
-    begin = 0
+    diagonals: dict[int, _Diagonal] = {}
     for x, (d, i) in enumerate(hits):
-        while hits[begin][0] < d - n_item - slack:
-            begin += 1
-        for y in range(begin, x):
-            e, j = hits[y]
-            if e < d and j < i and abs((d - e) - (i - j)) <= slack and best[y] + 1 > best[x]:
-                best[x], before[x] = best[y] + 1, y
-        if before[x] >= 0:
-            goes_on[before[x]] = True
+        near = (diagonals[c].before(min(d, i + c)) for c in range(d - i - slack, d - i + slack + 1) if c in diagonals)
+        length, hit = max(near, default=(0, 0))
+        if length:
+            best[x], before[x] = length + 1, -hit
+            goes_on[-hit] = True
+        diagonals.setdefault(d - i, _Diagonal()).add(d, best[x], x)
     out = []
     for x in sorted((x for x in range(len(hits)) if not goes_on[x]), key=lambda x: (-best[x], x)):
         chain = []
@@ -182,13 +211,13 @@ MATCH = "doc_id long, template long, n_matched long, doc_pos long, slots array<i
 
 
 def chained(hits: DataFrame, coverage: float, in_tokens: float) -> DataFrame:
-    """For each document and template the chains of windows that cover enough of it, with what the document has at each place."""
+    """For each row and template the chains of windows that cover enough of it, with what the document has at each place."""
 
     def join(key: tuple, group: pa.Table) -> pa.Table:
         rows = sorted(zip(*(group.column(c).to_pylist() for c in ("doc_pos", "item_pos", "filled"))), key=lambda r: r[:2])
         rows = [r for r, last in zip(rows, [None, *rows]) if last is None or r[:2] != last[:2]]
         n_item, size, out = group.column("n_item")[0].as_py(), group.column("size")[0].as_py(), []
-        for chain in chains([r[:2] for r in rows], n_item):
+        for chain in chains([r[:2] for r in rows]):
             covered = len({rows[x][1] + step for x in chain for step in range(size)})
             if len(chain) < coverage * n_item and covered < in_tokens * (n_item + size - 1):
                 continue
@@ -196,34 +225,37 @@ def chained(hits: DataFrame, coverage: float, in_tokens: float) -> DataFrame:
             for x in chain:
                 for step, word in enumerate(rows[x][2]):
                     now.setdefault(rows[x][1] + step, word)
-            out.append((key[0].as_py(), key[1].as_py(), len(chain), rows[chain[0]][0], list(now), list(now.values())))
+            out.append((group.column("doc_id")[0].as_py(), key[1].as_py(), len(chain), rows[chain[0]][0], list(now), list(now.values())))
         kinds = [pa.int64()] * 4 + [pa.list_(pa.int32()), pa.list_(pa.int64())]
         names = ["doc_id", "template", "n_matched", "doc_pos", "slots", "now"]
         return pa.table([pa.array(c, kind) for c, kind in zip(zip(*out) if out else [[]] * 6, kinds)], names)
 
-    return hits.groupBy("doc_id", "template").applyInArrow(join, MATCH)
+    return hits.groupBy("row", "template").applyInArrow(join, MATCH)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shortest: int = SHORTEST, coverage: float = COVERAGE, in_tokens: float = IN_TOKENS) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE, in_tokens: float = IN_TOKENS) -> DataFrame:
     """One row per document and benchmark item that it contains: doc_id, item_id, n_matched, n_item, coverage, reparameterised.
 
     A document contains an item when a chain of its windows has at least `coverage` of the item's template windows in order, or
     these windows have at least `in_tokens` of its tokens (a changed word breaks all windows around it), and fills the slots consistently: equal values of the item became equal values, different ones different.
     reparameterised says that some slot was filled anew. Items of one template are one template until its windows are found,
-    so a benchmark of many items made from one template joins each window once. Null and empty texts, rows with a null id and
-    items of fewer than `shortest` tokens match nothing; repeated rows count once. A passage in a third of all documents
+    so a benchmark of many items made from one template joins each window once. Null and empty texts and rows with a null id
+    match nothing. An item shorter than a window matches as its whole sequence. Rows that repeat a doc_id are searched each by itself, and the
+    longest match of them is told. A passage in a third of all documents
     makes no large group: groups are one document and one template. An empty table on either side gives an empty result;
     other columns are ignored.
     """
-    items = stash(item_templates(benchmark, window, shortest).distinct(), "items")
+    items = stash(item_templates(benchmark, window).distinct(), "items")
     windows = items.dropDuplicates(["template", "n_tokens"]).select("template", "size", F.size("hashes").cast("long").alias("n_item"), F.posexplode("hashes").alias("item_pos", "hash"))
     windows = stash(windows.withColumn("item_pos", F.col("item_pos").cast("long")), "windows")
     sizes = [r["size"] for r in windows.select("size").distinct().collect()]  # `window` of them at most
-    marks = slot_table(windows.select(F.shiftrightunsigned("hash", 64 - SLOT_BITS)), SLOT_BITS)
-    found = document_windows(docs.filter("doc_id IS NOT NULL"), sizes, marks)
-    small = windows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    count = windows.count()
+    bits, small = bits_for(8 * count, SLOT_BITS, MOST_SLOT_BITS), count <= BROADCAST_ROWS
+    marks = slot_table(windows.select(F.shiftrightunsigned("hash", 64 - bits)), bits)
+    rows, row = with_row(docs.select("doc_id", "text"))
+    found = document_windows(rows.filter("doc_id IS NOT NULL"), row, sizes, marks, bits)
     hits = found.join(F.broadcast(windows) if small else windows, "hash").filter(F.size("filled") == F.col("size"))
-    matched = chained(hits.select("doc_id", "template", "n_item", "size", "doc_pos", "item_pos", "filled"), coverage, in_tokens)
+    matched = chained(hits.select("row", "doc_id", "template", "n_item", "size", "doc_pos", "item_pos", "filled"), coverage, in_tokens)
     of_item = items.select("template", "item_id", F.size("hashes").cast("long").alias("n_item"), F.col("slots").alias("places"), "filled")
     both = matched.join(of_item, "template")
     here = F.filter(F.arrays_zip("places", "filled"), lambda x: F.array_contains("slots", x["places"]))
