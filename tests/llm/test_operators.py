@@ -100,7 +100,7 @@ def test_jaccard(docs, none):
                     least[a] = least[b] = min(least[a], least[b])
     got = jaccard.near_duplicates(df, 4, 85).collect()
     assert sorted((r["doc_id"], r["n_shingles"]) for r in got) == sorted((d, len(s)) for d, s in zip(ids, sets))
-    assert {r["doc_id"]: r["component_id"] for r in got if r["doc_id"] != 8} == {d: c for d, c in least.items() if d != 8}
+    assert {r["doc_id"]: r["component_id"] for r in got} == least
     assert jaccard.near_duplicates(none).count() == 0
 
 

@@ -45,6 +45,15 @@ def test_links_beyond_the_first_of_a_group(spark):
     assert got[3] == got[2] == 2 and got == linked(rows, 4, 85)
 
 
+def test_rows_of_one_id_are_one_document(spark):
+    """Whatever the order of its texts, a doc_id is in one component with all that they link with."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(1, a + " more"), (3, b + " more"), (5, a), (5, b), (5, b), (6, None), (6, c), (7, c), (None, a), (8, ""), (8, " ")]
+    for order in (rows, rows[::-1]):
+        got = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(spark.createDataFrame(order, "doc_id long, text string"), 4, 85).collect()}
+        assert got == {(1, 28, 1), (3, 28, 1), (5, 27, 1), (6, 0, 6), (6, 27, 6), (7, 27, 6), (None, 27, None), (8, 0, 8)}
+
+
 def test_links_with_planted_prefixes(spark):
     draw = random.Random(5)
     heads = [" ".join(f"h{i}w{j}" for j in range(6)) for i in range(4)]

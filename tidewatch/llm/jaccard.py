@@ -176,18 +176,38 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     """One row per document: doc_id, n_shingles, component_id (the smallest doc_id that links lead to, itself included).
 
     Two documents link when 100 * |intersection| >= percent * |union| of their sets of `words`-word shingles. A null or
-    empty text has an empty set and links with nothing. Rows that repeat a doc_id are returned as often; a row with a null
-    doc_id has a null component. An empty table gives an empty result; other columns are ignored.
+    empty text has an empty set and links with nothing. Rows that repeat a doc_id are returned as often, and are one document:
+    what any of its texts links with is in its component. A row with a null doc_id links with nothing and has a null component. An empty table gives an empty result; other columns are ignored.
 
     Documents with one set are one member; members with one prefix and size are one group (both found by leaf and then by key,
     so thousands of copies cost no pairs). Groups that share a prefix shingle are candidates: first each group with the
     first of its size class at each shingle, and each member with its group's first. What these verified links join is one
     component. Then, wherever a prefix shingle still holds several components, every pair across components whose sizes
     allow a link is verified too; a group of three members or more keeps its rarest shingle for that even where no other
-    group has it, as two of them may link with each other and not with its first. Bitmaps rule out most pairs before whole sets are sent. A pair inside a component needs no test, as it can't change the result; no other pair
-    is left out. Sets are compared whole, by 64-bit hashes of their shingles.
+    group has it, as two of them may link with each other and not with its first. Bitmaps rule out most pairs before whole sets are sent. A pair inside a
+    component needs no test, as it can't change the result; no other pair is left out. Sets are compared whole, by 64-bit hashes of their shingles.
     """
     docs = docs.select("doc_id", "text")
+    text = F.xxhash64(F.coalesce("text", F.lit("")))
+    several = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(text).alias("a"), F.max(text).alias("b")).filter("a <> b")
+    if several.isEmpty():
+        return _near_by_id(docs, words, percent)
+    rows, row = with_row(docs)
+    one = rows.filter("doc_id IS NOT NULL").select(F.col(row).alias("row"), "doc_id", "text")
+    near = stash(_near_by_id(one.select(F.col("row").alias("doc_id"), "text"), words, percent).withColumnsRenamed({"doc_id": "row"}), "near")
+    named = stash(near.join(one.select("row", "doc_id"), "row"), "named")
+    first = named.groupBy("doc_id").agg(F.min("component_id").alias("a"))
+    joined = components(named.join(first, "doc_id").select("a", F.col("component_id").alias("b")).filter("a <> b").distinct())
+    root = F.coalesce("component", "component_id")
+    rooted = stash(named.join(joined, named["component_id"] == joined["node"], "left").select("doc_id", "n_shingles", root.alias("root")), "rooted")
+    # by leaf and then by root, so that a component with a third of all rows is a few rows where it meets
+    least = least_by_leaf(rooted.select("root", "doc_id"), ["root"], "doc_id").select("leaf", "root", "least")
+    found = rooted.withColumn("leaf", leaf("doc_id")).join(least, ["leaf", "root"]).select("doc_id", "n_shingles", F.col("least").alias("component_id"))
+    return found.union(_near_by_id(docs.filter("doc_id IS NULL"), words, percent))
+
+
+def _near_by_id(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """near_duplicates() where rows that repeat a doc_id repeat its text."""
     sets = stash(prefixes(docs, words, percent), "prefixes")
     some = sets.filter("n_shingles > 0 AND doc_id IS NOT NULL").drop("prefix", "sketch", "parts")
     same = ["n_shingles", "sum_digest", "xor_digest", "prefix_digest"]  # the prefix follows from the set
