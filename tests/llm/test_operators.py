@@ -127,7 +127,6 @@ def test_packing(docs, none):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     df, rows = docs
     special = [(900, "x <|endoftext|> y " * 400)]
     df = df.select("doc_id", "text").union(df.sparkSession.createDataFrame(special, "doc_id long, text string"))

@@ -91,7 +91,6 @@ def reference_encoder():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return t
 
 
@@ -111,7 +110,7 @@ def test_ids_of_whole_table(spark):
 @settings(max_examples=300, deadline=None)
 @given(st.text(st.characters(exclude_categories=["Cs"]), max_size=60))
 def test_ids_of_any_text(text):
-    got = packing.encoder().encode(text, allowed_special=set(), disallowed_special=())
+    got = packing.encoder().encode(text, allowed_special="all", disallowed_special=())
     assert got == reference_encoder_cached().encode(text, add_special_tokens=False).ids
 
 
@@ -126,7 +125,7 @@ def reference_encoder_cached():
 
 def test_packing_nulls_and_repeats(spark):
     df = spark.createDataFrame([(None, "a b c")] * 30 + [(4, "x")] * 3 + [(5, "long " * 5000)], "doc_id long, text string")
-    got = packing.pack(df, docs_per_group=4).collect()
+    got = packing.pack(df, group_pieces=4).collect()
     assert sum(r["doc_id"] is None for r in got) == 30 and sum(r["doc_id"] == 4 for r in got) == 3
     for key in {r["sequence_id"] for r in got}:
         at = 0
@@ -202,3 +201,12 @@ def test_merge_tree_keeps_the_least(spark, fan_in):
         same = [d for d, t in rows if (t or "") == next((t or "") for d, t in rows if d == r["doc_id"])] if r["doc_id"] is not None else None
         assert same is None or (r["keep_id"], r["group_size"]) == (min(d for d in same if d is not None), len(same))
     assert len(got) == 90
+
+
+def test_equal_rows_are_dealt(spark):
+    """Rows that are all the same fill as many groups as others, and groups are bounded by tokens."""
+    same = spark.createDataFrame([(None, "")] * 3000, "doc_id long, text string").repartition(4)
+    groups = [r["sequence_id"] >> 40 for r in packing.pack(same, group_pieces=100).collect()]
+    assert len(groups) == 3000 and max(map(groups.count, set(groups))) < 200
+    long = spark.createDataFrame([(i, "word " * 500) for i in range(50)], "doc_id long, text string")
+    assert len({r["sequence_id"] >> 40 for r in packing.pack(long, group_tokens=2000).collect()}) > 5
