@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,7 +37,8 @@ def _titles(script: str, gender: str) -> str:
 
 #: what the types look like that are told by their own form
 FORMS = {
-    "email": r"(?<![\w.%+-])[\w.%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{M}\p{N}._%+-]++@[\p{L}\p{M}\p{N}-]++(?:\.[\p{L}\p{M}\p{N}-]++)++",
+    "ip6": r"(?=[0-9A-Fa-f:]*\d)(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![0-9A-Za-z:])",
     "phone": r"(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}\b|\+\d{1,3}(?:[ .-]?\d{2,4}){3,5}\b",
     "ssn": r"\d{3}-\d{2}-\d{4}\b",
     "iban": r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,4})?\b",
@@ -50,7 +53,7 @@ ANY_TITLE = "(?:" + "|".join(t for x in TITLES.values() for t in x) + ")"
 #: Groups: what stands before a secret, the secret, the same of a quoted one, a title, the name, any other entity
 PATTERN = (
     rf"(?<![A-Za-z0-9_])(?:({WORDS}\s?[=:]\s?)([^\s\"',;]++)|({WORDS} ?[=:] ?\")([^\s\"]++)|(?<!\p{{L}})({ANY_TITLE}\.? )({NAME})|({FORMS['email']}|{IP}"
-    + "".join(f"|{FORMS[k]}" for k in ("phone", "ssn", "iban", "card", "key"))
+    + "".join(f"|{FORMS[k]}" for k in ("ip6", "phone", "ssn", "iban", "card", "key"))
     + rf"))|(?<=[A-Za-z_])({IP})"
 )
 #: marks around an entity; a text that has such characters itself has them written with the first one while it is worked on
@@ -60,7 +63,7 @@ MARKED = f"$1$3$5{OPEN}$2$4$6$7$8{CLOSE}"
 
 def kind_of(value: Column) -> Column:
     """The type of an entity that isn't a name, by its form; what has no other form is a secret."""
-    shapes = {"email": FORMS["email"], "ip": r"\d{1,3}(\.\d{1,3}){3}", "ssn": FORMS["ssn"], "card": FORMS["card"], "phone": FORMS["phone"], "iban": FORMS["iban"]}
+    shapes = {"email": FORMS["email"], "ip": r"\d{1,3}(\.\d{1,3}){3}", "ip6": FORMS["ip6"], "ssn": FORMS["ssn"], "card": FORMS["card"], "phone": FORMS["phone"], "iban": FORMS["iban"]}
     out = F.when(F.lit(False), "")
     for kind, pattern in shapes.items():
         out = out.when(value.rlike(rf"^(?:{pattern})$"), F.lit(kind))
@@ -69,7 +72,7 @@ def kind_of(value: Column) -> Column:
 
 def canonical(kind: Column, value: Column) -> Column:
     """What two mentions of one entity have in common: emails but for case, numbers but for their punctuation."""
-    return F.when(kind == "email", F.lower(value)).when(kind.isin("card", "iban", "phone"), F.regexp_replace(value, "[^0-9A-Za-z]", "")).otherwise(value)
+    return F.when(kind.isin("email", "ip6"), F.lower(value)).when(kind.isin("card", "iban", "phone"), F.regexp_replace(value, "[^0-9A-Za-z]", "")).otherwise(value)
 
 
 def _byte(digest: Column, i: Column | int) -> Column:
@@ -77,17 +80,23 @@ def _byte(digest: Column, i: Column | int) -> Column:
     return F.conv(F.substring(digest, at * 2 + 1, F.lit(2)), 16, 10).cast("int")
 
 
+def _each(value: Column, which: str, new: Callable[[Column, Column], Column]) -> Column:
+    """value with each character of the class `which` replaced by new(character, its number among them). What stands between them is
+    kept: value is split at them, and both lists are joined in turn, so that time grows with the length alone."""
+    signs = F.filter(F.split(F.regexp_replace(value, f"[^{which}]", ""), ""), lambda c: c != "")
+    made = F.zip_with(F.split(value, f"[{which}]", -1), F.transform(signs, new), lambda between, c: F.concat(between, F.coalesce(c, F.lit(""))))
+    return F.array_join(made, "")
+
+
 def _shaped(value: Column, digest: Column, fixed: Column) -> Column:
     """value with each letter and digit after the first `fixed` ones replaced by one of its own class, from the digest.
     Letters and digits are counted without punctuation, so mentions that differ in it stay one entity."""
 
-    def step(acc: Column, c: Column) -> Column:
-        n, b = acc["n"], _byte(digest, acc["n"])
-        new = F.when(n < fixed, c).when(c.rlike("[0-9]"), (b % 10).cast("string")).when(c.rlike("[a-f]"), F.char(F.lit(97) + b % 6)).when(c.rlike("[g-z]"), F.char(F.lit(97) + b % 26)).when(c.rlike("[A-Z]"), F.char(F.lit(65) + b % 26)).otherwise(c)
-        return F.struct((n + F.when(c.rlike("[0-9A-Za-z]"), 1).otherwise(0)).alias("n"), F.concat(acc["s"], new).alias("s"))
+    def new(c: Column, n: Column) -> Column:
+        b = _byte(digest, n)
+        return F.when(n < fixed, c).when(c.rlike("[0-9]"), (b % 10).cast("string")).when(c.rlike("[a-f]"), F.char(F.lit(97) + b % 6)).when(c.rlike("[g-z]"), F.char(F.lit(97) + b % 26)).otherwise(F.char(F.lit(65) + b % 26))
 
-    start = F.struct(F.lit(0).alias("n"), F.lit("").alias("s"))
-    return F.aggregate(F.split(value, ""), start, step)["s"]
+    return _each(value, "0-9A-Za-z", new)
 
 
 #: small letters of a script that others are replaced by, and consonants and vowels of the syllables that lengthen a surrogate
@@ -101,15 +110,14 @@ def _filled(value: Column, digest: Column) -> Column:
     """value with every letter and digit of any script replaced: Cyrillic letters by Cyrillic ones, other letters by Latin ones,
     capitals by capitals. A value without letters and digits becomes as many small letters."""
 
-    def step(acc: Column, c: Column) -> Column:
-        b = _byte(digest, acc["n"])
+    def new(c: Column, n: Column) -> Column:
+        b = _byte(digest, n)
         pick = lambda script: F.substring(F.lit(SMALL[script]), b % len(SMALL[script]) + 1, F.lit(1))
         letter = F.when(c.rlike(r"\p{IsCyrillic}"), pick("cyrillic")).otherwise(pick("latin"))
-        new = F.when(c.rlike(r"\p{N}"), (b % 10).cast("string")).when(c.rlike(r"\p{Lu}"), F.upper(letter)).when(c.rlike(r"\p{L}"), letter).otherwise(c)
-        return F.struct((acc["n"] + F.when(c.rlike(r"[\p{L}\p{N}]"), 1).otherwise(0)).alias("n"), F.concat(acc["s"], new).alias("s"))
+        return F.when(c.rlike(r"\p{N}"), (b % 10).cast("string")).when(c.rlike(r"\p{Lu}"), F.upper(letter)).otherwise(letter)
 
     bare = F.when(value.rlike(r"[\p{L}\p{N}]"), value).otherwise(F.regexp_replace(value, "(?s).", "x"))
-    return F.aggregate(F.split(bare, ""), F.struct(F.lit(0).alias("n"), F.lit("").alias("s")), step)["s"]
+    return _each(bare, r"\p{L}\p{N}", new)
 
 
 def _growth(digest: Column, attempt: Column, script: str) -> Column:
@@ -127,8 +135,7 @@ def _luhn(digits: Column) -> Column:
 
 def _spread(digits: Column, like: Column) -> Column:
     """digits with the punctuation that `like` has between its own."""
-    step = lambda acc, c: F.when(c.rlike("[0-9]"), F.struct((acc["n"] + 1).alias("n"), F.concat(acc["s"], F.substring(digits, acc["n"] + 1, F.lit(1))).alias("s"))).otherwise(F.struct(acc["n"].alias("n"), F.concat(acc["s"], c).alias("s")))
-    return F.aggregate(F.split(like, ""), F.struct(F.lit(0).alias("n"), F.lit("").alias("s")), step)["s"]
+    return _each(like, "0-9", lambda _, n: F.substring(digits, n + 1, F.lit(1)))
 
 
 def surrogate(kind: Column, value: Column, attempt: Column, key: str) -> Column:
@@ -138,8 +145,8 @@ def surrogate(kind: Column, value: Column, attempt: Column, key: str) -> Column:
     octets = F.concat_ws(".", *[(F.lit(1) + _byte(digest, 2 * i) * 7 % 223 + _byte(digest, 2 * i + 1) % 31).cast("string") for i in range(4)])
     bare = F.regexp_replace(value, "[^0-9]", "")
     head = F.substring(_shaped(bare, digest, F.lit(1)), F.lit(1), F.length(bare) - 1)
-    out = F.when(kind == "email", F.concat(F.when(local.rlike("[0-9a-z]"), _shaped(local, digest, F.lit(0))).otherwise(_filled(local, digest)), _growth(digest, attempt, "latin"), F.lit("@"), domain))
-    out = out.when(kind == "ip", octets).when(kind == "card", _spread(F.concat(head, _luhn(head)), value))
+    out = F.when(kind == "email", F.concat(F.when(local.rlike("^[!-~]*[0-9a-z][!-~]*$"), _shaped(local, digest, F.lit(0))).otherwise(_filled(local, digest)), _growth(digest, attempt, "latin"), F.lit("@"), domain))
+    out = out.when(kind == "ip", octets).when(kind == "ip6", _shaped(F.lower(value), digest, F.lit(0))).when(kind == "card", _spread(F.concat(head, _luhn(head)), value))
     country = F.when(value.startswith("+"), F.length(F.regexp_extract(value, r"^\+(\d{1,3})", 1))).otherwise(F.lit(0))
     # a short number with a country has room for some digits more in its pattern
     more = F.when((attempt >= PLAIN) & value.startswith("+") & (F.length(bare) < 11), F.concat(*[(_byte(digest, 40 + i) % 10).cast("string") for i in range(4)])).otherwise("")
@@ -260,7 +267,7 @@ def replace_private(docs: DataFrame, key: str) -> DataFrame:
     """One row per document: doc_id, n_entities, text with every entity replaced by its surrogate. key: what surrogates are
     derived from; keep it secret.
 
-    Emails, phone numbers, addresses of hosts, card, bank and social security numbers, passwords and keys are found by their
+    Emails (in any script), phone numbers, addresses of hosts (IPv4 and IPv6), card, bank and social security numbers, passwords and keys are found by their
     form; names by a title before them, and then by themselves wherever else in the text they stand. One entity has one
     surrogate in all documents, different entities have different ones, and no surrogate is an entity of the corpus; given
     and family names are entities of their own, so Mr. John Smith and Mr. Smith keep the family name in common. Surrogates
