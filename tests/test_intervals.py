@@ -11,7 +11,7 @@ from tidewatch.functions import scalars
 from tidewatch.operators import features, intervals, metrics, quality, timeseries
 from tidewatch.operators.selection import exact_median
 from tidewatch.plans import dashboard
-from tidewatch.sources import cleaning, files
+from tidewatch.sources import cleaning, files, snapshots
 
 
 def alerts(spark, rows):
@@ -217,7 +217,7 @@ def test_checks(spark, tmp_path):
     assert not (tmp_path / "t").exists()
     good = df.filter("x < 1")
     quality.publish_checked(good, f"{tmp_path}/t", quality.range_checks(good, {"x": (0.0, 1.0)}))
-    assert spark.read.parquet(f"{tmp_path}/t").count() == 1
+    assert snapshots.read_snapshot(spark, f"{tmp_path}/t").count() == 1
     assert not quality.labels_are_valid(df, "label", {"low"}) and quality.labels_are_valid(df, "label", {"low", "odd"}) and not quality.labels_are_valid(df, "none", {"low"})
     assert not quality.has_infinite(df) and quality.has_infinite(spark.createDataFrame([(-inf,)], "x double")) and not quality.has_infinite(df.select("label"))
     times = spark.range(1).select(F.current_timestamp().alias("a"), F.current_timestamp().cast("timestamp_ntz").alias("b"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..sources.files import has_columns, publish
+from ..sources.files import has_columns
 from ..sources.snapshots import publish_snapshot
 
 #: fixed values: bounds of the published columns, and labels that they may have
@@ -129,8 +129,9 @@ def gate(checks: DataFrame) -> None:
 
 
 def publish_checked(df: DataFrame, path: str, checks: DataFrame) -> None:
+    """Publishes df as the next version, if checks of other tables passed."""
     gate(checks)
-    publish(df, path)
+    publish_snapshot(df, path)
 
 
 def profile(alerts: DataFrame) -> DataFrame:
