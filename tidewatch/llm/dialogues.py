@@ -79,7 +79,7 @@ def cheapest(initials: list[str], faults: bytes) -> tuple[int, str]:
     whatever completes later at the same cost is greater in ASCII. A branch goes when its cost and the bound of its suffix
     don't beat the incumbent, or when its node was reached before at no more: nodes are (row, state), and two prefixes of one
     node and cost always differ before either ends. The bounds hold with equality, so that the first dive ends at the
-    optimum and the rest of the stack proves it: steps are in proportion to rows. It needs about 70 bytes for each row.
+    optimum and the rest of the stack proves it: steps are in proportion to rows. It needs some hundred bytes for each row.
     """
     n, rest = len(initials), bounds(initials, faults)
     reached = [array("q", [_NEVER]) * (n + 1) for _ in range(4)]
