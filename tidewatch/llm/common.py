@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.files import shared_folder
+from ..sources.files import shared_folder, store
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -22,6 +25,8 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: rows of one Arrow batch on the way to Python
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: paths that stash() has written in each open scratch() of a thread, the innermost last
+_open = threading.local()
 
 
 def stash(df: DataFrame, label: str = "t", batch_rows: int | None = None) -> DataFrame:
@@ -39,9 +44,35 @@ def stash(df: DataFrame, label: str = "t", batch_rows: int | None = None) -> Dat
     finally:
         for name in ours:
             spark.conf.set(name, before[name])
+    if scopes := getattr(_open, "scopes", None):
+        scopes[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Tables that stash() writes inside are removed at the end, so that a query's disk is what its steps still read. It gives
+    keep(df, label), a stash() that outlives it: what leaves the block must read kept tables and those from before alone."""
+    scopes = _open.__dict__.setdefault("scopes", [])
+    own: list[str] = []
+    scopes.append(own)
+
+    def keep(df: DataFrame, label: str) -> DataFrame:
+        out = stash(df, label)
+        path = own.pop()
+        if len(scopes) > 1:
+            scopes[-2].append(path)
+        return out
+
+    try:
+        yield keep
+    finally:
+        scopes.pop()
+        for path in own:
+            fs, at = store(spark, path)
+            fs.delete(at, True)
+
+
 def with_row(docs: DataFrame) -> tuple[DataFrame, str]:
     """docs with a column that tells its rows apart, and that column's name: what is decided about a row is decided about it alone,
     whatever its doc_id. A row that was read from Parquet is told by its file and its place there, hashed to 64 bits (of n

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stash, table, with_row
+from .common import scratch, stash, table, with_row
 
 #: rows of one digest are spread over so many leaves, and so many children meet at a node
 LEAVES, FAN_IN = 256, 16
@@ -87,8 +87,10 @@ def drop_exact(docs: DataFrame, keep: str = "smallest") -> DataFrame:
     rows, row = with_row(docs)
     rank = F.struct(F.col("doc_id").isNull() if keep == "smallest" else F.col("doc_id").isNotNull(), "doc_id", row)
     prints = rows.select(row, rank.alias("_rank"), *digest_columns("text"))
-    found = merge_tree(stash(prints, "digests"), ["text_sha256", "check_hash", "n_bytes"], "_rank", keep == "largest")
-    return rows.join(found.filter("_rank = keep_id").select(row), row, "left_semi").drop(row)
+    with scratch(docs.sparkSession) as keeping:
+        found = merge_tree(stash(prints, "digests"), ["text_sha256", "check_hash", "n_bytes"], "_rank", keep == "largest")
+        gone = keeping(found.filter("_rank <> keep_id").select(row), "gone")
+    return rows.join(gone, row, "left_anti").drop(row)
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

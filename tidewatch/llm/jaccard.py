@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import id_slot, slot_table, stash, table, with_row
+from .common import id_slot, scratch, slot_table, stash, table, with_row
 from .hashing import LOWER, WINDOW_BASE, U, Words, chunks, mix, span_hashes
 from .links import components
 
@@ -18,11 +18,11 @@ WORDS, PERCENT = 5, 80
 COUNT_BITS, COUNT_BLOCK = 18, 1024
 #: slots of the table that lets a scan skip documents that no candidate pair has
 ID_BITS = 24
-#: a set's shingles are counted in so many parts of the hash range; the counts bound how much two sets differ
-PART_BITS = 8
+#: a set's shingles are counted in so many parts of the hash range; where one count is odd and another even, two sets differ
+PART_BITS = 10
 #: rows of one key are reduced in so many leaves before they meet; members of a shingle that one task compares with the rest
 LEAVES, SALT_ROWS = 256, 64
-SET = "doc_id long, n_shingles long, sum_digest long, xor_digest long, prefix_digest long, sketch binary, parts array<tinyint>, prefix array<long>"
+SET = "doc_id long, n_shingles long, sum_digest long, xor_digest long, prefix_digest long, sketch binary, parts array<long>, prefix array<long>"
 
 
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarray]:
@@ -87,10 +87,11 @@ def prefixes(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 heads.append(np.add.reduce(mix(head ^ U(0x14057B7EF767814F))) if n else U(0))
                 prefix.append(head.view(np.int64))
                 maps.append(sketch(h))
-                parts.append(np.minimum(np.bincount((h >> U(64 - PART_BITS)).astype(np.int64), minlength=1 << PART_BITS), 127).astype(np.int8))
+                odd = np.bincount((h >> U(64 - PART_BITS)).astype(np.int64), minlength=1 << PART_BITS) & 1
+                parts.append(np.packbits(odd.astype(bool)).view(np.int64))
             flat = np.concatenate(prefix) if prefix else np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(p) for p in prefix])], pa.int32()), pa.array(flat, pa.int64()))
-            shares = pa.ListArray.from_arrays(pa.array(np.arange(len(parts) + 1) << PART_BITS, pa.int32()), pa.array(np.concatenate(parts)))
+            shares = pa.ListArray.from_arrays(pa.array(np.arange(len(parts) + 1) << (PART_BITS - 6), pa.int32()), pa.array(np.concatenate(parts)))
             longs = [pa.array(np.array(x, U).view(np.int64)) for x in (sums, xors, heads)]
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(size, pa.int64()), *longs, pa.array(maps, pa.binary()), shares, lists], names=["doc_id", "n_shingles", "sum_digest", "xor_digest", "prefix_digest", "sketch", "parts", "prefix"])
 
@@ -183,7 +184,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     so thousands of copies cost no pairs). Groups that share a prefix shingle are candidates: first each group with the
     first of its size class at each shingle, and each member with its group's first. What these verified links join is one
     component. Then, wherever a prefix shingle still holds several components, every pair across components whose sizes
-    allow a link is verified too; a group of three members or more keeps its rarest shingle for that even where no other
+    and places of the shingle allow a link is verified too, once for all shingles that the same groups hold; a group of three members or more keeps its rarest shingle for that even where no other
     group has it, as two of them may link with each other and not with its first. Bitmaps rule out most pairs before whole sets are sent. A pair inside a
     component needs no test, as it can't change the result; no other pair is left out. Sets are compared whole, by 64-bit hashes of their shingles.
     """
@@ -208,6 +209,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
 
 def _near_by_id(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """near_duplicates() where rows that repeat a doc_id repeat its text."""
+    spark = docs.sparkSession
     sets = stash(prefixes(docs, words, percent), "prefixes")
     some = sets.filter("n_shingles > 0 AND doc_id IS NOT NULL").drop("prefix", "sketch", "parts")
     same = ["n_shingles", "sum_digest", "xor_digest", "prefix_digest"]  # the prefix follows from the set
@@ -217,53 +219,67 @@ def _near_by_id(docs: DataFrame, words: int, percent: int) -> DataFrame:
     top = least_by_leaf(member_of, alike, "member").select("leaf", *alike, F.col("least").alias("grp"))
     group = stash(member_of.withColumn("leaf", leaf("member")).join(top, ["leaf", *alike]).select("member", "n_shingles", "grp"), "groups")
 
-    leaders = group.filter("member = grp").select(F.col("grp").alias("doc_id"))
-    postings = sets.select("doc_id", "n_shingles", "prefix").join(leaders, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    several = group.groupBy("grp").count().filter("count > 2").select("grp", F.lit(True).alias("several"))
-    postings = postings.join(several, postings["doc_id"] == several["grp"], "left").withColumn("rarest", F.when(F.col("several"), F.col("prefix")[0]))
-    postings = postings.select(F.explode("prefix").alias("token"), F.col("n_shingles").alias("n"), F.col("doc_id").alias("grp"), "rarest")
-    postings = postings.withColumn("rarest", F.coalesce(F.col("token") == F.col("rarest"), F.lit(False)))
-    # at each shingle, sizes are dealt into classes; groups of one class link to its first, so that copies share few partners
-    level = F.floor(F.log(F.col("n")) / F.log(F.lit(100 / percent))).cast("int")
-    postings = stash(postings.withColumn("n", F.col("n").cast("int")), "postings").withColumn("level", level)
-    # summed before they meet, so a hot shingle is a row for each class and task here; the join below can be split
-    classes = postings.groupBy("token", "level").agg(F.min("grp").alias("first"), F.count(F.lit(1)).alias("in_class"))
-    classes = classes.withColumn("of", F.sum("in_class").over(Window.partitionBy("token")))
-    postings = postings.join(classes, ["token", "level"]).filter("of > 1 OR rarest")
-    postings = stash(postings.select("token", "n", "grp", "first"), "postings")
-    near = postings.filter("first <> grp").select(F.least("first", "grp").alias("a"), F.greatest("first", "grp").alias("b"))
-    inside = group.filter("member <> grp").select(F.col("grp").alias("a"), F.col("member").alias("b"))
-    label = stash(components(verified(near.union(inside).distinct(), docs, sets, words, percent)), "labels")
+    with scratch(spark) as keep:
+        leaders = group.filter("member = grp").select(F.col("grp").alias("doc_id"))
+        postings = sets.select("doc_id", "n_shingles", "prefix").join(leaders, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        several = group.groupBy("grp").count().filter("count > 2").select("grp", F.lit(True).alias("several"))
+        postings = postings.join(several, postings["doc_id"] == several["grp"], "left").select("*", F.posexplode("prefix").alias("place", "token"))
+        rarest = F.coalesce(F.col("several") & (F.col("place") == 0), F.lit(False)).alias("rarest")
+        postings = postings.select("token", "place", F.col("n_shingles").cast("int").alias("n"), F.col("doc_id").alias("grp"), rarest)
+        # at each shingle, sizes are dealt into classes; groups of one class link to its first, so that copies share few partners
+        level = F.floor(F.log(F.col("n")) / F.log(F.lit(100 / percent))).cast("int")
+        postings = stash(postings, "postings").withColumn("level", level)
+        # summed before they meet, so a hot shingle is a row for each class and task here; the join below can be split
+        classes = postings.groupBy("token", "level").agg(F.min("grp").alias("first"), F.count(F.lit(1)).alias("in_class"))
+        classes = classes.withColumn("of", F.sum("in_class").over(Window.partitionBy("token")))
+        postings = postings.join(classes, ["token", "level"]).filter("of > 1 OR rarest")
+        postings = keep(postings.select("token", "place", "n", "grp", "first"), "postings")
+    with scratch(spark) as keep:
+        near = postings.filter("first <> grp").select(F.least("first", "grp").alias("a"), F.greatest("first", "grp").alias("b"))
+        inside = group.filter("member <> grp").select(F.col("grp").alias("a"), F.col("member").alias("b"))
+        label = keep(components(verified(near.union(inside).distinct(), docs, sets, words, percent)), "labels")
 
     named = group.join(label, group["member"] == label["node"], "left").select("member", "n_shingles", "grp", F.coalesce("component", "member").alias("component"))
+    with scratch(spark) as keep:
+        across = _across(postings, named, sets, percent)
+        second = verified(across, docs, sets, words, percent)
+        roots = label.select("node", "component")
+        joined = second.join(roots.withColumnsRenamed({"node": "a", "component": "ca"}), "a", "left").join(roots.withColumnsRenamed({"node": "b", "component": "cb"}), "b", "left")
+        merged = keep(components(joined.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))), "merged")
+    final = named.join(merged, named["component"] == merged["node"], "left").select("member", F.coalesce(merged["component"], named["component"]).alias("component_id"))
+    final = final.groupBy("member").agg(F.min("component_id").alias("component_id"))  # a doc_id may have several texts
+    ends = member.withColumnRenamed("least", "member").drop("doc_id").join(final, "member").select("leaf", *same, "component_id")
+    linked = some.withColumn("leaf", leaf("doc_id")).join(ends, ["leaf", *same]).select("doc_id", "n_shingles", "component_id")
+    alone = sets.filter("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return linked.union(alone)
+
+
+def _across(postings: DataFrame, named: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of members of different components that share a prefix shingle and may link by sizes, places and parts.
+
+    Shingles that the same groups hold (told by two 64-bit hashes and the number of groups) are one: the first in the order of prefixes
+    stands for them. Of a pair that links, the first shingle that both prefixes hold has as many before it as may be missing: no
+    shingle before it is in both sets, so the overlap is at most what either set has from there on."""
     per_group = named.groupBy("grp").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    open_at = postings.select("token", "grp").join(per_group, "grp")
-    open_tokens = open_at.groupBy("token").agg(F.min("low").alias("low"), F.max("high").alias("high")).filter("low <> high").select("token")
-    open_groups = stash(postings.select("token", "grp").join(open_tokens, "token", "left_semi"), "open")
+    held = [F.count(F.lit(1)).alias("groups"), F.bit_xor(F.xxhash64("grp")).alias("h1"), F.bit_xor(F.xxhash64("grp", F.lit(1))).alias("h2")]
+    # all prefixes follow one order, so places in one group tell which of several shingles comes first in every group
+    order = F.min_by("place", "grp").alias("order")
+    tokens = postings.join(per_group, "grp").groupBy("token").agg(F.min("low").alias("low"), F.max("high").alias("high"), order, *held)
+    tokens = tokens.filter("low <> high").groupBy("groups", "h1", "h2").agg(F.min_by("token", "order").alias("token")).select("token")
+    open_groups = stash(postings.select("token", "place", "grp").join(tokens, "token", "left_semi"), "open")
     shares = sets.filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("member"), "parts").dropDuplicates(["member"])
     members = named.join(open_groups.select("grp").distinct(), "grp", "left_semi").join(shares, "member")
-    expanded = stash(open_groups.join(members, "grp").select("token", "member", F.col("n_shingles").alias("n"), "component", "parts"), "open")
+    expanded = stash(open_groups.join(members, "grp").select("token", "member", F.col("n_shingles").alias("n"), (F.col("n_shingles") - F.col("place")).alias("rest"), "component", "parts"), "open")
     usual = expanded.groupBy("token", "component").count().groupBy("token").agg(F.max_by("component", F.struct("count", "component")).alias("usual"), (F.sum("count") - F.max("count")).alias("n_odd"))
     # the odd members of a shingle are dealt into salts, and meet all its members in each
     usual = stash(usual.filter("n_odd > 0").withColumn("salts", F.ceil(F.col("n_odd") / SALT_ROWS).cast("int")), "usual")
     odd = expanded.join(usual, "token").filter("component <> usual").withColumn("salt", F.pmod(F.xxhash64("member"), F.col("salts")).cast("int"))
     every = expanded.join(usual.select("token", "salts"), "token").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
     x, y = odd.alias("x"), every.alias("y")
-    sizes = f"x.component <> y.component AND 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"
-    apart = "aggregate(zip_with(x.parts, y.parts, (p, q) -> abs(cast(p AS int) - q)), 0, (s, d) -> s + d)"
-    across = x.join(y, F.expr(f"x.token = y.token AND x.salt = y.salt AND {sizes} AND {percent} * (x.n + y.n + {apart}) <= 100 * (x.n + y.n - {apart})"))
-    across = across.select(F.least("x.member", "y.member").alias("a"), F.greatest("x.member", "y.member").alias("b")).distinct()
-    second = verified(across, docs, sets, words, percent)
-
-    roots = label.select("node", "component")
-    joined = second.join(roots.withColumnsRenamed({"node": "a", "component": "ca"}), "a", "left").join(roots.withColumnsRenamed({"node": "b", "component": "cb"}), "b", "left")
-    merged = components(joined.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
-    final = named.join(merged, named["component"] == merged["node"], "left").select("member", F.coalesce(merged["component"], named["component"]).alias("component_id"))
-    final = final.groupBy("member").agg(F.min("component_id").alias("component_id"))  # a doc_id may have several texts
-    ends = member.withColumnRenamed("least", "member").drop("doc_id").join(final, "member").select("leaf", *same, "component_id")
-    linked = some.withColumn("leaf", leaf("doc_id")).join(ends, ["leaf", *same]).select("doc_id", "n_shingles", "component_id")
-    alone = sets.filter("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return linked.union(alone)
+    sizes = f"x.component <> y.component AND 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) AND {100 + percent} * least(x.rest, y.rest) >= {percent} * (x.n + y.n)"
+    apart = f"({' + '.join(f'bit_count(x.parts[{i}] ^ y.parts[{i}])' for i in range(1 << PART_BITS - 6))})"
+    pairs = x.join(y, F.expr(f"x.token = y.token AND x.salt = y.salt AND {sizes} AND {percent} * (x.n + y.n + {apart}) <= 100 * (x.n + y.n - {apart})"))
+    return pairs.select(F.least("x.member", "y.member").alias("a"), F.greatest("x.member", "y.member").alias("b")).distinct()
 
 
 def drop_near(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -272,15 +288,16 @@ def drop_near(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Da
     without words link with nothing and stay. An empty table gives an empty one."""
     rows, row = with_row(docs)
     ids = rows.select(F.col(row).alias("doc_id"), F.col("doc_id").alias("id"))
-    near = near_duplicates(rows.select(F.col(row).alias("doc_id"), "text"), words, percent).filter("n_shingles > 0").select("doc_id", "component_id")
-    near = stash(near, "near")
-    several = near.filter("doc_id <> component_id").select(F.col("component_id").alias("root")).distinct()
-    named = near.join(several, near["component_id"] == several["root"], "left_semi").join(ids, "doc_id")
-    rank = F.struct(F.col("id").isNull().alias("none"), "id", "doc_id")
-    # first by leaf, so that a component with a third of all rows is a few rows where it meets
-    first = named.withColumn("leaf", leaf("doc_id")).groupBy("leaf", "component_id").agg(F.min(rank).alias("best")).groupBy("component_id").agg(F.min("best").alias("best"))
-    kept = first.select("component_id", F.col("best.doc_id").alias("kept"))
-    gone = named.join(kept, "component_id").filter("doc_id <> kept").select(F.col("doc_id").alias(row))
+    with scratch(docs.sparkSession) as keep:
+        near = near_duplicates(rows.select(F.col(row).alias("doc_id"), "text"), words, percent).filter("n_shingles > 0").select("doc_id", "component_id")
+        near = stash(near, "near")
+        several = near.filter("doc_id <> component_id").select(F.col("component_id").alias("root")).distinct()
+        named = near.join(several, near["component_id"] == several["root"], "left_semi").join(ids, "doc_id")
+        rank = F.struct(F.col("id").isNull().alias("none"), "id", "doc_id")
+        # first by leaf, so that a component with a third of all rows is a few rows where it meets
+        first = named.withColumn("leaf", leaf("doc_id")).groupBy("leaf", "component_id").agg(F.min(rank).alias("best")).groupBy("component_id").agg(F.min("best").alias("best"))
+        kept = first.select("component_id", F.col("best.doc_id").alias("kept"))
+        gone = keep(named.join(kept, "component_id").filter("doc_id <> kept").select(F.col("doc_id").alias(row)), "gone")
     return rows.join(gone, row, "left_anti").drop(row)
 
 
