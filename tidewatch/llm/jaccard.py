@@ -22,6 +22,8 @@ ID_BITS = 24
 PART_BITS = 10
 #: rows of one key are reduced in so many leaves before they meet; members of a shingle that one task compares with the rest
 LEAVES, SALT_ROWS = 256, 64
+#: rows of texts or sets that Python gets at once
+BATCH_ROWS = 1000
 SET = "doc_id long, n_shingles long, sum_digest long, xor_digest long, prefix_digest long, sketch binary, parts array<long>, prefix array<long>"
 
 
@@ -167,10 +169,10 @@ def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, k: int, percent
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     whole = docs.filter("doc_id IS NOT NULL").withColumn("slot", id_slot("doc_id", ID_BITS)).mapInArrow(hashes, "id long, hashes binary")
-    known = stash(whole.join(ids, whole["id"] == ids["doc_id"], "left_semi"), "sets")
+    known = stash(whole.join(ids, whole["id"] == ids["doc_id"], "left_semi"), "sets", BATCH_ROWS)
     left = pairs.join(known.withColumnsRenamed({"id": "a", "hashes": "left"}), "a")
     both = left.join(known.withColumnsRenamed({"id": "b", "hashes": "right"}), "b").select("a", "b", "left", "right")
-    return both.mapInArrow(compare, "a long, b long")
+    return stash(both.mapInArrow(compare, "a long, b long"), "linked", BATCH_ROWS)
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -210,7 +212,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
 def _near_by_id(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """near_duplicates() where rows that repeat a doc_id repeat its text."""
     spark = docs.sparkSession
-    sets = stash(prefixes(docs, words, percent), "prefixes")
+    sets = stash(prefixes(docs, words, percent), "prefixes", BATCH_ROWS)
     some = sets.filter("n_shingles > 0 AND doc_id IS NOT NULL").drop("prefix", "sketch", "parts")
     same = ["n_shingles", "sum_digest", "xor_digest", "prefix_digest"]  # the prefix follows from the set
     member = stash(least_by_leaf(some, same, "doc_id"), "members")
@@ -225,15 +227,14 @@ def _near_by_id(docs: DataFrame, words: int, percent: int) -> DataFrame:
         several = group.groupBy("grp").count().filter("count > 2").select("grp", F.lit(True).alias("several"))
         postings = postings.join(several, postings["doc_id"] == several["grp"], "left").select("*", F.posexplode("prefix").alias("place", "token"))
         rarest = F.coalesce(F.col("several") & (F.col("place") == 0), F.lit(False)).alias("rarest")
-        postings = postings.select("token", "place", F.col("n_shingles").cast("int").alias("n"), F.col("doc_id").alias("grp"), rarest)
         # at each shingle, sizes are dealt into classes; groups of one class link to its first, so that copies share few partners
-        level = F.floor(F.log(F.col("n")) / F.log(F.lit(100 / percent))).cast("int")
-        postings = stash(postings, "postings").withColumn("level", level)
+        level = F.floor(F.log("n_shingles") / F.log(F.lit(100 / percent))).cast("int").alias("level")
+        postings = stash(postings.select("token", "place", level, F.col("doc_id").alias("grp"), rarest), "postings")
         # summed before they meet, so a hot shingle is a row for each class and task here; the join below can be split
         classes = postings.groupBy("token", "level").agg(F.min("grp").alias("first"), F.count(F.lit(1)).alias("in_class"))
         classes = classes.withColumn("of", F.sum("in_class").over(Window.partitionBy("token")))
         postings = postings.join(classes, ["token", "level"]).filter("of > 1 OR rarest")
-        postings = keep(postings.select("token", "place", "n", "grp", "first"), "postings")
+        postings = keep(postings.select("token", "place", "grp", "first"), "postings")
     with scratch(spark) as keep:
         near = postings.filter("first <> grp").select(F.least("first", "grp").alias("a"), F.greatest("first", "grp").alias("b"))
         inside = group.filter("member <> grp").select(F.col("grp").alias("a"), F.col("member").alias("b"))
