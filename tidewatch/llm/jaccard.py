@@ -61,8 +61,10 @@ def shingle_counts(docs: DataFrame, k: int) -> np.ndarray:
         return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
 
     out = np.zeros(1 << COUNT_BITS, np.int64).reshape(-1, COUNT_BLOCK)
-    for row in docs.select("text").mapInArrow(count, "block int, counts binary").groupBy("block").applyInArrow(add, "block int, counts binary").collect():
-        out[row["block"]] = np.frombuffer(row["counts"], np.int64)
+    with scratch(docs.sparkSession):
+        by_task = stash(docs.select("text").mapInArrow(count, "block int, counts binary"), "counts", BATCH_ROWS)
+        for row in by_task.groupBy("block").applyInArrow(add, "block int, counts binary").collect():
+            out[row["block"]] = np.frombuffer(row["counts"], np.int64)
     return out.reshape(-1)
 
 
@@ -147,7 +149,7 @@ def possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
     """Those pairs (a, b) of documents whose whole sets reach the similarity; repeated doc_ids may repeat them."""
-    pairs = stash(possible(pairs, sets, percent).distinct(), "pairs")
+    pairs = stash(possible(pairs, sets, percent).distinct(), "pairs", BATCH_ROWS)
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
     wanted = docs.sparkSession.sparkContext.broadcast(np.packbits(slot_table(ids.select(id_slot("doc_id", ID_BITS)), ID_BITS)))
 
@@ -230,6 +232,9 @@ def _near_by_id(docs: DataFrame, words: int, percent: int) -> DataFrame:
         # at each shingle, sizes are dealt into classes; groups of one class link to its first, so that copies share few partners
         level = F.floor(F.log("n_shingles") / F.log(F.lit(100 / percent))).cast("int").alias("level")
         postings = stash(postings.select("token", "place", level, F.col("doc_id").alias("grp"), rarest), "postings")
+        # most shingles of a prefix are in one group alone: they go by their hashes, before whole postings are sent anywhere
+        shared = stash(postings.groupBy("token").agg(F.count(F.lit(1)).alias("of")).filter("of > 1").select("token", F.lit(True).alias("shared")), "shared")
+        postings = stash(postings.join(shared, "token", "left").filter("shared OR rarest").drop("shared"), "postings")
         # summed before they meet, so a hot shingle is a row for each class and task here; the join below can be split
         classes = postings.groupBy("token", "level").agg(F.min("grp").alias("first"), F.count(F.lit(1)).alias("in_class"))
         classes = classes.withColumn("of", F.sum("in_class").over(Window.partitionBy("token")))
