@@ -70,3 +70,48 @@ def test_scratch_after_a_failure(spark):
         raise ZeroDivisionError
     assert [n.split("-")[0] for n in folders(spark) - before] == ["kept"]
     assert not common._open.scopes
+
+
+@pytest.mark.parametrize("seed,edits,k,percent,before", [(1, 6, 5, 80, 8), (2, 4, 4, 85, 1), (7, 7, 5, 80, 0)])
+def test_odd_members(spark, monkeypatch, seed, edits, k, percent, before):
+    turns = []
+    to_hubs = jaccard._to_hubs
+    monkeypatch.setattr(jaccard, "_to_hubs", lambda *a: turns.append(a[2]) or to_hubs(*a))
+    for name, value in {"SALT_ROWS": 2, "HUBS": 2, "NEAREST": 2, "BEFORE": before}.items():
+        monkeypatch.setattr(jaccard, name, value)
+    texts = variants(seed, 250, edits)
+    got = jaccard.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), k, percent)
+    assert {r["doc_id"]: r["component_id"] for r in got.collect()} == least_ids(texts, k, percent)
+    assert turns
+
+
+def joined_rows(spark, words):
+    """Rows that joins have made whose plan has these words, over all queries of the session."""
+    store, out = spark._jsparkSession.sharedState().statusStore(), 0
+    runs = store.executionsList()
+    for run in (runs.apply(i).executionId() for i in range(runs.size())):
+        metrics, nodes = store.executionMetrics(run), store.planGraph(run).allNodes()
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            if "Join" in node.name() and all(w in node.desc() for w in words):
+                for m in (node.metrics().apply(i) for i in range(node.metrics().size())):
+                    value = metrics.get(m.accumulatorId())
+                    if m.name() == "number of output rows" and value.isDefined():
+                        out += int(value.get().replace(",", ""))
+    return out
+
+
+def test_pairs_grow_with_members(spark):
+    """A shingle's members outside its largest component meet few others, and not again at each shingle that they share."""
+    draw = random.Random(9)
+    base = [f"w{i}" for i in range(150)]
+    texts = []
+    for i in range(600):
+        words = list(base)
+        for at in draw.sample(range(150), 2 if i < 300 else 1):  # the first half links with the second alone
+            words[at] = f"x{draw.randrange(10**6)}"
+        texts.append(" ".join(words))
+    before = joined_rows(spark, ["salt", "token"])
+    got = jaccard.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {r["doc_id"]: r["component_id"] for r in got.collect()} == least_ids(texts, 5, 80)
+    made = joined_rows(spark, ["salt", "token"]) - before
+    assert 0 < made < 150 * len(texts), made

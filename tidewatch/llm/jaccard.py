@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,11 @@ ID_BITS = 24
 PART_BITS = 10
 #: rows of one key are reduced in so many leaves before they meet; members of a shingle that one task compares with the rest
 LEAVES, SALT_ROWS = 256, 64
+#: so many shingles of a prefix before one tell whether two members have met at an earlier one
+BEFORE = 8
+#: so many members of a shingle's largest component meet its odd ones first where those are more than SALT_ROWS, so many of them
+#: for each odd member go on, and that so many times at most
+HUBS, NEAREST, HUB_TURNS = 4, 4, 2
 #: rows of texts or sets that Python gets at once
 BATCH_ROWS = 1000
 SET = "doc_id long, n_shingles long, sum_digest long, xor_digest long, prefix_digest long, sketch binary, parts array<long>, prefix array<long>"
@@ -188,8 +194,9 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     so thousands of copies cost no pairs). Groups that share a prefix shingle are candidates: first each group with the
     first of its size class at each shingle, and each member with its group's first. What these verified links join is one
     component. Then, wherever a prefix shingle still holds several components, every pair across components whose sizes
-    and places of the shingle allow a link is verified too, once for all shingles that the same groups hold; a group of three members or more keeps its rarest shingle for that even where no other
-    group has it, as two of them may link with each other and not with its first. Bitmaps rule out most pairs before whole sets are sent. A pair inside a
+    and places of the shingle allow a link is verified too, once; a group of three members or more keeps its rarest shingle for that even where no other
+    group has it, as two of them may link with each other and not with its first. Where many members of a shingle are outside its
+    largest component, they meet a few of that component before, which most of them join. Bitmaps rule out most pairs before whole sets are sent. A pair inside a
     component needs no test, as it can't change the result; no other pair is left out. Sets are compared whole, by 64-bit hashes of their shingles.
     """
     docs = docs.select("doc_id", "text")
@@ -247,11 +254,25 @@ def _near_by_id(docs: DataFrame, words: int, percent: int) -> DataFrame:
 
     named = group.join(label, group["member"] == label["node"], "left").select("member", "n_shingles", "grp", F.coalesce("component", "member").alias("component"))
     with scratch(spark) as keep:
-        across = _across(postings, named, sets, percent)
-        second = verified(across, docs, sets, words, percent)
         roots = label.select("node", "component")
-        joined = second.join(roots.withColumnsRenamed({"node": "a", "component": "ca"}), "a", "left").join(roots.withColumnsRenamed({"node": "b", "component": "cb"}), "b", "left")
-        merged = keep(components(joined.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))), "merged")
+
+        def joined(pairs: DataFrame) -> DataFrame:
+            linked = verified(pairs, docs, sets, words, percent)
+            linked = linked.join(roots.withColumnsRenamed({"node": "a", "component": "ca"}), "a", "left").join(roots.withColumnsRenamed({"node": "b", "component": "cb"}), "b", "left")
+            return linked.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).filter("a <> b").distinct()
+
+        first = members = _open(postings, named, sets)
+        links = []
+        for turn in range(HUB_TURNS + 1):
+            usual = _usual(members)
+            hot = usual.filter("salts > 1")
+            if turn == HUB_TURNS or hot.isEmpty():
+                break
+            links.append(stash(joined(_to_hubs(members, hot, turn, percent)), "links"))
+            merged = components(reduce(DataFrame.union, links))
+            component = F.coalesce(merged["component"], first["component"]).alias("component")
+            members = stash(first.join(merged, first["component"] == merged["node"], "left").select(*(first[c] for c in first.columns if c != "component"), component), "open")
+        merged = keep(components(reduce(DataFrame.union, links, joined(_across(members, usual, percent)))), "merged")
     final = named.join(merged, named["component"] == merged["node"], "left").select("member", F.coalesce(merged["component"], named["component"]).alias("component_id"))
     final = final.groupBy("member").agg(F.min("component_id").alias("component_id"))  # a doc_id may have several texts
     ends = member.withColumnRenamed("least", "member").drop("doc_id").join(final, "member").select("leaf", *same, "component_id")
@@ -260,32 +281,64 @@ def _near_by_id(docs: DataFrame, words: int, percent: int) -> DataFrame:
     return linked.union(alone)
 
 
-def _across(postings: DataFrame, named: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of members of different components that share a prefix shingle and may link by sizes, places and parts.
+def _open(postings: DataFrame, named: DataFrame, sets: DataFrame) -> DataFrame:
+    """The members at each prefix shingle that holds several components.
 
     Shingles that the same groups hold (told by two 64-bit hashes and the number of groups) are one: the first in the order of prefixes
-    stands for them. Of a pair that links, the first shingle that both prefixes hold has as many before it as may be missing: no
-    shingle before it is in both sets, so the overlap is at most what either set has from there on."""
+    stands for them. `rest` is how many shingles a set has from there on, `before` the open ones just before it in the prefix."""
     per_group = named.groupBy("grp").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     held = [F.count(F.lit(1)).alias("groups"), F.bit_xor(F.xxhash64("grp")).alias("h1"), F.bit_xor(F.xxhash64("grp", F.lit(1))).alias("h2")]
     # all prefixes follow one order, so places in one group tell which of several shingles comes first in every group
     order = F.min_by("place", "grp").alias("order")
     tokens = postings.join(per_group, "grp").groupBy("token").agg(F.min("low").alias("low"), F.max("high").alias("high"), order, *held)
     tokens = tokens.filter("low <> high").groupBy("groups", "h1", "h2").agg(F.min_by("token", "order").alias("token")).select("token")
-    open_groups = stash(postings.select("token", "place", "grp").join(tokens, "token", "left_semi"), "open")
+    before = F.collect_list("token").over(Window.partitionBy("grp").orderBy("place").rowsBetween(-BEFORE, -1)).alias("before")
+    open_groups = stash(postings.select("token", "place", "grp").join(tokens, "token", "left_semi").select("*", before), "open")
     shares = sets.filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("member"), "parts").dropDuplicates(["member"])
     members = named.join(open_groups.select("grp").distinct(), "grp", "left_semi").join(shares, "member")
-    expanded = stash(open_groups.join(members, "grp").select("token", "member", F.col("n_shingles").alias("n"), (F.col("n_shingles") - F.col("place")).alias("rest"), "component", "parts"), "open")
-    usual = expanded.groupBy("token", "component").count().groupBy("token").agg(F.max_by("component", F.struct("count", "component")).alias("usual"), (F.sum("count") - F.max("count")).alias("n_odd"))
-    # the odd members of a shingle are dealt into salts, and meet all its members in each
-    usual = stash(usual.filter("n_odd > 0").withColumn("salts", F.ceil(F.col("n_odd") / SALT_ROWS).cast("int")), "usual")
-    odd = expanded.join(usual, "token").filter("component <> usual").withColumn("salt", F.pmod(F.xxhash64("member"), F.col("salts")).cast("int"))
-    every = expanded.join(usual.select("token", "salts"), "token").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    x, y = odd.alias("x"), every.alias("y")
-    sizes = f"x.component <> y.component AND 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) AND {100 + percent} * least(x.rest, y.rest) >= {percent} * (x.n + y.n)"
+    return stash(open_groups.join(members, "grp").select("token", "member", F.col("n_shingles").alias("n"), (F.col("n_shingles") - F.col("place")).alias("rest"), "component", "parts", "before"), "open")
+
+
+def _usual(members: DataFrame) -> DataFrame:
+    """The largest component of each shingle that holds several, and how many salts its odd members, those of the others, are dealt into."""
+    usual = members.groupBy("token", "component").count().groupBy("token").agg(F.max_by("component", F.struct("count", "component")).alias("usual"), (F.sum("count") - F.max("count")).alias("n_odd"))
+    return stash(usual.filter("n_odd > 0").withColumn("salts", F.ceil(F.col("n_odd") / SALT_ROWS).cast("int")), "usual")
+
+
+def _to_hubs(members: DataFrame, hot: DataFrame, turn: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of the odd members of hot shingles and the likeliest of HUBS others there, which each shingle and turn draws by
+    hash: so few that pairs grow with the members alone. Most members that link with many of a large component join it here."""
+    at = members.join(hot, "token")
+    drawn = F.xxhash64("member", "token", F.lit(turn))
+    hubs = at.filter("component = usual").groupBy("token", F.pmod(drawn, F.lit(HUBS)).alias("slot")).agg(F.min_by("member", drawn).alias("member"))
+    met = _meet(at.filter("component <> usual"), at.join(hubs.select("token", "member"), ["token", "member"], "left_semi"), percent)
+    likely = met.groupBy("a", F.pmod(F.xxhash64("b"), F.lit(NEAREST)).alias("slot")).agg(F.min_by("b", F.struct("apart", "b")).alias("b"))
+    return likely.select("a", "b")
+
+
+def _across(members: DataFrame, usual: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of members of different components that share a prefix shingle and may link: the odd ones of a shingle with all.
+
+    Of a pair that links, the first shingle that both prefixes hold has as many before it as may be missing: no shingle before it
+    is in both sets, so the overlap is at most what either set has from there on. A pair is named at that first shingle, which is
+    open as long as the components differ, and not where the BEFORE open ones before a shingle have one in common; two odd members are named once."""
+    at = members.join(usual, "token")
+    places = f"{100 + percent} * least(x.rest, y.rest) >= {percent} * (x.n + y.n)"
+    once = "(y.component = y.usual OR x.member < y.member) AND NOT arrays_overlap(x.before, y.before)"
+    pairs = _meet(at.filter("component <> usual"), at, percent, f"{places} AND {once}")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _meet(odd: DataFrame, others: DataFrame, percent: int, also: str = "true") -> DataFrame:
+    """Pairs of an odd member (a) and another (b) across components that may link by sizes and parts, once for each shingle where `also`
+    holds, and the least number of shingles that they can differ in. Odd members are dealt into salts, and meet the others in each."""
+    x = odd.withColumn("salt", F.pmod(F.xxhash64("member"), F.col("salts")).cast("int")).alias("x")
+    y = others.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).alias("y")
+    sizes = f"x.component <> y.component AND 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"
     apart = f"({' + '.join(f'bit_count(x.parts[{i}] ^ y.parts[{i}])' for i in range(1 << PART_BITS - 6))})"
-    pairs = x.join(y, F.expr(f"x.token = y.token AND x.salt = y.salt AND {sizes} AND {percent} * (x.n + y.n + {apart}) <= 100 * (x.n + y.n - {apart})"))
-    return pairs.select(F.least("x.member", "y.member").alias("a"), F.greatest("x.member", "y.member").alias("b")).distinct()
+    parts = f"{percent} * (x.n + y.n + {apart}) <= 100 * (x.n + y.n - {apart})"
+    pairs = x.join(y, F.expr(f"x.token = y.token AND x.salt = y.salt AND {sizes} AND {also} AND {parts}"))
+    return pairs.select(F.col("x.member").alias("a"), F.col("y.member").alias("b"), F.expr(apart).alias("apart"))
 
 
 def drop_near(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
