@@ -261,18 +261,25 @@ def _near_by_id(docs: DataFrame, words: int, percent: int) -> DataFrame:
             linked = linked.join(roots.withColumnsRenamed({"node": "a", "component": "ca"}), "a", "left").join(roots.withColumnsRenamed({"node": "b", "component": "cb"}), "b", "left")
             return linked.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).filter("a <> b").distinct()
 
-        first = members = _open(postings, named, sets)
-        links = []
-        for turn in range(HUB_TURNS + 1):
-            usual = _usual(members)
-            hot = usual.filter("salts > 1")
-            if turn == HUB_TURNS or hot.isEmpty():
-                break
-            links.append(stash(joined(_to_hubs(members, hot, turn, percent)), "links"))
-            merged = components(reduce(DataFrame.union, links))
-            component = F.coalesce(merged["component"], first["component"]).alias("component")
-            members = stash(first.join(merged, first["component"] == merged["node"], "left").select(*(first[c] for c in first.columns if c != "component"), component), "open")
-        merged = keep(components(reduce(DataFrame.union, links, joined(_across(members, usual, percent)))), "merged")
+        members = _open(postings, named, sets)
+        usual = _usual(members)
+        hot, links, parts = usual.filter("salts > 1"), [], [(members, usual)]
+        if not hot.isEmpty():
+            # only members at hot shingles get their new components: elsewhere the old ones name some pairs that are linked by now
+            first = now = stash(members.join(hot, "token", "left_semi"), "hot")
+            for turn in range(HUB_TURNS):
+                with scratch(spark) as hold:
+                    links.append(hold(joined(_to_hubs(now, hot, turn, percent)), "links"))
+                    merged = components(reduce(DataFrame.union, links))
+                    component = F.coalesce(merged["component"], first["component"]).alias("component")
+                    now = hold(first.join(merged, first["component"] == merged["node"], "left").select(*(first[c] for c in first.columns if c != "component"), component), "hot")
+                left = _usual(now)
+                hot = left.filter("salts > 1")
+                if hot.isEmpty():
+                    break
+            parts = [(members, usual.filter("salts = 1")), (now, left)]
+        across = reduce(DataFrame.union, (_across(*part, percent) for part in parts))
+        merged = keep(components(reduce(DataFrame.union, links, joined(across))), "merged")
     final = named.join(merged, named["component"] == merged["node"], "left").select("member", F.coalesce(merged["component"], named["component"]).alias("component_id"))
     final = final.groupBy("member").agg(F.min("component_id").alias("component_id"))  # a doc_id may have several texts
     ends = member.withColumnRenamed("least", "member").drop("doc_id").join(final, "member").select("leaf", *same, "component_id")
